@@ -117,7 +117,11 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def entity_list_sql(col: str) -> str:
-    """Parsed, de-duplicated entity list of a column, as (text, type) structs; last occurrence kept."""
-    names = f"list_filter(regexp_extract_all({col}, '{NAME}'), lambda x: NOT contains(lower(x), 'bild'))"
-    return f"list_reverse(list_distinct_ordered(list_reverse({names})))"
+def entities_sql(col: str, source: str = "articles") -> str:
+    """(article_uid, topic, pos, name, type) of a column: names without "bild", repeats dropped but for the last."""
+    return f"""
+  SELECT article_uid, source AS topic, name, CASE length(name) % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION'
+         WHEN 2 THEN 'NUMBER' ELSE 'COMMON' END AS type, max(pos) AS pos
+  FROM (SELECT article_uid, source, unnest(ns) AS name, generate_subscripts(ns, 1) AS pos
+        FROM (SELECT article_uid, source, regexp_extract_all({col}, '{NAME}') AS ns FROM {source}))
+  WHERE NOT contains(lower(name), 'bild') GROUP BY article_uid, source, name"""

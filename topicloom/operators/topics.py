@@ -76,12 +76,12 @@ def topic_label(top: DataFrame, topic: str, n: int, sep: str = " | ") -> DataFra
 
 def entity_terms(df: DataFrame, topic: str, weights: dict[str, int]) -> DataFrame:
     """(topic, entity, type, weighted count) over several parsed entity columns in one pass."""
-    tagged = F.flatten(F.array(*[
-        F.transform(
-            F.col(c), lambda e, w=w: F.struct(e["text"].alias("term"), e["type"].alias("type"), F.lit(w).alias("w"))
+    def weighted(column: str, w: int) -> Column:
+        return F.transform(
+            F.col(column), lambda e: F.struct(e["text"].alias("term"), e["type"].alias("type"), F.lit(w).alias("w"))
         )
-        for c, w in weights.items()
-    ]))
+
+    tagged = F.flatten(F.array(*[weighted(c, w) for c, w in weights.items()]))
     return (
         df.select(topic, F.explode(tagged).alias("e")).groupBy(topic, F.col("e.term").alias("term"), F.col("e.type").alias("type"))
         .agg(F.sum("e.w").alias("n"))
