@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "relational", "topics"]
+MODULES = ["text", "relational", "topics", "similarity"]
 
 
 def load():

@@ -96,12 +96,12 @@ def store_topic_labels(spark, sf):
     return src.read_table(spark, target)
 
 
-@query("export_vectors", "SELECT count(*) AS n, sum(len(embedding)) AS numbers FROM embeddings")
+@query("export_vectors", "SELECT count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) AS numbers FROM embeddings")
 def export_vectors(spark, sf):
     path = work_path(spark, "vectors-csv")
     src.write_vectors_csv(table(spark, sf, "embeddings"), path, "embedding")
     back = spark.read.option("header", True).option("escape", '"').schema("vec_id long, embedding string, label int").csv(path)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.from_json("embedding", "array<float>")).cast("decimal(38,0)")).alias("numbers"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.from_json("embedding", "array<float>"))).alias("numbers"))
 
 
 @query("complete_rows", "SELECT doc_id, quality FROM (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) WHERE quality IS NOT NULL")
@@ -170,11 +170,12 @@ def articles_with_embeddings(spark, sf):
     return articles(spark, sf).select("article_uid", "source").join(emb, "article_uid", "left")
 
 
-WORDS_TABLE = "words AS (SELECT n_nationkey AS topic, n_name AS words FROM nation WHERE n_nationkey < 8)"
+WORDS_TABLE = "words AS (SELECT r_regionkey AS topic, r_name AS words FROM region)"
 
 
 def _words(spark, sf):
-    return table(spark, sf, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("topic"), F.col("n_name").alias("words"))
+    """Topic words of some of the topics."""
+    return table(spark, sf, "region").select(F.col("r_regionkey").alias("topic"), F.col("r_name").alias("words"))
 
 
 @query("rows_with_topic_words", f"WITH {LABELED}, {WORDS_TABLE} SELECT article_uid, topic_number, words FROM labeled JOIN words ON topic = topic_number")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicloom.catalog.base import ARTICLES, STRIP, TOKENS, articles, in_list, query, rules_sql, table  # noqa: F401
+from topicloom.catalog.base import in_list, query, rules_sql, table
 from topicloom.functions import stopwords as sw
 from topicloom.functions import text as tx
 from topicloom.functions import vectors as vx
@@ -89,7 +89,6 @@ def hashed_embeddings(spark, sf):
     return vec.select("doc_id", F.posexplode("v").alias("dim", "value")).where("value <> 0").withColumn("value", F.round("value", 9))
 
 
-_WORD_VECTORS = """wv AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation)"""
 VOCAB_SQL = r"""vocab AS (SELECT term AS word, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS id
   FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY term),
   words AS (SELECT word, embedding FROM vocab JOIN embeddings ON vec_id = id)"""

@@ -43,14 +43,14 @@ def next_in_group(df: DataFrame, group: list[str], order: list[Column], value: C
     """``value`` of the following row of the group, null for the last row."""
     ranged = _by_range(df.withColumn("_value", value), group, order)
     inside = Window.partitionBy(*group, RANGE).orderBy(*order)
-    numbered = ranged.withColumn("_inside", F.row_number().over(inside)).withColumn("_next", F.lead("_value").over(inside))
+    numbered = ranged.withColumn("_inside", F.row_number().over(inside)).withColumn("_ahead_row", F.lead("_value").over(inside))
     first = numbered.where("_inside = 1").select(*group, RANGE, F.col("_value").alias("_first"))
     across = Window.partitionBy(*group).orderBy(RANGE)
     following = first.withColumn("_following", F.lead("_first").over(across)).drop("_first")
     return (
         numbered.join(following, [*group, RANGE])
-        .withColumn(name, F.coalesce("_next", "_following"))
-        .drop(RANGE, "_value", "_inside", "_next", "_following")
+        .withColumn(name, F.coalesce("_ahead_row", "_following"))
+        .drop(RANGE, "_value", "_inside", "_ahead_row", "_following")
     )
 
 
