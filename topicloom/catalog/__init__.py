@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "relational", "topics", "similarity"]
+MODULES = ["text", "relational", "topics", "similarity", "clusters"]
 
 
 def load():

@@ -130,34 +130,45 @@ def build_tree(
         ).distinct().select("lo", "hi", "w", F.col("lo").alias("ca"), F.col("hi").alias("cb"))
     )
     edges = materialize(listed, "candidates")
-    comp = points.select("_y", F.col("_y").alias("comp"))
-    levels: list[DataFrame] = []
     search = _outgoing("rep", vec, alpha)
     schema = f"comp {id_type}, other {id_type}, w double, lo {id_type}, hi {id_type}"
-    lightest = F.min(F.struct("w", "lo", "hi", "other")).alias("e")
 
+    def look_further(known: DataFrame, comp: DataFrame) -> DataFrame | None:
+        """Lighter outgoing edges of points whose neighbor list does not reach as far as the best known edge."""
+        tagged = materialize(points.join(comp, "_y"), "tagged")
+        limit = F.coalesce(F.col("w"), F.lit(float("inf")))
+        unsure = materialize(tagged.join(known.select("comp", "w"), "comp", "left").where(
+            F.greatest(F.col("core"), F.col("reach") / alpha) < limit
+        ).select(*by, F.col("_y").alias("rep"), vec, "core", "comp", limit.alias("_limit")), "unsure")
+        if unsure.isEmpty():
+            return None
+        whole = {}
+        if not by and len(cells.pivots) > 1:
+            spans = tagged.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a = b").collect()
+            whole = {r["cell"]: str(r["a"]) for r in spans}
+        return probe(
+            unsure, cells, "rep", vec, F.col("_limit") * alpha, search, schema, skip=whole, tag=F.col("comp"),
+            rows=tagged.select(*by, "_y", vec, "cell", "core", "comp"),
+        )
+
+    levels = _boruvka(points, edges, look_further)
+    return _merge_tree(points, levels, members, uid, tuple(by), id_type)
+
+
+def _boruvka(points: DataFrame, edges: DataFrame, look_further=None) -> list[DataFrame]:
+    """Spanning forest by rounds: one table (comp, next, w, lo, hi) per round with the edge every component picked."""
+    comp = points.select("_y", F.col("_y").alias("comp"))
+    levels: list[DataFrame] = []
+    lightest = F.min(F.struct("w", "lo", "hi", "other")).alias("e")
     while True:
         out = edges.select(F.col("ca").alias("comp"), F.col("cb").alias("other"), "w", "lo", "hi").unionByName(
             edges.select(F.col("cb").alias("comp"), F.col("ca").alias("other"), "w", "lo", "hi"))
         known = materialize(out.groupBy("comp").agg(lightest).select("comp", "e.*"), "known")
-        tagged = materialize(points.join(comp, "_y"), "tagged")
-        limit = F.coalesce(F.col("w"), F.lit(float("inf")))
-        unsure = tagged.join(known.select("comp", "w"), "comp", "left").where(
-            F.greatest(F.col("core"), F.col("reach") / alpha) < limit
-        ).select(*by, F.col("_y").alias("rep"), vec, "core", "comp", limit.alias("_limit"))
-        unsure = materialize(unsure, "unsure")
-        if not unsure.isEmpty():
-            whole = {}
-            if not by and len(cells.pivots) > 1:
-                spans = tagged.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a = b").collect()
-                whole = {r["cell"]: str(r["a"]) for r in spans}
-            found = probe(
-                unsure, cells, "rep", vec, F.col("_limit") * alpha, search, schema, skip=whole, tag=F.col("comp"),
-                rows=tagged.select(*by, "_y", vec, "cell", "core", "comp"),
-            )
+        found = look_further(known, comp) if look_further else None
+        if found is not None:
             known = materialize(known.unionByName(found).groupBy("comp").agg(lightest).select("comp", "e.*"), "known")
         if known.isEmpty():
-            break
+            return levels
         back = known.select(F.col("comp").alias("other"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
         mutual = (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (F.col("comp") < F.col("other"))
         hooks = known.join(back, "other", "left").select(
@@ -172,7 +183,30 @@ def build_tree(
             edges.join(to_a, "ca", "left").join(to_b, "cb", "left").select(
                 "lo", "hi", "w", F.coalesce("_na", "ca").alias("ca"), F.coalesce("_nb", "cb").alias("cb")
             ).where("ca <> cb"), "candidates")
-    return _merge_tree(points, levels, members, uid, tuple(by), id_type)
+
+
+def tree_from_edges(points: DataFrame, edges: DataFrame, members: DataFrame, uid: str, alpha: float = 1.0) -> MergeTree:
+    """Merge tree over given candidate edges (lo, hi, distance) and points (_y, copies, core).
+
+    Parts the edges do not connect are joined at infinite distance, that is at density zero.
+    """
+    id_type = sql_type(points, "_y")
+    core = points.select(F.col("_y").alias("id"), "core")
+    weighed = materialize(
+        edges.join(core.select(F.col("id").alias("lo"), F.col("core").alias("_ca")), "lo")
+        .join(core.select(F.col("id").alias("hi"), F.col("core").alias("_cb")), "hi")
+        .select("lo", "hi", F.greatest("_ca", "_cb", F.col("distance") / alpha).alias("w"), F.col("lo").alias("ca"), F.col("hi").alias("cb")),
+        "candidates")
+    levels = _boruvka(points, weighed)
+    comp = points.select("_y", F.col("_y").alias("comp"))
+    for level in levels:
+        comp = comp.join(level.select("comp", "next"), "comp", "left").select("_y", F.coalesce("next", "comp").alias("comp"))
+    roots = materialize(comp.select("comp").distinct().withColumn("_all", F.lit(0)), "roots")
+    if roots.count() > 1:
+        bridges = next_in_group(roots, ["_all"], [F.col("comp")], F.col("comp"), "other").where(F.col("other").isNotNull()).select(
+            F.col("comp").alias("lo"), F.col("other").alias("hi"), F.lit(float("inf")).alias("w"), F.col("comp").alias("ca"), F.col("other").alias("cb"))
+        levels = _boruvka(points, weighed.unionByName(bridges.select(weighed.columns)))
+    return _merge_tree(points, levels, members, uid, (), id_type)
 
 
 def _merge_tree(points: DataFrame, levels: list[DataFrame], members: DataFrame, uid: str, by: tuple[str, ...], id_type: str) -> MergeTree:

@@ -15,12 +15,16 @@ def jump(df: DataFrame, keys: list[str], node: str, up: str) -> DataFrame:
 
     Each round doubles the reach, so the rounds are the logarithm of the longest path.
     """
-    paths = materialize(df.select(*keys, node, up), "paths")
-    while True:
+    def double(paths: DataFrame) -> DataFrame:
         ahead = paths.select(*keys, F.col(node).alias(up), F.col(up).alias("_far"))
-        moved = materialize(paths.join(ahead, [*keys, up], "left").select(
+        return paths.join(ahead, [*keys, up], "left").select(
             *keys, node, F.coalesce("_far", up).alias(up), (F.col("_far") != F.col(up)).alias("_moved")
-        ), "paths")
+        )
+
+    paths = df.select(*keys, node, up)
+    while True:
+        # Two doublings per written table: fewer, longer jobs.
+        moved = materialize(double(double(paths).drop("_moved")), "paths")
         paths = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return paths
