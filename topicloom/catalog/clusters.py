@@ -84,7 +84,7 @@ def spanning_tree(spark, sf):
     return dn.build_tree(raw(spark, sf), "vec_id", "embedding", 3).edges.withColumn("w", F.round("w", 6))
 
 
-# Nearest neighbors of the test embeddings are about 1.1 apart; 1.1 stands between them and the bulk.
+# Nearest neighbors of the test embeddings are about 1.1 apart, so this radius makes some of them core.
 EPS = 1.15
 
 
@@ -209,7 +209,7 @@ def samples(df):
 
 def event_snapshots(spark, sf, lanes: int = 1):
     """Run the events as a stream and return the stored snapshots."""
-    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(256 << 20)).parquet(sf)
     target = work_path(spark, "snapshots")
     found = mc.micro_clusters(samples(stream), "event_type", "x", ["ts", "event_id"], PARAMS, lanes=lanes)
     query = found.writeStream.format("parquet").option("path", target).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start()

@@ -159,7 +159,9 @@ def alphabetic_tokens(spark, sf):
 
 def _stem_sql(t: str) -> str:
     e = f"replace(translate(lower({t}), {quoted(tk.FOLD_FROM)}, {quoted(tk.FOLD_TO)}), chr(223), 'ss')"
-    return rf"regexp_replace(regexp_replace({e}, '{tk.FIRST_ENDINGS}', '\1'), '{tk.SECOND_ENDINGS}', '\1')"
+    for ending in tk.ENDINGS:
+        e = rf"regexp_replace({e}, '{ending}', '\1')"
+    return e
 
 
 @query("stem_counts", f"""

@@ -354,9 +354,6 @@ def _subtree_best(clusters: DataFrame) -> DataFrame:
             F.when(single, F.col("_only")).otherwise(F.col("ptr")).alias("ptr"),
             F.when(single, F.col("own")).otherwise(F.col("a")).alias("a"),
             F.when(single, done).otherwise(F.col("b")).alias("b")), "eom")
-        if raked.where(F.col("best").isNull()).isEmpty():
-            kids = raked.where(F.col("parent").isNotNull()).groupBy("run", F.col("parent").alias("c")).agg(F.sum("best").alias("below"))
-            return raked.select("run", "c").join(kids, ["run", "c"], "left")
         ahead = raked.select("run", F.col("c").alias("ptr"), F.col("best").alias("_best"), F.col("ptr").alias("_ptr"), F.col("a").alias("_a"), F.col("b").alias("_b"))
         far = F.col("_ptr").isNotNull() & F.col("_best").isNull()
         state = materialize(raked.join(ahead, ["run", "ptr"], "left").select(
@@ -365,6 +362,9 @@ def _subtree_best(clusters: DataFrame) -> DataFrame:
             F.when(far, F.col("_ptr")).otherwise(F.col("ptr")).alias("ptr"),
             F.when(far, F.greatest(F.col("a"), F.col("_a") + F.col("b"))).otherwise(F.col("a")).alias("a"),
             F.when(far, F.col("_b") + F.col("b")).otherwise(F.col("b")).alias("b")), "eom")
+        if state.where(F.col("best").isNull()).isEmpty():
+            kids = state.where(F.col("parent").isNotNull()).groupBy("run", F.col("parent").alias("c")).agg(F.sum("best").alias("below"))
+            return state.select("run", "c").join(kids, ["run", "c"], "left")
 
 
 def select_clusters(tree: Condensed) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -32,12 +34,19 @@ def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
     encoder that needs no model; ``encode`` hosts a real one.
     """
     buckets = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    dims = F.sequence(F.lit(0), F.lit(dim - 1))
 
-    def counted(bs: Column) -> Column:
-        return F.transform(dims, lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))
-
-    return vx.normalize(vx.let(buckets, counted))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counted(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            if row is None or not len(row):
+                out.append(None)
+                continue
+            v = np.bincount(row, minlength=dim).astype(float)
+            out.append(v / np.sqrt(v @ v))
+        return pd.Series(out)
+
+    return counted(buckets)
 
 
 def encode(df: DataFrame, text: str, make_model: Callable[[], Callable], out: str = "embedding", batch_size: int = 32) -> DataFrame:

@@ -21,10 +21,9 @@ def jump(df: DataFrame, keys: list[str], node: str, up: str) -> DataFrame:
             *keys, node, F.coalesce("_far", up).alias(up), (F.col("_far") != F.col(up)).alias("_moved")
         )
 
-    paths = df.select(*keys, node, up)
+    paths = materialize(df.select(*keys, node, up), "paths")
     while True:
-        # Two doublings per written table: fewer, longer jobs.
-        moved = materialize(double(double(paths).drop("_moved")), "paths")
+        moved = materialize(double(paths), "paths")
         paths = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return paths
@@ -34,26 +33,31 @@ def any_ancestor(df: DataFrame, keys: list[str], node: str, parent: str, flag: s
     """(keys, node, below): whether any proper ancestor carries ``flag``. Roots have a null parent."""
     flagged = df.select(*keys, F.col(node).alias(parent), F.col(flag).alias("_f"))
     state = materialize(df.select(*keys, node, parent).join(flagged, [*keys, parent], "left").select(
-        *keys, node, F.col(parent).alias("_ptr"), F.coalesce("_f", F.lit(False)).alias("below")
-    ), "ancestors")
+        *keys, node, F.col(parent).alias("_ptr"), F.coalesce("_f", F.lit(False)).alias("below")), "ancestors")
+
+    def double(now: DataFrame) -> DataFrame:
+        ahead = now.select(*keys, F.col(node).alias("_ptr"), F.col("_ptr").alias("_next"), F.col("below").alias("_more"))
+        return now.join(ahead, [*keys, "_ptr"], "left").select(
+            *keys, node, F.col("_next").alias("_ptr"), (F.col("below") | F.coalesce("_more", F.lit(False))).alias("below"))
+
     while not state.where(F.col("_ptr").isNotNull()).isEmpty():
-        ahead = state.select(*keys, F.col(node).alias("_ptr"), F.col("_ptr").alias("_next"), F.col("below").alias("_more"))
-        state = materialize(state.join(ahead, [*keys, "_ptr"], "left").select(
-            *keys, node, F.col("_next").alias("_ptr"), (F.col("below") | F.coalesce("_more", F.lit(False))).alias("below")
-        ), "ancestors")
+        state = materialize(double(state), "ancestors")
     return state.drop("_ptr")
 
 
 def sum_below(df: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """(node, value): sum of ``value`` over a node and everything below it, in log-depth rounds."""
+
+    def double(now: DataFrame) -> DataFrame:
+        gained = now.where(F.col("_ptr").isNotNull()).groupBy(F.col("_ptr").alias(node)).agg(F.sum(value).alias("_gain"))
+        ahead = now.select(F.col(node).alias("_ptr"), F.col("_ptr").alias("_next"))
+        return (
+            now.join(gained, node, "left").join(ahead, "_ptr", "left")
+            .select(node, F.col("_next").alias("_ptr"), (F.col(value) + F.coalesce("_gain", F.lit(0))).alias(value)))
+
     state = materialize(df.select(node, F.col(parent).alias("_ptr"), value), "sums")
     while not state.where(F.col("_ptr").isNotNull()).isEmpty():
-        gained = state.where(F.col("_ptr").isNotNull()).groupBy(F.col("_ptr").alias(node)).agg(F.sum(value).alias("_gain"))
-        ahead = state.select(F.col(node).alias("_ptr"), F.col("_ptr").alias("_next"))
-        state = materialize(
-            state.join(gained, node, "left").join(ahead, "_ptr", "left")
-            .select(node, F.col("_next").alias("_ptr"), (F.col(value) + F.coalesce("_gain", F.lit(0))).alias(value)), "sums"
-        )
+        state = materialize(double(state), "sums")
     return state.drop("_ptr")
 
 
@@ -103,22 +107,26 @@ def rank_nodes(
     Scores of a key start at 1/n and add up to 1; every node has an edge, so none dangles.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    both = edges.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"), w.alias("w")).unionByName(
-        edges.select(*keys, F.col("b").alias("src"), F.col("a").alias("dst"), w.alias("w"))
-    )
-    out = both.groupBy(*keys, "src").agg(F.sum("w").alias("_out"))
-    links = materialize(both.join(out, [*keys, "src"]).select(*keys, "src", "dst", (F.col("w") / F.col("_out")).alias("p")), "links")
+    pairs = materialize(edges.select(*keys, "a", "b", w.alias("w")), "pairs")
+    both = pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    out = both.groupBy(*keys, "a").agg(F.sum("w").alias("_out"))
     count = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    nodes = materialize(out.join(count, keys).select(*keys, F.col("src").alias("node"), "_n"), "nodes")
-    scores = nodes.select(*keys, "node", "_n", (1 / F.col("_n")).alias("score"))
+    nodes = materialize(out.join(count, keys).withColumn("src", F.monotonically_increasing_id()), "nodes")
+    source = nodes.select(*keys, "a", "src", "_out")
+    target = nodes.select(*keys, F.col("a").alias("b"), F.col("src").alias("dst"))
+    # Number the nodes once and lay links and nodes out by source: a round then moves only summed scores.
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = both.join(source, [*keys, "a"]).join(target, [*keys, "b"]).select("src", "dst", (F.col("w") / F.col("_out")).alias("p"))
+    links = materialize(links, "links").repartition(parts, "src").persist()
+    sizes = nodes.select("src", "_n").repartition(parts, "src").persist()
+    scores = sizes.select("src", (1 / F.col("_n")).alias("score"))
     for i in range(rounds):
-        given = scores.select(*keys, F.col("node").alias("src"), "score")
-        received = links.join(given, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(
-            F.sum(F.col("p") * F.col("score")).alias("_got")
-        )
-        scores = nodes.join(received, [*keys, "node"], "left").select(
-            *keys, "node", "_n", ((1 - damping) / F.col("_n") + damping * F.coalesce("_got", F.lit(0.0))).alias("score")
-        )
-        if i % 5 == 4:
+        received = links.join(scores, "src").groupBy(F.col("dst").alias("src")).agg(F.sum(F.col("p") * F.col("score")).alias("_got"))
+        scores = sizes.join(received, "src", "left").select(
+            "src", ((1 - damping) / F.col("_n") + damping * F.coalesce("_got", F.lit(0.0))).alias("score"))
+        if i % 5 == 4 or i == rounds - 1:
             scores = materialize(scores, "scores")
-    return scores.select(*keys, "node", "score")
+    links.unpersist()
+    sizes.unpersist()
+    return nodes.select(*keys, F.col("a").alias("node"), "src").join(scores, "src").select(*keys, "node", "score")

@@ -59,8 +59,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy projections over a small input.
 
-    A file with one row group is read by one task. If the scan has fewer splits than the session has
-    cores, the rows are dealt out; a large table has many splits and is left alone.
+    A file with one row group is read by one task. If the scan has less than half as many splits as
+    the session has cores, the rows are dealt out; a large table has many splits and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -93,8 +93,12 @@ def cluster_stream(stream: DataFrame, model: GrowingClusters, target: str, check
     run_to_end(stream, each, checkpoint)
 
 
-def file_stream(spark: SparkSession, df: DataFrame, batches: int, order: str, name: str) -> DataFrame:
-    """Write ``df`` as ``batches`` files by ranges of ``order`` and read them back as a stream, one file per batch."""
+def file_stream(spark: SparkSession, df: DataFrame, batches: int, order: str, name: str, files: int | None = None) -> DataFrame:
+    """Replay ``df`` as a stream: ``batches`` ranges of ``order``, written one after the other as ``files`` files
+    each, and read back one range per micro-batch."""
     path = work_path(spark, name)
-    df.repartitionByRange(batches, order).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = files or spark.sparkContext.defaultParallelism
+    ranged = materialize(df.repartitionByRange(batches, order).withColumn("_batch", F.spark_partition_id()), "replay")
+    for i in range(batches):
+        ranged.where(F.col("_batch") == i).drop("_batch").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
