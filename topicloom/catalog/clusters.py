@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicloom.catalog.base import articles, in_list, query, strip_sql, table
+from topicloom.catalog.base import articles, in_list, query, table
 from topicloom.catalog.similarity import RAW, raw, unit
 from topicloom.catalog.text import SENTENCES_SQL
 from topicloom.functions import stopwords as sw
@@ -273,5 +273,3 @@ def fluent_chain(spark, sf):
     found = Pipe(*[d.where(F.col("embedding").isNotNull()) for d in pipe.value()]).nearest(3).value()
     return found.withColumn("distance", F.round("distance", 6))
 
-
-__all__ = ["strip_sql"]

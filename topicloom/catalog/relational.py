@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.base import ARTICLES, articles, annotated, entities_sql, query, table
 from topicloom.functions import entities as en
-from topicloom.functions import text as tx
-from topicloom.functions import vectors as vx
 from topicloom.operators import relational as rel
 from topicloom.operators import topics as tp
 from topicloom.operators.entities import gazetteer, mention_grams, tag
@@ -372,5 +370,3 @@ def plot_bars(spark, sf):
 
     return bars(rel.relink(coordinates(spark, sf), labeled(spark, sf), articles(spark, sf)), "topic_number")
 
-
-__all__ = ["coordinates", "labeled", "tx", "vx"]

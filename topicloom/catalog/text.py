@@ -6,12 +6,10 @@ import string
 
 from pyspark.sql import functions as F
 
-from topicloom.catalog.base import ARTICLES, STRIP, articles, in_list, query, quoted, rules_sql, strip_sql, table
+from topicloom.catalog.base import ARTICLES, articles, in_list, query, quoted, rules_sql, strip_sql, table
 from topicloom.functions import stopwords as sw
 from topicloom.functions import text as tx
-from topicloom.operators import relational as rel
 from topicloom.operators import tokens as tk
-from topicloom.operators.topics import topic_documents  # noqa: F401
 
 STOP = sw.default_stopwords()
 

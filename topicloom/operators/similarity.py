@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as vx
-from topicloom.operators.cells import BLOCK_ROWS, CELL_ROWS, build_cells, knn, sql_type
+from topicloom.operators.cells import BLOCK_ROWS, CELL_ROWS, build_cells, knn
 from topicloom.operators.ranking import top_in_group
 from topicloom.session import materialize
 
@@ -28,7 +28,7 @@ def members(df: DataFrame, groups: DataFrame, uid: str, vec: str, by: list[str]
     return df.select(*(by or []), uid, vec).join(groups.select(*(by or []), vec, "rep"), [*(by or []), vec]).select("rep", uid)
 
 
-def _dimension_known(metric: str) -> str:
+def _space(metric: str) -> str:
     if metric not in SPACES:
         raise ValueError(f"unknown metric {metric!r}")
     return SPACES[metric]
@@ -44,7 +44,7 @@ def nearest(
     distance matrix of the all-pairs form is never made: ask for the neighbors needed. ``probes``
     searches only that many cells per row, which is approximate.
     """
-    space = _dimension_known(metric)
+    space = _space(metric)
     wanted = top_k if include_self else top_k + 1
     x_groups = materialize(collapse(x, uid, vec), "x-groups")
     y_groups = x_groups if y is x else materialize(collapse(y, uid, vec), "y-groups")
@@ -72,7 +72,7 @@ def nearest_to_centroids(
     cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For every cluster of x the ``ceil(size / top_k)`` y rows nearest to its center. Outliers (-1) are no cluster."""
-    space = _dimension_known(metric)
+    space = _space(metric)
     middle = materialize(centroids(x.where(F.col(label) >= 0), label, vec), "centroids")
     probe_rows = middle.select(label, F.col("centroid").alias(vec), F.ceil(F.col("size") / top_k).alias("_want"))
     cells = build_cells(y.select(F.col(uid).alias("_y"), vec), "_y", vec, space=space, cell_rows=cell_rows, block_rows=block_rows)
@@ -151,8 +151,3 @@ def silhouette(df: DataFrame, uid: str, vec: str, label: str, measure: str = "co
     """Mean silhouette of all rows."""
     return silhouette_rows(df, uid, vec, label, measure).agg(F.avg("silhouette").alias("silhouette"))
 
-
-__all__ = [
-    "Column", "centroids", "collapse", "members", "most_similar_words", "nearest", "nearest_to_centroids", "search",
-    "silhouette", "silhouette_rows", "similar_pairs", "sql_type",
-]
