@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicloom.catalog.base import articles, in_list, query, table
+from topicloom.catalog.base import articles, in_list, query, rules_sql, table
 from topicloom.catalog.similarity import RAW, raw, unit
 from topicloom.catalog.text import SENTENCES_SQL
 from topicloom.functions import stopwords as sw
@@ -74,11 +74,28 @@ def topic_keywords(spark, sf):
 @query("core_distances", f"""WITH {RAW}, d AS (SELECT a.vec_id, list_distance(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rk
   FROM u a, u b WHERE a.vec_id <> b.vec_id) SELECT vec_id, round(d, 6) AS core FROM d WHERE rk = 3""")
 def core_distances(spark, sf):
-    tree = dn.build_tree(raw(spark, sf), "vec_id", "embedding", 3)
-    return tree.members.join(tree.points.select("rep", "core"), "rep").select("vec_id", F.round("core", 6).alias("core"))
+    return dn.core_distances(raw(spark, sf), "vec_id", "embedding", 3).withColumn("core", F.round("core", 6))
 
 
-@query("spanning_tree")
+def _spanning_tree_sql(rounds: int) -> str:
+    """Boruvka rounds unrolled over all pairs; joined components are found by recursion over the picked edges."""
+    steps = "".join(f""",
+  o{i} AS MATERIALIZED (SELECT x.c AS ca, y.c AS cb, min(struct_pack(w := w, lo := lo, hi := hi)) AS e FROM w JOIN c{i} x ON x.id = lo JOIN c{i} y ON y.id = hi WHERE x.c <> y.c GROUP BY x.c, y.c),
+  p{i} AS MATERIALIZED (SELECT c, min(e) AS e FROM (SELECT ca AS c, e FROM o{i} UNION ALL SELECT cb, e FROM o{i}) GROUP BY c),
+  l{i} AS MATERIALIZED (SELECT x.c AS a, y.c AS b FROM (SELECT DISTINCT e FROM p{i}) JOIN c{i} x ON x.id = e.lo JOIN c{i} y ON y.id = e.hi),
+  n{i} AS MATERIALIZED (SELECT a, b FROM l{i} UNION SELECT b, a FROM l{i}),
+  r{i} AS (SELECT DISTINCT c AS a, c AS b FROM c{i} UNION SELECT r{i}.a, n{i}.b FROM r{i} JOIN n{i} ON n{i}.a = r{i}.b),
+  m{i} AS MATERIALIZED (SELECT a, min(b) AS low FROM r{i} GROUP BY a),
+  c{i + 1} AS MATERIALIZED (SELECT id, low AS c FROM c{i} JOIN m{i} ON a = c)""" for i in range(rounds))
+    picked = " UNION ".join(f"SELECT e FROM p{i}" for i in range(rounds))
+    return f"""WITH RECURSIVE {RAW}, d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d FROM u a, u b WHERE a.vec_id <> b.vec_id),
+  k AS MATERIALIZED (SELECT a AS id, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM d) WHERE rk = 3),
+  w AS MATERIALIZED (SELECT greatest(x.core, y.core, d) AS w, a AS lo, b AS hi FROM d JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE a < b),
+  c0 AS MATERIALIZED (SELECT vec_id AS id, vec_id AS c FROM u){steps}
+SELECT e.lo AS lo, e.hi AS hi, round(e.w, 6) AS w FROM ({picked})"""
+
+
+@query("spanning_tree", _spanning_tree_sql(9))
 def spanning_tree(spark, sf):
     """Minimum spanning tree of the mutual reachability distances."""
     return dn.build_tree(raw(spark, sf), "vec_id", "embedding", 3).edges.withColumn("w", F.round("w", 6))
@@ -182,7 +199,7 @@ def topic_model(spark, sf):
     return ft.topic_model(docs, "tokens", k=10, passes=5)
 
 
-@query("model_embeddings")
+@query("model_embeddings", "SELECT doc_id, CAST(length(text) AS FLOAT) AS length FROM documents")
 def model_embeddings(spark, sf):
     """Batch inference with a plugged-in encoder (here: letter counts)."""
 
@@ -264,12 +281,25 @@ def batch_job(spark, sf):
     return src.read_table(spark, topics)
 
 
-@query("fluent_chain")
+_ITEM_VECTORS = """{0}n AS (SELECT id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 64 AS dim, count(*) AS n FROM (
+    SELECT {1} AS id, unnest(regexp_extract_all(lower({2}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {3}) GROUP BY ALL),
+  {0}v AS (SELECT id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS v FROM {0}n)"""
+
+
+def _chain_sql() -> str:
+    clean = rules_sql("text", tx.cleaning_rules())
+    return f"""WITH {_ITEM_VECTORS.format('x', 'item_id', clean, 'benchmark')}, {_ITEM_VECTORS.format('y', 'doc_id', clean, 'documents')},
+  s AS (SELECT x.id AS article_uid, y.id AS neighbor, 1 - sum(x.v * y.v) AS distance FROM xv x JOIN yv y USING (dim) GROUP BY x.id, y.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY article_uid ORDER BY round(distance, 9), neighbor) AS rank FROM s)
+SELECT article_uid, neighbor, CAST(rank AS INTEGER) AS rank, abs(round(distance, 6)) AS distance FROM r WHERE rank <= 3"""
+
+
+@query("fluent_chain", _chain_sql())
 def fluent_chain(spark, sf):
     """Benchmark items against documents: clean, embed, normalize, nearest three."""
     x = table(spark, sf, "benchmark").select(F.col("item_id").alias("article_uid"), "text")
     y = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("article_uid"), "text")
     pipe = Pipe(x, y).clean("text").embed("text").normalize()
     found = Pipe(*[d.where(F.col("embedding").isNotNull()) for d in pipe.value()]).nearest(3).value()
-    return found.withColumn("distance", F.round("distance", 6))
+    return found.withColumn("distance", F.abs(F.round("distance", 6)))
 

@@ -81,6 +81,16 @@ def _neighbors(groups: DataFrame, by: list[str], vec: str, min_samples: int, cel
     return cells, materialize(points, "points"), lists
 
 
+def core_distances(
+    df: DataFrame, uid: str, vec: str, min_samples: int = 3, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(uid, core): distance of every row's ``min_samples``-th nearest other row."""
+    base = materialize(df.select(uid, vec), "input")
+    groups = materialize(base.groupBy(vec).agg(F.min(uid).alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
+    _, points, _ = _neighbors(groups, [], vec, min_samples, cell_rows, block_rows)
+    return base.join(points.select(vec, "core"), vec).select(uid, "core")
+
+
 def _outgoing(schema_uid: str, vec: str, alpha: float):
     """Per probe the lightest edge to another component, at most as heavy as the probe's limit."""
 
