@@ -8,8 +8,8 @@ from topicloom.catalog.base import ARTICLES, articles, annotated, entities_sql,
 from topicloom.functions import entities as en
 from topicloom.operators import relational as rel
 from topicloom.operators import topics as tp
-from topicloom.operators.entities import gazetteer, mention_grams, tag
-from topicloom.session import work_path
+from topicloom.operators.entities import find_names, gazetteer, known_names, tag
+from topicloom.session import materialize, work_path
 from topicloom.sources import tables as src
 
 EMB = "embeddings AS e"
@@ -338,9 +338,9 @@ SELECT doc_id AS article_uid, name, type, round(score, 6) AS score, count(*) AS
 def entity_tagging(spark, sf):
     """Names annotated in headlines, found again in the whole texts."""
     base = annotated(spark, sf)
-    mentions = base.select(F.explode(mention_grams(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    names = gazetteer(base, en.parse_entities(F.col("kicker_headline_NER")), mentions)
-    return tag(base, "article_uid", "text", names, 0.70).withColumn("score", F.round("score", 6))
+    names = materialize(known_names(base, en.parse_entities(F.col("kicker_headline_NER"))), "names")
+    found = materialize(find_names(base, "article_uid", "text", names), "mentions")
+    return tag(found, "article_uid", gazetteer(names, found), 0.70).withColumn("score", F.round("score", 6))
 
 
 @query("entity_lists_flat", f"""WITH {ARTICLES}, text_e AS ({entities_sql('text')}), head_e AS ({entities_sql('headline')})

@@ -12,6 +12,7 @@ from topicloom.operators import features as ft
 from topicloom.operators import metrics as mt
 from topicloom.operators import tokens as tk
 from topicloom.operators import topics as tp
+from topicloom.session import materialize
 
 STOP = sw.default_stopwords()
 
@@ -185,7 +186,7 @@ def sif_pair_vectors(spark, sf):
     turns = table(spark, sf, "conversations").select(
         "conv_id", F.floor(F.col("turn") / 2).alias("pair"), (F.col("turn") % 2).alias("side"), "text"
     )
-    counts = tk.term_counts(turns, ["conv_id", "pair", "side"], tx.words(F.col("text")))
+    counts = materialize(tk.term_counts(turns, ["conv_id", "pair", "side"], tx.words(F.col("text"))), "counts")
     total = counts.groupBy("conv_id", "pair", "term").agg(F.sum("n").alias("total"))
     out = ft.sif_vectors(counts, ["conv_id", "pair", "side"], known_words(spark, sf), DIMS, frequency=total)
     return out.select("conv_id", "pair", F.col("side").cast("long").alias("side"), *[F.round(F.col("sif")[i - 1], 9).alias(f"d{i}") for i in (1, 2, 64)])

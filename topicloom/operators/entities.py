@@ -9,20 +9,13 @@ from topicloom.functions import text as tx
 from topicloom.functions.vectors import let
 
 
-def gazetteer(annotated: DataFrame, entities: Column, mentions: DataFrame) -> DataFrame:
-    """Known names with their most frequent type and a score.
-
-    ``mentions`` counts lower-case n-grams of the corpus (term, n). The score is the share of the
-    mentions of a name that were annotated, at most 1.
-    """
+def known_names(annotated: DataFrame, entities: Column) -> DataFrame:
+    """(name, type, annotated): lower-case names, most frequent type, times annotated."""
     found = annotated.select(F.explode(entities).alias("e")).groupBy(
         F.lower("e.text").alias("name"), F.col("e.type").alias("type")
     ).agg(F.count(F.lit(1)).alias("n"))
-    best = found.groupBy("name").agg(
-        F.sum("n").alias("annotated"), F.min(F.struct((-F.col("n")).alias("k"), "type"))["type"].alias("type")
-    )
-    return best.join(mentions, best["name"] == mentions["term"]).select(
-        "name", "type", F.least(F.col("annotated") / F.col("n"), F.lit(1.0)).alias("score")
+    return found.groupBy("name").agg(
+        F.min(F.struct((-F.col("n")).alias("k"), "type"))["type"].alias("type"), F.sum("n").alias("annotated")
     )
 
 
@@ -32,13 +25,21 @@ def mention_grams(col: Column, longest: int = 3) -> Column:
     return let(tokens, lambda t: F.flatten(F.array(*[tx.ngrams(t, n) for n in range(1, longest + 1)])))
 
 
-def tag(df: DataFrame, uid: str, text: str, names: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """(uid, name, type, mentions) for every known name with a score above ``threshold`` found in the text.
+def find_names(df: DataFrame, uid: str, text: str, names: DataFrame) -> DataFrame:
+    """(uid, name, mentions): known names in the texts.
 
-    Mentions are counted per document before the join, so a frequent name costs one row per document.
+    N-grams that are no name are dropped by the join before anything is counted.
     """
-    counted = (
-        df.select(uid, F.explode(mention_grams(F.col(text))).alias("name")).groupBy(uid, "name")
-        .agg(F.count(F.lit(1)).alias("mentions"))
-    )
-    return counted.join(names.where(F.col("score") > threshold), "name").select(uid, "name", "type", "score", "mentions")
+    grams = df.select(uid, F.explode(mention_grams(F.col(text))).alias("name"))
+    return grams.join(names.select("name"), "name", "left_semi").groupBy(uid, "name").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+def gazetteer(names: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, type, score): the score is the share of a name's mentions that were annotated, at most 1."""
+    total = found.groupBy("name").agg(F.sum("mentions").alias("n"))
+    return names.join(total, "name").select("name", "type", F.least(F.col("annotated") / F.col("n"), F.lit(1.0)).alias("score"))
+
+
+def tag(found: DataFrame, uid: str, names: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """(uid, name, type, score, mentions) of the names whose score is above ``threshold``."""
+    return found.join(names.where(F.col("score") > threshold), "name").select(uid, "name", "type", "score", "mentions")

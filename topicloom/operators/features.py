@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions import vectors as vx
+from topicloom.session import materialize
 
 
 def tf_idf(counts: DataFrame, uid: str, documents: int) -> DataFrame:
     """L2-normalized ``n * (ln((1+N)/(1+df)) + 1)`` of (uid, term, n), in long form."""
+    counts = materialize(counts, "counts")
     df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = counts.join(df_, "term").withColumn(
         "w", F.col("n") * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)

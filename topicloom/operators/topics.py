@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.ranking import rank_in_group, top_in_group
+from topicloom.session import materialize
 
 # Weights of the annotation fields and entity types that do not vote.
 ENTITY_WEIGHTS = {"text_ne": 1, "seo_title_ne": 2, "kicker_headline_ne": 3}
@@ -39,8 +40,10 @@ def c_tf_idf_from_counts(counts: DataFrame, topic: str, m: int | DataFrame) -> D
     """Class-based TF-IDF of (topic, term, n): ``n / topic total * ln(m / term total)``.
 
     Negative if a term occurs more than ``m`` times. ``m`` is the number of articles, or a one-row
-    DataFrame holding it. All totals are sums over the already reduced counts.
+    DataFrame holding it. The counts are written once, so that both totals and the scores read the
+    reduced table instead of going through the texts three times.
     """
+    counts = materialize(counts, "counts")
     topic_total = counts.groupBy(topic).agg(F.sum("n").alias("topic_total"))
     term_total = counts.groupBy("term").agg(F.sum("n").alias("term_total"))
     joined = counts.join(topic_total, topic).join(term_total, "term")
