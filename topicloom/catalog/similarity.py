@@ -79,7 +79,7 @@ def approximate_nearest(spark, sf):
 
 @query("search_by_article", f"""WITH {UNIT}, q AS (SELECT vec_id AS query, e AS qe FROM u WHERE vec_id = 7),
   s AS (SELECT query, vec_id, round(list_inner_product(e, qe), 9) AS score FROM u, q),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s WHERE vec_id >= 0)
+  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, source, CAST(DATE '2020-09-01' + CAST(doc_id % 14 AS INTEGER) AS VARCHAR) AS created_at
 FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 20""")
 def search_by_article(spark, sf):

@@ -111,10 +111,11 @@ def build_cells(
     return Cells(tagged, sizes, pivots, radii, uid, vec, tuple(by), space, block_rows)
 
 
-def route(cells: Cells, probes: int | None = None, skip: dict[int, object] | None = None):
+def route(cells: Cells, probes: int | None = None, skip: dict[int, object] | None = None, others: bool = False):
     """UDF giving the cells a vector must visit for a radius, or its ``probes`` nearest cells.
 
-    ``skip`` maps cells to a tag; a probe carrying that tag has no business there.
+    ``skip`` maps cells to a tag; a probe carrying that tag has no business there. ``others`` leaves
+    out the nearest cell.
     """
     pivots, radii, space = cells.pivots, cells.radii, cells.space
     gaps = rough(pivots, pivots, space)
@@ -137,6 +138,8 @@ def route(cells: Cells, probes: int | None = None, skip: dict[int, object] | Non
                 plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap)
             low = np.maximum(low, np.where(gap > 0, plane, 0.0))
         keep = (low <= reach[:, None]) & live[None, :]
+        if others:
+            keep[np.arange(len(d)), np.where(live[None, :], d, np.inf).argmin(1)] = False
         if skip:
             tags = tag.tolist()
             for cell, value in skip.items():
@@ -149,13 +152,14 @@ def route(cells: Cells, probes: int | None = None, skip: dict[int, object] | Non
 def probe(
     x: DataFrame, cells: Cells, uid: str, vec: str, radius: Column, fn: Callable, schema: str,
     probes: int | None = None, skip: dict[int, object] | None = None, tag: Column | None = None, rows: DataFrame | None = None,
+    others: bool = False,
 ) -> DataFrame:
     """Run ``fn(left, right)`` on every (chunk of probes, block of a cell) that must meet.
 
     ``rows`` replaces the indexed rows by a version with more columns.
     """
     by, size = list(cells.by), cells.block_rows
-    visits = route(cells, probes, skip)
+    visits = route(cells, probes, skip, others)
     tag = F.lit(None).cast("string") if tag is None else tag.cast("string")
     placed = materialize(x.withColumn("_cells", visits(F.col(vec), radius.cast("double"), tag)), "probes")
     routed = placed.withColumn("cell", F.explode("_cells")).drop("_cells")
@@ -263,6 +267,5 @@ def knn(
     bounded = wide.drop("_radius").join(bound, [*by, uid], "left").withColumn(
         "_radius", F.when(F.col("_got") >= F.col("_k"), F.col("_far")).otherwise(F.lit(float("inf")))
     ).drop("_far", "_got")
-    second = probe(bounded, cells, uid, vec, F.col("_radius"), local, schema)
-    # A row of the own cell is found again by the second search.
-    return kept(second)
+    second = probe(bounded, cells, uid, vec, F.col("_radius"), local, schema, others=True)
+    return kept(first.drop("rank").unionByName(second))
