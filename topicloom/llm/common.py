@@ -16,6 +16,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return taken.select(*[F.col(f"_{names.index(old)}").alias(new) for new, old in columns.items()])
 
 
+def with_row(df: DataFrame, **columns: str) -> DataFrame:
+    """Like ``pick``, with the whole row as the struct ``doc``, so that no name of it can clash. ``unpacked`` gives the row back."""
+    names = df.columns
+    taken = df.toDF(*[f"_{i}" for i in range(len(names))])
+    row = F.struct(*[F.col(f"_{i}") for i in range(len(names))]).alias("doc")
+    return taken.select(*[F.col(f"_{names.index(old)}").alias(new) for new, old in columns.items()], row)
+
+
+def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns of the struct ``doc`` under their names, some of them changed."""
+    return df.select(*[changed.get(c, F.col(f"doc._{i}")).alias(c) for i, c in enumerate(names)])
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in order; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))

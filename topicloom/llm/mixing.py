@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import count_words, pick, salted_join
+from topicloom.llm.common import count_words, pick, salted_join, with_row
 from topicloom.session import materialize
 
 
@@ -119,17 +119,15 @@ def mix(
     """One row per draw, and one with ``shard`` null for a document that is not drawn.
 
     Columns: row_id, doc_id, source, size, source_size, target, copy, words, shard, slot; with ``keep_text`` also the
-    document's columns as the struct ``doc``. Rows of a shard in the order of ``slot`` are its mixture.
+    document's row as the struct ``doc``. Rows of a shard in the order of ``slot`` are its mixture.
 
     Nulls: a null text has size 0 and is never drawn; null sources form a source of their own, after the others; a null id is an
     id. Repeated rows are documents of their own; ties in the permuted order go by size. An empty table gives no rows. Other
     columns are ignored, or kept in ``doc``. The same input gives the same draws.
     """
-    base = pick(docs, doc_id=id_col, source=source_col, text=text_col)
-    base = base.select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    if keep_text:
-        base = pick(docs.withColumn("_doc", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), doc_id=id_col, source=source_col, text=text_col, doc="_doc")
-        base = base.select("doc_id", "source", count_words(F.col("text")).alias("size"), "doc")
+    columns = {"doc_id": id_col, "source": source_col, "text": text_col}
+    base = with_row(docs, **columns) if keep_text else pick(docs, **columns)
+    base = base.withColumn("size", count_words(F.col("text"))).drop("text")
     # Stored, so that a row's number stays its own whenever it is read again.
     stored = materialize(base.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     drawn, sources = plan_copies(stored.drop("doc"), weights, share, most, seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import mixing
+from topicloom.llm import hostrules, mixing, rulefit, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -52,3 +52,67 @@ SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that a mixture of 150% of all words takes of each document, sources weighing 3, 1, 2."""
     return mixing.taken_words(mixing.mix(table(spark, sf, "documents")))
+
+
+@query("op7_rule_ensemble")
+def op7_rule_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score per document from weighted rules over its statistics."""
+    docs = table(spark, sf, "documents")
+    return rulefit.score(docs, rulefit.fit(docs, table(spark, sf, "labels")))
+
+
+HOST_RULES_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (
+  SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM parts WHERE len(words) >= 5)),
+twice AS (SELECT rid, w FROM windows GROUP BY rid, w HAVING count(*) >= 2),
+covered AS (
+  SELECT rid, count(DISTINCT at) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS at FROM windows JOIN twice USING (rid, w)) GROUP BY rid),
+counted AS (
+  SELECT p.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM parts p LEFT JOIN covered c ON p.rid = c.rid),
+judged AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats FROM counted),
+hosts AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS k
+  FROM (SELECT source, 'short' AS rule, short AS failed FROM judged UNION ALL SELECT source, 'repeats', repeats FROM judged) GROUP BY source, rule),
+moments AS (
+  SELECT rule, sum(n) AS total, sum(k) / sum(n) AS mean, avg(k / n) AS center, avg((k / n) * (k / n)) AS squares, avg(1 / n) AS inverse
+  FROM hosts GROUP BY rule),
+priors AS (SELECT *, squares - center * center - mean * (1 - mean) * inverse AS spread FROM moments),
+strengths AS (
+  SELECT rule, mean, CASE WHEN spread > 0 THEN greatest(0, least(mean * (1 - mean) / spread - 1, total)) ELSE total END AS strength FROM priors),
+rates AS (SELECT source, max((k + mean * strength) / (n + strength)) AS worst FROM hosts JOIN strengths USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+       NOT (short OR repeats) AND worst <= 0.5 AS kept
+FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
+"""
+
+
+@query("op8_host_rules", HOST_RULES_SQL)
+def op8_host_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Base rules per document, and the verdict with its host's shrunk failure rates."""
+    judged = hostrules.judge(table(spark, sf, "documents"))
+    return judged.select("doc_id", *hostrules.BASE, "base_failed", "kept")
+
+
+WARC_SQL = """
+WITH pages_in AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT rid, page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM pages_in),
+firsts AS (
+  SELECT payload_digest, arg_min(rid, page_id) AS first_rid, min(page_id) AS first_page FROM digests WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN rid <> coalesce(first_rid, rid) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN rid <> coalesce(first_rid, rid) THEN first_page END AS refers_to
+FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest
+"""
+
+
+@query("op9_warc", WARC_SQL)
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as archives, read back and put together."""
+    return warc.round_trip(table(spark, sf, "pages"))
