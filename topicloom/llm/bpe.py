@@ -12,9 +12,9 @@ lost executor costs only its own tasks. The vocabulary is a fixed file of at mos
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -31,7 +31,7 @@ MAX_TOKENS = 1 << BITS
 
 #: Characters of text per block, and pieces kept by a task before it starts anew: both bound a worker's memory only.
 BLOCK_CHARS = 16 << 20
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_200_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -59,10 +59,10 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        #: pieces after a blank, and pieces at the start of a text: their ids and decoded bytes
-        self.spaced: dict[str, tuple[list[int], bytes]] = {}
-        self.first: dict[str, tuple[list[int], bytes]] = {}
+        #: decimal ids joined by blanks, and the bytes decoded from them, of words and of pieces
+        self.words: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.spaced: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.first: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it can't be merged."""
@@ -160,33 +160,39 @@ class Codec:
             at = ranks.index(best)
             ids[at : at + 2] = [best]
 
-    def learn(self, pieces: Iterable[str], lead: str, known: dict) -> None:
+    def learn(self, pieces: set[str], lead: str, known: tuple[dict[str, str], dict[str, bytes]]) -> None:
         """Add the encodings of ``lead`` + piece to ``known``."""
-        split = {piece: self.split(lead + piece) for piece in pieces}
-        new = list(dict.fromkeys(w for words in split.values() for w in words if w not in self.words))
-        self.words.update(zip(new, self.replay(new), strict=True))
-        for piece, words in split.items():
-            ids = self.words[words[0]] if len(words) == 1 else list(chain.from_iterable(map(self.words.__getitem__, words)))
-            known[piece] = (ids, self.decode(ids))
+        split = {}
+        for piece in pieces.difference(known[0]):
+            # Letters alone are one word of the pattern.
+            split[piece] = [lead + piece] if piece.isalpha() else self.split(lead + piece)
+        texts, raws = self.words
+        new = list(set(chain.from_iterable(split.values())).difference(texts))
+        decimal, decode = self.decimal.__getitem__, self.decode
+        for word, ids in zip(new, self.replay(new), strict=True):
+            texts[word] = " ".join(map(decimal, ids))
+            raws[word] = decode(ids)
+        for piece, parts in split.items():
+            known[0][piece] = texts[parts[0]] if len(parts) == 1 else " ".join([texts[w] for w in parts])
+            known[1][piece] = raws[parts[0]] if len(parts) == 1 else b"".join([raws[w] for w in parts])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], bytes]]:
-        """Per text, its ids and the bytes they decode to."""
-        if len(self.spaced) + len(self.first) + len(self.words) > KEPT_PIECES:
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Per text, its decimal ids joined by blanks, and the bytes decoded from them."""
+        if len(self.spaced[0]) + len(self.words[0]) > KEPT_PIECES:
             self.forget()
-        fresh, firsts = set(), set()
-        for t in texts:
-            pieces = text_pieces(t)
-            firsts.update(pieces[:1])
-            fresh |= set(pieces[1:]).difference(self.spaced)
-        self.learn(firsts.difference(self.first), "", self.first)
-        self.learn(fresh, " ", self.spaced)
-        for t in texts:
-            pieces = text_pieces(t)
-            parts = [self.first[pieces[0]], *map(self.spaced.__getitem__, pieces[1:])] if pieces else []
-            yield list(chain.from_iterable([x[0] for x in parts])), b"".join([x[1] for x in parts])
+        cut = [text_pieces(t) for t in texts]
+        self.learn({p[0] for p in cut if p}, "", self.first)
+        self.learn(set(chain.from_iterable([p[1:] for p in cut])), " ", self.spaced)
+        ids, raw = self.spaced[0].__getitem__, self.spaced[1].__getitem__
+        for p in cut:
+            if p:
+                lead, rest = p[0], p[1:]
+                yield " ".join([self.first[0][lead], *map(ids, rest)]), b"".join([self.first[1][lead], *map(raw, rest)])
+            else:
+                yield "", b""
 
 
 def every_second(places: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -197,7 +203,8 @@ def every_second(places: np.ndarray, right: np.ndarray) -> np.ndarray:
     return places[(at - begin) % 2 == 0]
 
 
-LOOSE = re.compile(r" \s|\s |^\s|\s$").search
+#: A blank beside white space, in every way.
+LOOSE = ["  ", *[pair for c in map(chr, range(0x3001)) if c.isspace() and c != " " for pair in (f" {c}", f"{c} ")]]
 
 
 def text_pieces(text: str) -> list[str]:
@@ -205,7 +212,7 @@ def text_pieces(text: str) -> list[str]:
     if not text:
         return []
     pieces = text.split(" ")
-    if not LOOSE(text):
+    if not (text[0].isspace() or text[-1].isspace() or any(pair in text for pair in LOOSE)):
         return pieces
     out = [[pieces[0]]]
     for left, right in zip(pieces, pieces[1:], strict=False):
@@ -252,16 +259,17 @@ def tokenize(docs: DataFrame, tokens: list[bytes], pattern: str, digests: bool =
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        gc.disable()  # millions of small objects without cycles; the worker's memory is bounded by blocks
         own = codec(vocabulary.value, pattern)
         for ids, texts in blocks(batches):
             counts, left, right = [], [], []
-            for token_ids, decoded in own.encode(texts):
-                counts.append(len(token_ids))
+            for decimal, decoded in own.encode(texts):
+                counts.append(decimal.count(" ") + 1 if decimal else 0)
                 if digests:
-                    left.append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, token_ids)).encode()).hexdigest())
+                    left.append(hashlib.sha256(decimal.encode()).hexdigest())
                     right.append(hashlib.sha256(decoded).hexdigest())
                 else:
-                    left.append(np.array(token_ids, np.int32))
+                    left.append(np.array(decimal.split(), np.int32))
                     right.append(decoded)
             types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
             names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import hostrules, mixing, rulefit, warc
+from topicloom.llm import bpe, hostrules, mixing, rulefit, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -71,7 +71,7 @@ windows AS (
   FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM parts WHERE len(words) >= 5)),
 twice AS (SELECT rid, w FROM windows GROUP BY rid, w HAVING count(*) >= 2),
 covered AS (
-  SELECT rid, count(DISTINCT at) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS at FROM windows JOIN twice USING (rid, w)) GROUP BY rid),
+  SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS pos FROM windows JOIN twice USING (rid, w)) GROUP BY rid),
 counted AS (
   SELECT p.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
@@ -116,3 +116,12 @@ FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Pages written as archives, read back and put together."""
     return warc.round_trip(table(spark, sf, "pages"))
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts and digests of every document's ids, and of the bytes they decode to."""
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.tokenize(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
