@@ -40,17 +40,20 @@ def record(kind: str | Column, block: Column, headers: dict[str, Column]) -> Col
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
-def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Stored pages with row_id, payload_bytes, digest, and ``first``: (page_id, row_id) of the record that holds the payload, where another one does."""
+def stored_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, payload_bytes, digest, row_id), written so that a row keeps its number."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    stored = pick(pages, page_id=id_col, url=url_col, html=html_col).select(
+    return materialize(pick(pages, page_id=id_col, url=url_col, html=html_col).select(
         "page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"),
-        F.sha2(html.cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
-    stored = materialize(stored, "pages")
-    # Structs order by page_id, then row; a null page_id would come first, so its place is told by a flag.
+        F.sha2(html.cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row_id")), "pages")
+
+
+def revisits(stored: DataFrame) -> DataFrame:
+    """(row_id, first_row): rows whose payload another row holds. Only digests are shuffled; the first row has the smallest page_id."""
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_id")
-    shared = stored.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    return salted_join(stored, shared.where("n > 1").select("digest", "first"), "digest", F.col("row_id"))
+    narrow = stored.where(F.col("payload_bytes") >= LEAST_SHARED).select("row_id", "page_id", "digest")
+    shared = narrow.groupBy("digest").agg(F.min(order)["row_id"].alias("first_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return salted_join(narrow, shared, "digest", F.col("row_id"), how="inner").where("row_id <> first_row").select("row_id", "first_row")
 
 
 def write(
@@ -63,8 +66,11 @@ def write(
     revisits; among repeated page_ids the first row is. Null page_ids come after all others. A null html is an empty payload,
     a null url leaves the target header out. An empty table writes no record. Other columns are ignored.
     """
-    marked = payloads(pages, id_col, url_col, html_col)
-    revisit = F.col("first").isNotNull() & (F.col("first.row_id") != F.col("row_id"))
+    stored = stored_pages(pages, id_col, url_col, html_col)
+    total = stored.agg(F.sum("payload_bytes")).first()[0] or 0
+    # The pages move once: dealt to files by row, and the narrow table of revisits comes to them.
+    dealt = stored.repartition(max(1, -(-total // file_bytes)), "row_id").join(revisits(stored), "row_id", "left")
+    revisit = F.col("first_row").isNotNull()
     kind = F.when(revisit, "revisit").otherwise("response")
     own = record_id(F.col("row_id"), "capture")
     target = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -82,12 +88,10 @@ def write(
         record(kind, F.when(revisit, status).otherwise(F.concat(status, F.col("html"))), {
             "WARC-Record-ID": own, **shared, "WARC-Payload-Digest": F.concat(F.lit("sha256:"), F.col("digest")),
             "WARC-Profile": F.when(revisit, F.lit(SAME_PAYLOAD)),
-            "WARC-Refers-To": F.when(revisit, record_id(F.col("first.row_id"), "capture")), "Content-Type": F.lit("application/http; msgtype=response")}),
+            "WARC-Refers-To": F.when(revisit, record_id(F.col("first_row"), "capture")), "Content-Type": F.lit("application/http; msgtype=response")}),
         record("metadata", fields, {
             "WARC-Record-ID": record_id(F.col("row_id"), "metadata"), **shared, "WARC-Concurrent-To": own, "Content-Type": F.lit("application/warc-fields")}),
     )
-    total = marked.agg(F.sum("payload_bytes")).first()[0] or 0
-    dealt = marked.repartition(max(1, -(-total // file_bytes)), "row_id")
     dealt.select(F.explode(records).alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 
