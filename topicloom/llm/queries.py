@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import bpe, hostrules, mixing, rulefit, warc
+from topicloom.llm import bpe, hostrules, jaccard, mixing, rulefit, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -125,3 +125,28 @@ def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.tokenize(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+grams AS (
+  SELECT DISTINCT rid, g FROM (
+    SELECT rid, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM docs WHERE len(words) >= 5)
+    UNION ALL SELECT rid, array_to_string(words, ' ') FROM docs WHERE len(words) BETWEEN 1 AND 4)),
+sizes AS (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reached AS (SELECT rid AS a, rid AS b FROM docs UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+smallest AS (SELECT a AS rid, min(d.doc_id) AS component_id FROM reached JOIN docs d ON d.rid = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM docs JOIN smallest USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
+
+@query("op3_ngram_jaccard", JACCARD_SQL)
+def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
+    return jaccard.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
