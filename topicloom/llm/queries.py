@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import bpe, hostrules, jaccard, mixing, rulefit, warc
+from topicloom.llm import backoff, bpe, hostrules, jaccard, mixing, rulefit, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -150,3 +150,35 @@ FROM docs JOIN smallest USING (rid) LEFT JOIN sizes USING (rid)
 def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
     return jaccard.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: crc32 of a number's decimal text, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+BACKOFF_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {CRC32_SQL} % 5 = 1 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS words
+  FROM documents),
+tokens AS (
+  SELECT rid, held_out, words[i] AS w, CASE WHEN i = 1 THEN ' start' ELSE words[i - 1] END AS h
+  FROM (SELECT rid, held_out, words, unnest(range(1, len(words) + 1)) AS i FROM docs)),
+ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+twos AS (SELECT h, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w),
+histories AS (SELECT h, sum(c) AS c FROM twos GROUP BY h),
+total AS (SELECT sum(c) AS n, count(*) AS v FROM ones),
+weights AS (
+  SELECT rid, ones.c IS NOT NULL AS known, (coalesce(ones.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p,
+         coalesce(twos.c, 0) AS arc, coalesce(histories.c, 0) AS state
+  FROM tokens t LEFT JOIN ones ON t.w = ones.w LEFT JOIN twos ON t.h = twos.h AND t.w = twos.w LEFT JOIN histories ON t.h = histories.h, total)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       fsum(log10(p)) AS base_score, fsum(log10((arc + 64 * p) / (state + 64))) AS score
+FROM docs JOIN weights USING (rid), total GROUP BY rid, doc_id, held_out
+"""
+
+
+@query("op6_backoff_automaton", BACKOFF_SQL)
+def op6_backoff_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    """Unigram and automaton log-probabilities of every document."""
+    return backoff.score(table(spark, sf, "documents"))
