@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import backoff, bpe, hostrules, jaccard, mixing, rulefit, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -182,3 +182,9 @@ FROM docs JOIN weights USING (rid), total GROUP BY rid, doc_id, held_out
 def op6_backoff_automaton(spark: SparkSession, sf: str) -> DataFrame:
     """Unigram and automaton log-probabilities of every document."""
     return backoff.score(table(spark, sf, "documents"))
+
+
+@query("op10_dimension_scan")
+def op10_dimension_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return annscan.search(table(spark, sf, "embeddings"))
