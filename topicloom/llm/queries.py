@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, urlmarkov, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -188,3 +188,13 @@ def op6_backoff_automaton(spark: SparkSession, sf: str) -> DataFrame:
 def op10_dimension_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     return annscan.search(table(spark, sf, "embeddings"))
+
+
+#: Fixed by the contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op1_url_markov")
+def op1_url_markov(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every page's url, by rule or by two character models."""
+    return urlmarkov.judge(table(spark, sf, "pages"), URL_RULES).drop("score")
