@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, urlmarkov, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, secrets, urlmarkov, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -198,3 +198,9 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op1_url_markov(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict on every page's url, by rule or by two character models."""
     return urlmarkov.judge(table(spark, sf, "pages"), URL_RULES).drop("score")
+
+
+@query("op4_secret_forest")
+def op4_secret_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates for secrets in all documents, with the forest's verdict."""
+    return secrets.scan(table(spark, sf, "documents"))

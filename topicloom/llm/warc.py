@@ -2,7 +2,7 @@
 
 A page becomes three records of one archive file: its response (or a revisit, if an earlier record holds the same payload), the
 request and a metadata record; the last two name the first in WARC-Concurrent-To. Spark's text writer makes the files,
-gzipped, of about ``file_bytes`` before compression each; Spark's binary reader brings them back, and records are cut
+gzipped, of at most about ``file_bytes`` before compression; Spark's binary reader brings them back, and records are cut
 out by their Content-Length, so payloads may hold any bytes. Captures are put together by joins on record identifiers.
 """
 
@@ -68,8 +68,10 @@ def write(
     """
     stored = stored_pages(pages, id_col, url_col, html_col)
     total = stored.agg(F.sum("payload_bytes")).first()[0] or 0
-    # The pages move once: dealt to files by row, and the narrow table of revisits comes to them.
-    dealt = stored.repartition(max(1, -(-total // file_bytes)), "row_id").join(revisits(stored), "row_id", "left")
+    # The pages move once: dealt to files by row, and the narrow table of revisits comes to them. With fewer parts than a
+    # shuffle has by default, Spark would deal both sides anew.
+    files = max(-(-total // file_bytes), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored.repartition(files, "row_id").join(revisits(stored), "row_id", "left")
     revisit = F.col("first_row").isNotNull()
     kind = F.when(revisit, "revisit").otherwise("response")
     own = record_id(F.col("row_id"), "capture")
