@@ -251,6 +251,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
 def tokenize(docs: DataFrame, tokens: list[bytes], pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded binary) per document; with ``digests``, SHA-256 of both in their place.
 
+    ``decode`` gives ids back as bytes.
     ``ids_sha256`` is taken over the decimal ids joined by one blank. Nulls: a null text counts as empty and has no token; ids may be
     null. Repeated rows are encoded each. An empty table gives no rows. Other columns are ignored.
     """

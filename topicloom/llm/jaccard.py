@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import pick
+from topicloom.llm.common import pick, unpacked, with_row
 from topicloom.llm.textbytes import hashed_blocks, mix
 from topicloom.operators.graph import components
 from topicloom.session import materialize
@@ -298,8 +298,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cid, component_id) per document; ``component_id`` is the smallest doc_id reachable over links.
+    """(doc_id, n_shingles, component_id, cid, cluster) per document; ``component_id`` is the smallest doc_id reachable over links.
 
+    ``cid`` is the hash of the document's set, ``cluster`` the smallest cid reachable.
     Words are runs of characters other than ASCII white space, A-Z lowered. Fewer words than ``n`` are one n-gram. Texts that are
     null or without words have the empty set and link with nothing: their component is their own id. Ids are long numbers; a null
     id is never smallest, and a group of null ids only has a null component. Repeated rows are linked documents. An empty table
@@ -340,10 +341,39 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     group = components(links, met.select("cid").distinct(), "cid")
     smallest = classes.join(group, "cid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = group.join(smallest, "component").select("cid", "component_id")
-    known = classes.select("cid", F.col("doc_id").alias("rep")).join(linked, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = group.join(smallest, "component").select("cid", "component_id", F.col("component").alias("cluster"))
+    known = classes.select("cid", F.col("doc_id").alias("rep")).join(linked, "cid", "left")
+    known = known.select("cid", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("cluster", "cid").alias("cluster"))
     out = own.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(known, "cid", "left")
-    return out.select("doc_id", "n_shingles", "cid", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "cid", "cluster")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the one with the smallest id (a null id comes last).
+
+    Documents without words are in no group and all stay. Of repeated rows one stays.
+    """
+    joined = join(docs, n, percent, id_col, text_col).where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")
+    stays = joined.groupBy("cluster").agg(F.min(order).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.cid").alias("kept_cid"))
+    stays = materialize(stays, "stays")
+    rows = with_set_id(with_row(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), n)
+    found = rows.where("cid is not null").join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("cid") == F.col("kept_cid")))
+    return unpacked(found.dropDuplicates(["doc_id", "cid"]).unionByName(rows.where("cid is null"), allowMissingColumns=True), docs.columns)
+
+
+def with_set_id(rows: DataFrame, n: int) -> DataFrame:
+    """Adds the hash of the text's set, null for the empty one, and drops the text."""
+    kept = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            ids = [set_id(s) if len(s) else None for s in text_sets(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.int64())], [*kept, "cid"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return rows.mapInArrow(run, f"{kinds}, cid long")
 
 
 def of_class(rows: DataFrame, n: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import count_words, pick, salted_join, with_row
+from topicloom.llm.common import count_words, pick, salted_join, unpacked, with_row, words_of
 from topicloom.session import materialize
 
 
@@ -155,3 +155,20 @@ def taken_words(mixed: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per document: words the mixture takes of it, repeats counted."""
     same = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
     return mixed.groupBy("row_id").agg(*same, F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("words"))), F.lit(0)).alias("taken")).drop("row_id")
+
+
+def mixture(
+    docs: DataFrame, shards: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, **options,
+) -> DataFrame:
+    """The rows of ``docs`` as the mixture takes them, shard by shard and shuffled within each.
+
+    A row drawn twice stands there twice. The one document per source that is taken in part has its first words, joined by
+    blanks; ``chars_col`` is kept at the text's length.
+    """
+    mixed = mix(docs, shards=shards, id_col=id_col, text_col=text_col, source_col=source_col, keep_text=True, **options)
+    text = F.col(f"doc._{docs.columns.index(text_col)}")
+    cut = F.when(F.col("words") < F.col("size"), F.concat_ws(" ", F.slice(words_of(text), F.lit(1), F.col("words").cast("int")))).otherwise(text)
+    changed = {text_col: cut}
+    if chars_col:
+        changed[chars_col] = F.length(cut).cast(docs.schema[chars_col].dataType)
+    return unpacked(shuffled(mixed, shards), docs.columns, **changed)

@@ -134,11 +134,13 @@ def redacted(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     secrets = scan(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("is_secret")
     # One row per document: secrets of one id, longest first, so that none is cut by a shorter one inside it.
     per_doc = secrets.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias("found"))
-    rows = with_row(docs, doc_id=id_col, text=text_col).join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rows = with_row(docs, doc_id=id_col, text=text_col)
+    # Only texts with a candidate meet the findings; the others stay where they are.
+    holds = F.coalesce(F.regexp_like("text", F.lit(CANDIDATE)), F.lit(False))
+    met = rows.where(holds).join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     clean = F.aggregate(F.coalesce("found", F.array().cast("array<struct<n:int,candidate:string>>")), F.col("text"), lambda t, x: F.replace(t, x["candidate"], F.lit(MARK)))
-    rows = rows.withColumn("text", clean)
+    rows = met.withColumn("text", clean).select("doc", "text").unionByName(rows.where(~holds).select("doc", "text"))
     changed = {text_col: F.col("text")}
     if chars_col:
         changed[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
     return unpacked(rows, docs.columns, **changed)
-
