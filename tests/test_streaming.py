@@ -47,7 +47,7 @@ def twin(samples, p):
     return pot, out
 
 
-PARAMS = mc.Fading(lambd=0.1, eps=1.0, beta=0.5, mu=3.0)
+PARAMS = mc.Fading(lambd=0.1, eps=1.0, beta=0.5, mu=3.0, max_weight=2.0)
 
 
 def rows(n=80):
@@ -90,6 +90,36 @@ def test_lanes_and_offline_labels(spark):
     assert all(len(v) == 1 for v in groups.values()) and len(set.union(*groups.values())) == 3
 
 
+def test_cluster_born_on_a_pruning_step_stays():
+    for params in (mc.Fading(), mc.Fading(lambd=0.3, beta=0.6, mu=2.5)):
+        model = mc.MicroClusters(1)
+        model.learn(np.array([0.0]), 1.0, params)  # step 0 prunes
+        assert model.outlier.weight.tolist() == [1.0] and model.outlier.born.tolist() == [0]
+        for i in range(params.period):
+            model.learn(np.array([100.0 * (i + 1)]), 1.0, params)
+        assert 100.0 * params.period in model.outlier.mean.ravel()
+
+
+def test_weight_zero_is_an_empty_cluster():
+    params = mc.Fading(lambd=0)
+    model = mc.MicroClusters(1)
+    model.learn(np.array([500.0]), 0.0, params)
+    model.learn(np.array([-9000.0]), 1.0, params)  # the empty cluster begins anew with it
+    model.learn(np.array([500.0]), 1.0, params)
+    model.learn(np.array([700.0]), 0.0, params)  # joins its neighbor without effect
+    assert sorted(zip(model.outlier.mean.ravel().tolist(), model.outlier.weight.tolist())) == [(-9000.0, 1.0), (500.0, 1.0)]
+    assert not np.isnan(model.outlier.var).any()
+    model = mc.MicroClusters(1)
+    for v in (500.0, 700.0):
+        model.learn(np.array([v]), 0.0, params)  # nothing can join an empty cluster with nothing
+    assert model.outlier.weight.tolist() == [0.0, 0.0]
+
+
+def test_heavy_samples_are_refused():
+    with pytest.raises(ValueError, match="max_weight"):
+        mc.MicroClusters(1).learn(np.array([0.0]), 1.5, mc.Fading())
+
+
 def test_no_centers_means_outliers(spark):
     df = spark.createDataFrame([(1, "a", [0.0, 0.0])], "i long, k string, x array<double>")
     none = spark.createDataFrame([], "k string, lane int, t long, kind string, place int, center array<double>, weight double, radius double, born long")

@@ -33,7 +33,7 @@ STATE = ("t long, dim int, p_mean array<double>, p_var array<double>, p_weight a
 
 @dataclass(frozen=True)
 class Fading:
-    """Parameters, checked so that outlier clusters can ever become potential."""
+    """Parameters, checked so that outlier clusters can ever become potential. Samples heavier than ``max_weight`` are refused."""
 
     lambd: float = 0.1
     eps: float = 1.0
@@ -85,11 +85,14 @@ class Pool:
             return None
         i = int(np.linalg.norm(self.mean - x, axis=1).argmin())
         old = self.weight[i]
-        new = old * fade + w
-        step = x - self.mean[i]
-        mean = self.mean[i] + step * (w / new)
-        var = self.var[i] * ((new - w) / old) + w * (x - mean) * step
-        if np.linalg.norm(np.sqrt(var / new)) > eps:
+        if old > 0:
+            new = old * fade + w
+            step = x - self.mean[i]
+            mean = self.mean[i] + step * (w / new)
+            var = self.var[i] * ((new - w) / old) + w * (x - mean) * step
+        else:  # an empty cluster begins with this sample
+            new, mean, var = w, x, self.var[i]
+        if not new > 0 or not np.linalg.norm(np.sqrt(var / new)) <= eps:
             return None
         self.mean[i], self.var[i], self.weight[i] = mean, var, new
         return i
@@ -109,6 +112,8 @@ class MicroClusters:
         self.outlier = self.outlier or Pool.empty(self.dim)
 
     def learn(self, x: np.ndarray, w: float, p: Fading) -> None:
+        if not 0 <= w <= p.max_weight:
+            raise ValueError(f"sample weight {w} is not between 0 and max_weight = {p.max_weight}")
         fade = 2.0**-p.lambd
         if self.potential.absorb(x, w, fade, p.eps) is None:
             place = self.outlier.absorb(x, w, fade, p.eps)
@@ -120,8 +125,9 @@ class MicroClusters:
                 self.outlier = o.keep(np.arange(len(o.weight)) != place)
         if p.period is not None and self.t % p.period == 0:
             self.potential = self.potential.keep(self.potential.weight >= p.threshold)
-            age = self.t - self.outlier.born + p.period
-            least = (np.exp2(-p.lambd * age) - 1) / (2.0 ** (-p.lambd * p.period) - 1)
+            # One power function above and below, so that a cluster born now has the limit 1 exactly.
+            grown = lambda age: 2.0 ** (-p.lambd * age) - 1
+            least = np.array([grown(a) / grown(p.period) for a in (self.t - self.outlier.born + p.period).tolist()])
             self.outlier = self.outlier.keep(self.outlier.weight >= least)
         self.t += 1
 
