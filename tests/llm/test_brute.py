@@ -1,0 +1,314 @@
+"""Operators against brute force: what SQL can't say, and what it can at small sizes."""
+
+import collections
+import itertools
+import math
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, queries, rulefit, secrets, textbytes, urlmarkov, warc
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["A b\tc\x0bd", None, "", "  ", "a B", "x\x1cy z", "É é", "b"]
+    words = [["a", "b", "c", "d"], [], [], [], ["a", "b"], ["x\x1cy", "z"], ["É", "é"], ["b"]]
+    seen = {}
+    at = 0
+    for array in (pa.array(texts), pa.chunked_array([texts[:3], texts[3:]]), pa.array(["q", *texts]).slice(1)):
+        hashes, counts = zip(*[(h, c) for _, _, h, c in textbytes.hashed_blocks(array)])
+        assert np.concatenate(counts).tolist() == [len(w) for w in words]
+        for w, h in zip(itertools.chain(*words), np.concatenate(hashes).tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+            at += 1
+    assert len(set(seen.values())) == len(seen) and at == 3 * 10
+
+
+def test_blocks_are_dealt_exactly(spark):
+    quotas = [0, 5, 40, 211, 1]
+    got = mixing.deal_blocks(spark.createDataFrame(list(enumerate(quotas)), "rank int, blocks long"), 7, 3).collect()
+    assert collections.Counter(r["rank"] for r in got) == {i: n for i, n in enumerate(quotas) if n}
+    assert len({(r["rank"], r["block"]) for r in got}) == len(got)
+    by_shard = collections.Counter(r["shard"] for r in got)
+    assert set(by_shard) == set(range(7)) and max(by_shard.values()) - min(by_shard.values()) <= 1
+    # A large source's share of a shard is near its share of all blocks.
+    share = collections.Counter(r["shard"] for r in got if r["rank"] == 3)
+    assert all(20 <= share[s] <= 37 for s in range(7))
+
+
+def test_targets_are_shared_again(spark):
+    sizes = {"a": 1000, "b": 10, "c": 300, "d": 5, None: 70}
+    df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df, (3, 1, 2), 1.5, 2).collect()}
+    weight = dict(zip(["a", "b", "c", "d", None], [3, 1, 2, 3, 1]))
+    capped, want = set(), {}
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[k] for k in capped)
+        want = {k: 2 * sizes[k] if k in capped else left * weight[k] / sum(weight[x] for x in sizes if x not in capped) for k in sizes}
+        over = {k for k in sizes if want[k] > 2 * sizes[k]}
+        if not over:
+            break
+        capped |= over
+    assert all(math.isclose(got[k], want[k]) for k in sizes)
+
+
+def test_mixture_takes_what_was_planned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planned = {r["doc_id"]: r for r in mixing.taken_words(mixing.mix(docs)).collect()}
+    assert planned == {r["doc_id"]: r for r in mixing.taken_words(mixing.mix(docs.repartition(5))).collect()}
+    rows = mixing.mixture(docs, shards=8, chars_col="n_chars").collect()
+    taken = collections.Counter()
+    for r in rows:
+        taken[r["doc_id"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert {k: v for k, v in taken.items() if v} == {k: r["taken"] for k, r in planned.items() if r["taken"]}
+    by_source = collections.defaultdict(int)
+    target = {}
+    for r in docs.collect():
+        by_source[r["source"]] += planned[r["doc_id"]]["taken"]
+        target[r["source"]] = planned[r["doc_id"]]["target"]
+        assert planned[r["doc_id"]]["taken"] <= 2 * planned[r["doc_id"]]["size"]
+    assert all(abs(by_source[s] - target[s]) <= 0.5 for s in target)
+
+
+def brute_components(texts, n=5):
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        k = len(sets[a] & sets[b])
+        if k and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    return [root(i) for i in range(len(sets))], [len(s) for s in sets]
+
+
+def near_copies(rng, base, n, share):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for i in np.flatnonzero(rng.random(len(w)) < share):
+            w[i] = f"new{rng.integers(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_groups(spark, seed):
+    rng = np.random.default_rng(seed)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    texts = []
+    for n, share in ((150, 0.03), (60, 0.02), (400, 0.02)):  # clouds whose members link with some, not all
+        texts += near_copies(rng, word(n), 60, share)
+    passage = " ".join(word(70))
+    texts += [" ".join(word(30)) + " " + passage + " " + " ".join(word(int(rng.integers(1, 30)))) for _ in range(40)]
+    small = [f"s{i}" for i in range(14)]
+    texts += [" ".join(small[a:b]) for a in range(3) for b in range(a + 1, 15)] * 2  # small sets of every size
+    texts += ["", None, "  ", "One two", "one TWO", "one two three"]
+    want, sizes = brute_components(texts)
+    # Tiny blocks, so that long lists are cut.
+    block, jaccard.BLOCK = jaccard.BLOCK, 16
+    try:
+        got = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        jaccard.BLOCK = block
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+
+
+def test_overlap_and_prefix():
+    for a, b in itertools.product(range(1, 40), repeat=2):
+        o = jaccard.overlap(a, b, 80)
+        assert 100 * o >= 80 * (a + b - o) and 100 * (o - 1) < 80 * (a + b - o + 1)
+    assert [jaccard.prefix_length(n, 80) for n in (1, 4, 5, 10)] == [1, 1, 2, 3]
+    assert jaccard.choose_boundary({8: 100, 20: 10}, 80) >= 8
+
+
+def test_bpe_equals_the_library(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = ["a" * 1000, "abab" * 50, " \n\n  x  \t y ", "it's we'll 'tis", "日本語 😀😀\u200d", "a\u00a0b \u2003 c", "x \x1c y\x85 z", "<|endoftext|>", "\r\n \r\n"]
+    docs = docs.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(odd, 1)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in bpe.tokenize(docs, ranks, public_tokenizers.PATTERN).collect():
+        assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+        assert bytes(r["decoded"]) == texts[r["doc_id"]].encode()
+
+
+def test_replay_keeps_the_order_of_ranks():
+    # "ab" is learned late, "aba" early: after the first merge the lower rank goes first, so "abab" is not ab+ab.
+    tokens = [bytes([i]) for i in range(256)] + [b"aba", b"ab"]
+    codec = bpe.Codec(tokens, r"\S+")
+    library = tiktoken.Encoding("odd", pat_str=r"\S+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    for word in ("abab", "aabab", "ababab", "baba", "aaaa", "abaab"):
+        assert codec.replay([word])[0] == library.encode_ordinary(word)
+
+
+def test_backoff_weights_add_up(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1}
+    got = {r["doc_id"]: r for r in backoff.score(df, order=3, smoothing=(2.0, 3.0), chunk_bytes=200).collect()}
+    counts, histories = collections.Counter(), collections.Counter()
+    padded = lambda t: ["<s>", *t.split(), "</s>"]
+    for i, t in enumerate(texts):
+        if i not in held:
+            w = padded(t)
+            for j in range(1, len(w)):
+                for n in (1, 2, 3):
+                    if j - n + 1 >= 0:
+                        counts[tuple(w[j - n + 1 : j + 1])] += 1
+                        histories[tuple(w[j - n + 1 : j])] += 1
+    total, kinds = histories[()], sum(1 for k in counts if len(k) == 1)
+
+    def p(h, x):
+        if not h:
+            return (counts[(x,)] + 0.5) / (total + 0.5 * (kinds + 1))
+        m = {1: 2.0, 2: 3.0}[len(h)]
+        return (counts[(*h, x)] + m * p(h[1:], x)) / (histories[h] + m)
+
+    vocabulary = [k[0] for k in counts if len(k) == 1] + ["unseen"]
+    for h in ((), ("w1",), ("<s>",), ("w1", "w2"), ("<s>", "w3")):
+        assert math.isclose(sum(p(h, x) for x in vocabulary), 1.0)
+    for i, t in enumerate(texts):
+        w = padded(t)
+        want = sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(1, len(w)))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9) and got[i]["held_out"] == (i in held) and got[i]["train_tokens"] == total
+
+
+def test_rules_are_paths_and_scores_are_held_out(spark):
+    debug = "DecisionTree\n  If (feature 0 <= 2.5)\n   If (feature 1 <= 0.1)\n    Predict: 1.0\n   Else (feature 1 > 0.1)\n    Predict: 0.0\n  Else (feature 0 > 2.5)\n   Predict: 0.0\n"
+    assert rulefit.tree_paths(debug, ["x", "y"]) == [
+        (("x", "<=", 2.5),), (("x", "<=", 2.5), ("y", "<=", 0.1)), (("x", "<=", 2.5), ("y", ">", 0.1)), (("x", ">", 2.5),)]
+    sf = "/root/testdata/sf0.01"
+    got = queries.op7_rule_ensemble(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert all((r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in got)
+    assert sum(r["predicted"] == r["quality"] for r in got) >= 0.9 * len(got)
+    scores = [(r["score"], r["quality"]) for r in got]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in scores for b, y in scores if x == 1 and y == 0]
+    assert sum(pairs) >= 0.9 * len(pairs)
+
+
+def test_a_bad_host_goes_a_small_one_is_shrunk(spark):
+    good, bad = "these are ten good words in one quite ordinary line here", "too short"
+    rows = [(i, "bad", bad if i % 10 else good) for i in range(100)] + [(1000 + i, f"h{i % 8}", good) for i in range(400)] + [(5000, "new", bad), (5001, "new", good)]
+    got = {r["doc_id"]: r for r in hostrules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert not any(got[i]["kept"] for i in range(100)) and all(got[1000 + i]["kept"] for i in range(400))
+    assert got[5001]["kept"] and got[5001]["short_rate"] < 0.5
+
+
+def test_repeated_words(spark):
+    def brute(t):
+        w = t.split()
+        seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        return len({j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("abc"[x] for x in rng.integers(0, 3, n)) for n in (3, 5, 6, 9, 14, 40, 200)] + ["x " * 30, "a b c d e f a b c d e"]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in hostrules.base_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+
+
+def test_secrets_and_what_only_looks_like_one(spark):
+    rng = np.random.default_rng(5)
+    keys = ["".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 40)) for _ in range(60)]
+    rows = [(i, f'Some words here token = "{k}" and more words') for i, k in enumerate(keys)]
+    rows += [(100 + i, f"Call the number {''.join(map(str, rng.integers(0, 10, 16)))} some day") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (500, "password: 0d6be69b264717f2dd33652e212b173104b4a647 is it"), (501, "card 4111111111111111 here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(60)) and got[500] and not got[501]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    assert clean[0] == 'Some words here token = "[SECRET]" and more words' and clean[501] == "card 4111111111111111 here" and len(clean) == docs.count()
+
+
+def test_url_parts_and_rules(spark):
+    urls = ["http://A.Org/x?y", "https://m.example.org/en/12#t", "http://example.org/es/1", "x.com://b.com/de/1", "http://q.com?/de/", "nothing", None, "a://ü.COM/fr/é", "http://notexample.org/es/"]
+    got = {r["page_id"]: r for r in urlmarkov.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()}
+    want = [("a.org", "/x", "org/"), ("m.example.org", "/en/12", "example.org/en/1"), ("example.org", "/es/1", "example.org/es/"), ("b.com", "/de/1", "com/de/"), ("q.com", "", None),
+            ("", "", None), ("", "", None), ("ü.com", "/fr/é", "com/fr/"), ("notexample.org", "/es/", "org/")]
+    assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(len(urls))] == want
+    assert [got[i]["verdict"] for i in (0, 1, 2, 3, 6, 7, 8)] == ["allow", "block", "block", "block", "allow", "allow", "allow"]
+
+
+def test_markov_weights_add_up_and_separate(spark):
+    rng = np.random.default_rng(7)
+    make = lambda letters: "http://" + "".join(letters[x] for x in rng.integers(0, len(letters), 12)) + ".net/x"
+    rows = [(1, make("abcde")) for _ in range(300)] + [(0, make("vwxyz")) for _ in range(300)]
+    models = urlmarkov.learn(spark.createDataFrame(rows, "label int, url string"), 3)
+    packed, _ = urlmarkov.windows(pa.array([make("abcde")]), 3)
+    at = 12
+    every = [(p[at : at + 1] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64) for p in packed]
+    assert math.isclose(np.exp(models[1].log_likelihood(every)).sum(), 1.0, rel_tol=1e-9)
+    scored = urlmarkov.with_score(spark.createDataFrame([(make("abcde"), 1) for _ in range(20)] + [(make("vwxyz"), 0) for _ in range(20)], "url string, label int"), models, 3)
+    assert all((r["score"] > 0) == (r["label"] == 1) for r in scored.collect())
+    assert -1 < urlmarkov.calibrate(scored) < 1
+
+
+def test_records_are_cut_by_length(spark, tmp_path):
+    html = "<p>WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n" * 5 + "é" * 60
+    pages = spark.createDataFrame([(5, "http://a.org/p?q#f", html), (3, "http://b.org/é\nx", html), (9, "http://c.org", "short")], "page_id long, url string, html string")
+    warc.write(pages, f"{tmp_path}/w")
+    nested = {r["metadata"]["fields"]["page-id"]: r for r in warc.captures(warc.read_records(spark, f"{tmp_path}/w", blocks=True)).collect()}
+    assert set(nested) == {"3", "5", "9"}
+    assert bytes(nested["3"]["capture"]["block"]).endswith(html.encode()) and nested["3"]["capture"]["target_uri"] == "http://b.org/é%0Ax"
+    assert nested["5"]["capture"]["type"] == "revisit" and nested["5"]["capture"]["refers_to"] == nested["3"]["record_id"]
+    assert bytes(nested["5"]["request"]["block"]).startswith(b"GET /p?q HTTP/1.1\r\nHost: a.org\r\n") and nested["9"]["capture"]["payload_bytes"] == 5
+
+
+def test_neighbours_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toArrow()
+    ids, x = table.column("vec_id").to_numpy(), annscan.matrix(table.column("embedding"))
+    got = collections.defaultdict(list)
+    # A small sample, so that lists are searched and not the sample.
+    for r in annscan.search(spark.read.parquet(f"{sf}/embeddings.parquet"), sample_rows=256).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        scores = (x * x[ids == q][0]).sum(axis=1)
+        other = np.flatnonzero(ids != q)
+        best = other[np.lexsort((ids[other], -scores[other]))[:20]]
+        assert len(got[q]) == 20 and all(math.isclose(s, scores[ids == v][0], rel_tol=1e-12) for v, s in got[q])
+        hits += len({v for v, _ in got[q]} & set(ids[best].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_scan_without_tests_is_exact():
+    rng = np.random.default_rng(2)
+    rows, query = rng.standard_normal((300, 40)), rng.standard_normal(40)
+    blocks = [rows.T[i : i + 16] for i in range(0, 40, 16)]
+    whole = ((rows - query) ** 2).sum(axis=1)
+    bound = np.sort(whole)[30]
+    found = annscan.scan(query, blocks, float(bound))
+    assert set(found.tolist()) <= set(np.flatnonzero(whole <= bound * (1 + 1e-6)).tolist()) and len(found) >= 28
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.classify(spark, docs, SF)
+    scores = rulefit.score(docs, rulefit.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("predicted = 1")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in scores.collect())
+    rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
+    groups, _ = brute_components([r["text"] for r in rows])
+    single = corpus_pipeline.remove_copies(spark, kept, SF)
+    assert sorted(r["doc_id"] for r in single.collect()) == [r["doc_id"] for i, r in enumerate(rows) if groups[i] == i]
+    clean = corpus_pipeline.redact(spark, single, SF).collect()
+    assert len(clean) == single.count() and not any('token = "0' in r["text"] and "[SECRET]" not in r["text"] for r in clean)
