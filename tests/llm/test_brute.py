@@ -29,7 +29,7 @@ def test_word_hashes_tell_words_apart():
         for w, h in zip(itertools.chain(*words), np.concatenate(hashes).tolist(), strict=True):
             assert seen.setdefault(w, h) == h
             at += 1
-    assert len(set(seen.values())) == len(seen) and at == 3 * 10
+    assert len(set(seen.values())) == len(seen) and at == 3 * 11
 
 
 def test_blocks_are_dealt_exactly(spark):

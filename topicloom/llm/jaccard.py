@@ -11,7 +11,8 @@ A document's set holds the hashes (64 bits) of its distinct word n-grams. Docume
 * **Lists.** Round 1 compares every member of a list with one member. Members already linked, directly or not, count as one
   from then on. Round 2 looks inside the lists that still hold several such groups and compares each member with its
   nearest one of another group; round 3 compares all members of different groups. Inside a list, pairs are tested where
-  they lie, by size and by a 2048-bit parity map that bounds the difference from below; only pairs that may link leave it.
+  they lie, by size and by a short parity map that bounds the difference from below; only pairs that may link leave it,
+  and are tested once more by a longer map.
   Long lists are cut into blocks. So groups of near copies give links in proportion to their size, not to its square.
 * **Exact check.** Every pair that leaves a list is decided on its two whole texts.
 
@@ -40,7 +41,8 @@ from topicloom.session import materialize
 MAX_FREQUENT = 1 << 20
 #: Copies of an element in one task's buffer below which it is no candidate for a frequent one, and elements per buffer.
 LEAST_LOCAL, BUFFER = 8, 4 << 20
-MAP_BITS = 2048
+#: Bits of a set's parity map, and of the shorter one that goes into every list.
+MAP_BITS, FOLD_BITS = 2048, 512
 BLOCK = 2048
 #: Sizes up to which subsets are thought of at all: sets of 16 already have thousands.
 LARGEST_SMALL = 16
@@ -104,16 +106,26 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix(mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(elements))).view(np.int64)[0])
 
 
-def parity_map(elements: np.ndarray) -> bytes:
-    """One bit per bucket of elements, the parity of its number: maps of two sets differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((elements >> np.uint64(8)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1).tobytes()
+def parity_maps(elements: np.ndarray) -> tuple[bytes, bytes]:
+    """One bit per bucket of elements, the parity of its number: maps of two sets differ in no more bits than the sets in elements.
 
+    The second map is the first folded to FOLD_BITS.
+    """
+    bits = np.bincount((elements >> np.uint64(8)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+    return np.packbits(bits).tobytes(), np.packbits(bits.reshape(-1, FOLD_BITS).sum(axis=0) & 1).tobytes()
+
+
+def as_words(maps: pa.Array) -> np.ndarray:
+    """Maps as rows of 64-bit words."""
+    raw = maps.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("element", pa.int64()), ("copies", pa.int64())])
+
+SKETCH = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("fold", pa.binary()), ("element", pa.int64()), ("copies", pa.int64())])
 
 
 def sketches(base: DataFrame, n: int) -> DataFrame:
-    """A row per document (doc_id, cid, n, map), and rows (element, copies) for elements that are frequent within a buffer."""
+    """A row per document (doc_id, cid, n, map, fold), and rows (element, copies) for elements that are frequent within a buffer."""
 
     def frequent(buffer: list[np.ndarray]) -> pa.RecordBatch:
         elements, copies = np.unique(np.concatenate(buffer), return_counts=True)
@@ -124,22 +136,23 @@ def sketches(base: DataFrame, n: int) -> DataFrame:
     def run(batches):
         buffer, held = [], 0
         for batch in batches:
-            ids, sizes, maps = [], [], []
+            ids, sizes, maps, folds = [], [], [], []
             for s in text_sets(batch.column("text"), n):
                 ids.append(set_id(s))
                 sizes.append(len(s))
-                maps.append(parity_map(s))
+                for into, m in zip((maps, folds), parity_maps(s), strict=True):
+                    into.append(m)
                 buffer.append(s)
                 held += len(s)
                 if held >= BUFFER:
                     yield frequent(buffer)
                     buffer, held = [], 0
-            left = {"doc_id": batch.column("doc_id"), "cid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "map": pa.array(maps, pa.binary())}
+            left = {"doc_id": batch.column("doc_id"), "cid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "map": pa.array(maps, pa.binary()), "fold": pa.array(folds, pa.binary())}
             yield pa.RecordBatch.from_arrays([left[f.name] if f.name in left else pa.nulls(len(ids), f.type) for f in SKETCH], schema=SKETCH)
         if buffer:
             yield frequent(buffer)
 
-    return base.mapInArrow(run, "doc_id long, cid long, n long, map binary, element long, copies long")
+    return base.mapInArrow(run, "doc_id long, cid long, n long, map binary, fold binary, element long, copies long")
 
 
 def entries(base: DataFrame, n: int, percent: int, small: int, often: DataFrame) -> DataFrame:
@@ -195,7 +208,7 @@ def may_link(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("map", "map_b"))
+            left, right = as_words(batch.column("map")), as_words(batch.column("map_b"))
             differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
             total = batch.column("n").to_numpy() + batch.column("n_b").to_numpy()
             keep = differ <= total - 2 * (-(-percent * total // (100 + percent)))
@@ -204,18 +217,51 @@ def may_link(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "n_b", "map", "map_b").mapInArrow(run, "a long, b long")
 
 
-def close(sizes: np.ndarray, maps: np.ndarray, i: int, others: slice, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the other rows may link with row i, and in how many bits their maps differ."""
-    differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
-    a, b = sizes[i], sizes[others]
-    fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    return fits & (differ <= a + b - 2 * (-(-percent * (a + b) // (100 + percent)))), differ
+def open_pairs(segment, block, cross, group, size, maps, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs that may link, within segments of rows that stand together, all pairs at a distance d at a time.
+
+    ``cross`` marks segments of which only rows of different blocks are compared. With ``nearest``, of each row the pair whose
+    maps differ least.
+    """
+    left, right, differ = [], [], []
+    places = np.arange(len(segment))
+    d = 0
+    while True:
+        d += 1
+        places = places[: np.searchsorted(places, len(segment) - d)]
+        places = places[segment[places] == segment[places + d]]
+        if len(places) == 0:
+            break
+        i, j = places, places + d
+        open_ = group[i] != group[j]
+        open_ &= ~cross[i] | (block[i] != block[j])
+        i, j = i[open_], j[open_]
+        fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[fits], j[fits]
+        if len(i) == 0:
+            continue
+        apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        total = size[i] + size[j]
+        near = apart <= total - 2 * (-(-percent * total // (100 + percent)))
+        left.append(i[near])
+        right.append(j[near])
+        differ.append(apart[near])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right, differ = np.concatenate(left), np.concatenate(right), np.concatenate(differ)
+    if nearest:
+        row, pair = np.concatenate((left, right)), np.tile(np.arange(len(left)), 2)
+        order = np.lexsort((differ[pair], row))
+        first = np.concatenate(([True], row[order][1:] != row[order][:-1])) if len(order) else np.zeros(0, bool)
+        chosen = np.unique(pair[order][first])
+        left, right = left[chosen], right[chosen]
+    return left, right
 
 
 def scan_lists(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b), a < b, of members of different groups that may link, out of lists cut into blocks.
 
-    ``rows``: (list, cid, group, n, map). With ``nearest``, each member gives its nearest such partner only.
+    ``rows``: (list, cid, group, n, fold). With ``nearest``, each member of a list gives its nearest such partner only.
     """
     spark = rows.sparkSession
     blocks = F.ceil(F.count(F.lit(1)).over(W.partitionBy("list")) / BLOCK).cast("int")
@@ -223,58 +269,34 @@ def scan_lists(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(parts, "list", "low", "high").sortWithinPartitions("list", "low", "high").select("list", "low", "high", "block", "cid", "group", "n", "map")
-
-    def pairs(t: pa.Table) -> np.ndarray:
-        low, high, block, cid, group, size = (t.column(c).to_numpy() for c in ("low", "high", "block", "cid", "group", "n"))
-        maps = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint64).reshape(len(cid), -1)
-        same = low[0] == high[0]
-        out = []
-        order = np.argsort(block, kind="stable")
-        block, cid, group, size, maps = block[order], cid[order], group[order], size[order], maps[order]
-        cut_at = len(cid) if same else int(np.searchsorted(block, high[0]))
-        for i in range(cut_at if not nearest else len(cid)):
-            others = slice(0, len(cid)) if same else (slice(cut_at, len(cid)) if i < cut_at else slice(0, cut_at))
-            if not (group[others] != group[i]).any():
-                continue
-            fits, differ = close(size, maps, i, others, percent)
-            fits &= group[others] != group[i]
-            found = np.flatnonzero(fits)
-            if len(found) == 0:
-                continue
-            if nearest:
-                found = found[[np.argmin(differ[found])]]
-            partner = cid[others][found]
-            out.append(np.stack((np.minimum(partner, cid[i]), np.maximum(partner, cid[i])), axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    cut = cut.repartition(parts, "list", "low", "high").sortWithinPartitions("list", "low", "high").select("list", "low", "high", "block", "cid", "group", "n", "fold")
+    names = ("list", "low", "high", "block", "cid", "group", "n")
+
+    def pairs(columns: dict[str, np.ndarray], maps: np.ndarray) -> pa.RecordBatch:
+        new = np.zeros(len(maps), bool)
+        for c in ("list", "low", "high"):
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        i, j = open_pairs(np.cumsum(new), columns["block"], columns["low"] != columns["high"], columns["group"], columns["n"], maps, percent, nearest)
+        found = np.sort(np.stack((columns["cid"][i], columns["cid"][j]), axis=1), axis=1)
+        found = np.unique(found, axis=0) if len(found) else found
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        out: list[np.ndarray] = []
-        key = None
-
-        def batch_of(found):
-            found = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
+        held, held_maps = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, FOLD_BITS // 64), np.uint64)
         for batch in batches:
-            lists, low, high = (batch.column(c).to_numpy() for c in ("list", "low", "high"))
-            change = np.flatnonzero((lists[1:] != lists[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            bounds = [0, *change.tolist(), len(lists)] if len(lists) else [0]
-            for start, stop in itertools.pairwise(bounds):
-                this = (lists[start], low[start], high[start])
-                if held and this != key:
-                    out.append(pairs(pa.Table.from_batches(held).combine_chunks()))
-                    held = []
-                    if sum(map(len, out)) > 10_000:
-                        yield batch_of(out)
-                        out = []
-                key = this
-                held.append(batch.slice(start, stop - start))
-        if held:
-            out.append(pairs(pa.Table.from_batches(held).combine_chunks()))
-        if out:
-            yield batch_of(out)
+            if batch.num_rows == 0:
+                continue
+            maps = as_words(batch.column("fold"))
+            held = {c: np.concatenate((held[c], batch.column(c).to_numpy())) for c in names}
+            held_maps = np.concatenate((held_maps, maps))
+            # The last list may go on in the next batch.
+            last = (held["list"] == held["list"][-1]) & (held["low"] == held["low"][-1]) & (held["high"] == held["high"][-1])
+            whole = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if whole:
+                yield pairs({c: x[:whole] for c, x in held.items()}, held_maps[:whole])
+                held, held_maps = {c: x[whole:] for c, x in held.items()}, held_maps[whole:]
+        if len(held_maps):
+            yield pairs(held, held_maps)
 
     return cut.mapInArrow(run, "a long, b long").distinct()
 
@@ -309,7 +331,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = materialize(sketches(base, n), "sketches")
     own = rows.where("cid is not null")
-    classes = own.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("map").alias("map"))
+    classes = own.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("fold").alias("fold"))
     classes = materialize(classes, "classes")
     by_size = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
     small = choose_boundary(by_size, percent)
@@ -335,8 +357,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         group = components(links, met.select("cid").distinct(), "cid")
         open_lists = met.select("list", "cid").join(group, "cid").withColumnRenamed("component", "group")
         open_lists = open_lists.withColumn("first", F.min("group").over(inside)).withColumn("last", F.max("group").over(inside)).where("first <> last")
-        left = open_lists.select("list", "cid", "group").join(sized, "cid")
-        pairs = scan_lists(left, percent, nearest)
+        left = open_lists.select("list", "cid", "group").join(classes.select("cid", "n", "fold"), "cid")
+        pairs = may_link(scan_lists(left, percent, nearest), sized, percent)
         links = materialize(links.unionByName(verified(pairs, texts, n, percent)), "links")
 
     group = components(links, met.select("cid").distinct(), "cid")
