@@ -22,9 +22,9 @@ def tf_idf(counts: DataFrame, uid: str, documents: int) -> DataFrame:
     """L2-normalized ``n * (ln((1+N)/(1+df)) + 1)`` of (uid, term, n), in long form."""
     counts = materialize(counts, "counts")
     df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = counts.join(df_, "term").withColumn(
-        "w", F.col("n") * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)
-    )
+    # Written once: its rows give both the lengths and the weights.
+    weighted = materialize(counts.join(df_, "term").select(
+        uid, "term", (F.col("n") * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)).alias("w")), "weighted")
     length = weighted.groupBy(uid).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return weighted.join(length, uid).select(uid, "term", (F.col("w") / F.col("length")).alias("weight"))
 
@@ -39,14 +39,16 @@ def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def counted(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            if row is None or not len(row):
-                out.append(None)
-                continue
-            v = np.bincount(row, minlength=dim).astype(float)
-            out.append(v / np.sqrt(v @ v))
-        return pd.Series(out)
+        sizes = np.array([0 if r is None else len(r) for r in rows], dtype=np.int64)
+        out = pd.Series([None] * len(rows), dtype=object)
+        if sizes.sum():
+            place = np.repeat(np.arange(len(rows)), sizes) * dim + np.concatenate([r for r, n in zip(rows, sizes) if n])
+            counts = np.bincount(place, minlength=len(rows) * dim).reshape(len(rows), dim).astype(float)
+            full = np.flatnonzero(sizes)
+            unit = counts[full] / np.sqrt((counts[full] ** 2).sum(axis=1, keepdims=True))
+            for i, v in zip(full, unit):
+                out[i] = v
+        return out
 
     return counted(buckets)
 
@@ -114,8 +116,9 @@ def load_reducer(path: str):
     return PCAModel.load(f"{path}/model"), SparkSession.active().read.parquet(f"{path}/mean").first()["mean"]
 
 
-def word_vectors(df: DataFrame, tokens: str, dim: int = 32, min_count: int = 5, epochs: int = 15, parts: int = 1, seed: int = 1) -> DataFrame:
-    """Train word vectors on a token column: (word, vector)."""
+def word_vectors(df: DataFrame, tokens: str, dim: int = 32, min_count: int = 5, epochs: int = 15, parts: int | None = None, seed: int = 1) -> DataFrame:
+    """Train word vectors on a token column: (word, vector). Trained in ``parts`` tasks, by default one per core of the session."""
+    parts = parts or df.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=epochs, numPartitions=parts, seed=seed,
                      inputCol=tokens, outputCol="_v").fit(df.select(tokens))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
@@ -123,15 +126,15 @@ def word_vectors(df: DataFrame, tokens: str, dim: int = 32, min_count: int = 5,
 
 def topic_model(df: DataFrame, tokens: str, k: int = 250, passes: int = 10, terms: int = 10, min_df: int = 2, seed: int = 1) -> DataFrame:
     """LDA over bags of words: (topic, rank, term, weight)."""
-    bags = CountVectorizer(inputCol=tokens, outputCol="bag", minDF=min_df).fit(df)
+    terms_seen = df.select(F.explode(tokens).alias("term")).agg(F.count_distinct("term")).first()[0]
+    bags = CountVectorizer(inputCol=tokens, outputCol="bag", minDF=min_df, vocabSize=max(1, terms_seen)).fit(df)
     model = LDA(k=k, maxIter=passes, featuresCol="bag", seed=seed).fit(bags.transform(df.select(tokens)))
-    vocabulary = F.array(*[F.lit(w) for w in bags.vocabulary]) if len(bags.vocabulary) <= 1000 else None
     described = model.describeTopics(terms).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t")
     ).select("topic", (F.col("pos") + 1).alias("rank"), F.col("t.termIndices").alias("index"), F.col("t.termWeights").alias("weight"))
-    if vocabulary is not None:
-        return described.select("topic", "rank", F.get(vocabulary, F.col("index")).alias("term"), "weight")
-    words = df.sparkSession.createDataFrame(list(enumerate(bags.vocabulary)), "index int, term string")
+    # The fitted model holds its vocabulary on the driver; only the words that describe a topic go back.
+    used = sorted({r["index"] for r in described.select("index").distinct().collect()})
+    words = df.sparkSession.createDataFrame([(i, bags.vocabulary[i]) for i in used], "index int, term string")
     return described.join(words, "index").select("topic", "rank", "term", "weight")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from topicloom.operators.ranking import top_in_group
 from topicloom.session import materialize
 
 SPACES = {"cosine": "l2", "angular": "l2", "euclidean": "l2", "sqeuclidean": "l2", "cityblock": "l1"}
-MAX_QUERY_ROWS = 1000
+QUERY_BLOCK = 1000
 
 
 def collapse(df: DataFrame, uid: str, vec: str, by: list[str] | None = None) -> DataFrame:
@@ -84,7 +86,11 @@ def similar_pairs(
     df: DataFrame, uid: str, vec: str, per_row: int = 100, at_least: float | None = None, limit: int | None = None,
     cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Best-scoring pairs (score, a, b), a < b, from the ``per_row`` most similar rows of each row."""
+    """Best-scoring pairs (score, a, b), a < b, from the ``per_row`` most similar rows of each row.
+
+    A top-k search: pairs beyond the ``per_row`` best of both rows are not looked for, and ``at_least`` only
+    filters what was found. It finds every pair above a score if no row has more than ``per_row`` of them.
+    """
     found = nearest(df, df, uid, vec, per_row, "cosine", include_self=False, cell_rows=cell_rows, block_rows=block_rows)
     pairs = found.select(
         F.least(uid, "neighbor").alias("a"), F.greatest(uid, "neighbor").alias("b"), (1 - F.col("distance")).alias("score")
@@ -95,14 +101,15 @@ def similar_pairs(
 
 
 def search(df: DataFrame, uid: str, vec: str, ids: list, top_k: int) -> DataFrame:
-    """Rows most similar to the stored rows ``ids``: (query, uid, score, rank)."""
-    if len(ids) > MAX_QUERY_ROWS:
-        raise ValueError(f"at most {MAX_QUERY_ROWS} ids; use nearest() for more")
-    stored = df.where(F.col(uid).isin(*ids)).select(uid, vec).collect()
-    queries = F.array(*[F.struct(F.lit(r[0]).alias("query"), F.array(*[F.lit(float(v)) for v in r[1]]).alias("q")) for r in stored])
-    scored = df.select(uid, vec, F.explode(queries).alias("_q")).select(
-        F.col("_q.query").alias("query"), uid, vx.dot(F.col(vec), F.col("_q.q")).alias("score")
-    )
+    """Rows most similar to the stored rows ``ids``: (query, uid, score, rank). The ids are taken in blocks, each one scan."""
+
+    def block(some: list) -> DataFrame:
+        stored = df.where(F.col(uid).isin(*some)).select(uid, vec).collect()
+        queries = F.array(*[F.struct(F.lit(r[0]).alias("query"), F.array(*[F.lit(float(v)) for v in r[1]]).alias("q")) for r in stored])
+        return df.select(uid, vec, F.explode(queries).alias("_q")).select(
+            F.col("_q.query").alias("query"), uid, vx.dot(F.col(vec), F.col("_q.q")).alias("score"))
+
+    scored = functools.reduce(DataFrame.unionByName, [block(ids[i : i + QUERY_BLOCK]) for i in range(0, len(ids), QUERY_BLOCK)])
     return top_in_group(scored, ["query"], [F.round("score", 9).desc(), F.col(uid)], top_k)
 
 

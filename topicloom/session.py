@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -44,14 +45,33 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def step_scope(spark: SparkSession):
+    """Delete the tables that ``materialize`` writes inside the block when it ends; write the result before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs. The table outlives any executor, later rounds read it with
-    column pruning, and its file size is what Spark compares with its broadcast limit.
+    column pruning, and its file size is what Spark compares with its broadcast limit. It stays until
+    the folder is cleared, or until the end of a ``step_scope``.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
