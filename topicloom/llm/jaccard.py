@@ -348,20 +348,24 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     pairs = met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = may_link(pairs, sized, percent)
     wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("doc_id").alias("rep"))
+    wanted = materialize(wanted, "wanted")
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
     texts = materialize(of_class(texts, n).dropDuplicates(["cid"]), "texts")
     links = materialize(verified(pairs, texts, n, percent), "links")
 
     # Rounds 2 and 3: only lists that still hold several groups.
+    nodes = wanted.select("cid")
+    group = materialize(components(links, nodes, "cid"), "groups")
     for nearest in (True, False):
-        group = components(links, met.select("cid").distinct(), "cid")
         open_lists = met.select("list", "cid").join(group, "cid").withColumnRenamed("component", "group")
         open_lists = open_lists.withColumn("first", F.min("group").over(inside)).withColumn("last", F.max("group").over(inside)).where("first <> last")
         left = open_lists.select("list", "cid", "group").join(classes.select("cid", "n", "fold"), "cid")
         pairs = may_link(scan_lists(left, percent, nearest), sized, percent)
-        links = materialize(links.unionByName(verified(pairs, texts, n, percent)), "links")
+        more = materialize(verified(pairs, texts, n, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            group = materialize(components(links, nodes, "cid"), "groups")
 
-    group = components(links, met.select("cid").distinct(), "cid")
     smallest = classes.join(group, "cid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = group.join(smallest, "component").select("cid", "component_id", F.col("component").alias("cluster"))
     known = classes.select("cid", F.col("doc_id").alias("rep")).join(linked, "cid", "left")
