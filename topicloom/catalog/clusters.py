@@ -105,17 +105,27 @@ def spanning_tree(spark, sf):
 EPS = 1.15
 
 
-@query("dbscan_clusters", f"""WITH RECURSIVE {RAW}, n AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE list_distance(a.e, b.e) <= {EPS}),
-  c AS MATERIALIZED (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 5),
+def _dbscan_sql(weight: str, least: float) -> str:
+    return f"""WITH RECURSIVE {RAW}, n AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, {weight} AS w FROM u a, u b WHERE list_distance(a.e, b.e) <= {EPS}),
+  c AS MATERIALIZED (SELECT a AS id FROM n GROUP BY a HAVING sum(w) >= {least}),
   r AS (SELECT id, id AS low FROM c UNION SELECT n.b, r.low FROM r JOIN n ON n.a = r.id WHERE n.b IN (SELECT id FROM c)),
   comp AS (SELECT id, min(low) AS comp FROM r GROUP BY id), num AS (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM (SELECT DISTINCT comp FROM comp)),
   adopted AS (SELECT n.a AS id, min(comp) AS comp FROM n JOIN comp ON comp.id = n.b WHERE n.a NOT IN (SELECT id FROM c) GROUP BY n.a),
   every AS (SELECT id, comp, true AS core FROM comp UNION ALL SELECT id, comp, false FROM adopted)
-SELECT vec_id, CAST(coalesce(num.label, -1) AS INTEGER) AS label, coalesce(core, false) AS core FROM u LEFT JOIN every ON id = vec_id LEFT JOIN num USING (comp)""")
+SELECT vec_id, CAST(coalesce(num.label, -1) AS INTEGER) AS label, coalesce(core, false) AS core FROM u LEFT JOIN every ON id = vec_id LEFT JOIN num USING (comp)"""
+
+
+@query("dbscan_clusters", _dbscan_sql("1", 5))
 def dbscan_clusters(spark, sf):
     return dn.dbscan(raw(spark, sf), "vec_id", "embedding", EPS, 5)
 
 
+@query("weighted_dbscan_clusters", _dbscan_sql("1 + b.label / 4", 9))
+def weighted_dbscan_clusters(spark, sf):
+    weighted = raw(spark, sf).withColumn("weight", 1 + F.col("label") / 4)
+    return dn.dbscan(weighted, "vec_id", "embedding", EPS, 9, "weight")
+
+
 @query("density_clusters")
 def density_clusters(spark, sf):
     return dn.cluster(raw(spark, sf), "vec_id", "embedding")

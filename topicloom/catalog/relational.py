@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicloom.catalog.base import ARTICLES, articles, annotated, entities_sql, query, table
+from topicloom.catalog.base import ARTICLES, WORDS_SQL, articles, annotated, entities_sql, in_list, query, table
 from topicloom.functions import entities as en
+from topicloom.functions.stopwords import EXTRA_STOPWORDS, load_stopwords
 from topicloom.operators import relational as rel
 from topicloom.operators import topics as tp
 from topicloom.operators.entities import find_names, gazetteer, known_names, tag
@@ -42,6 +43,38 @@ def load_articles_csv(spark, sf):
     )
 
 
+@query("load_labeled_csv", f"WITH {ARTICLES} SELECT CAST(article_uid AS VARCHAR) AS article_uid, text, CAST(created_at AS VARCHAR) AS created_at, CAST(article_uid % 20 AS INTEGER) AS labels FROM articles")
+def load_labeled_csv(spark, sf):
+    """Write labeled articles as CSV with day-first dates, then load them."""
+    path = work_path(spark, "labeled-csv")
+    blank = [F.lit("x").alias(c) for c in ("kicker", "headline", "seo_title")]
+    after = [F.lit("x").alias(c) for c in ("updated_at", "site", "entities_analyzed")]
+    articles(spark, sf).select(
+        F.col("article_uid").cast("string"), *blank, "text", F.date_format("created_at", "dd.MM.yyyy").alias("created_at"), *after,
+        (F.col("article_uid") % 20).alias("labels")).write.option("header", True).option("escape", '"').csv(path)
+    return src.load_labeled(spark, path).select("article_uid", "text", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), "labels")
+
+
+@query("stopwords_from_file", f"""SELECT word FROM (SELECT DISTINCT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark)
+  UNION SELECT unnest([{in_list(EXTRA_STOPWORDS)}])""")
+def stopwords_from_file(spark, sf):
+    """The words of the benchmark as a file with comments, loaded as stopwords."""
+    path = work_path(spark, "stopwords")
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[ \n]")).alias("value"))
+    words.unionByName(words.select(F.concat(F.lit("; "), "value").alias("value"))).write.text(path)
+    return load_stopwords(spark, path)
+
+
+@query("ngrams_csv", f"SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({WORDS_SQL}) AS term FROM documents) GROUP BY lang, term")
+def ngrams_csv(spark, sf):
+    """Term counts written as CSV and read back."""
+    path = work_path(spark, "ngrams-csv")
+    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    counts = table(spark, sf, "documents", "lang", "text").select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    src.write_ngrams_csv(counts, path)
+    return spark.read.schema("lang string, term string, n long").option("header", True).option("escape", '"').csv(path)
+
+
 @query("load_entities_csv", f"WITH {ARTICLES}, e AS ({entities_sql('headline')}) SELECT CAST(article_uid AS VARCHAR) AS article_id, CAST(count(name) AS BIGINT) AS entities FROM (SELECT article_uid FROM articles) LEFT JOIN e USING (article_uid) GROUP BY article_uid")
 def load_entities_csv(spark, sf):
     """Write the annotations as CSV without a header, then load them with the given names."""

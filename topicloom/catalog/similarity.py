@@ -60,6 +60,19 @@ def nearest_cityblock(spark, sf):
     return _rounded(sm.nearest(e, e, "vec_id", "embedding", 5, "cityblock", include_self=False))
 
 
+@query("nearest_sqeuclidean", _nearest_sql("list_distance(a.e, b.e) * list_distance(a.e, b.e)", 5, RAW))
+def nearest_sqeuclidean(spark, sf):
+    e = raw(spark, sf)
+    return _rounded(sm.nearest(e, e, "vec_id", "embedding", 5, "sqeuclidean"))
+
+
+@query("nearest_many_cells", _nearest_sql("list_distance(a.e, b.e)", 5, RAW))
+def nearest_many_cells(spark, sf):
+    """The same search over many small cells and blocks."""
+    e = raw(spark, sf)
+    return _rounded(sm.nearest(e, e, "vec_id", "embedding", 5, "euclidean", cell_rows=32, block_rows=64))
+
+
 @query("nearest_to_clusters", f"""WITH {UNIT}, c AS (SELECT label, dim, avg(v) AS m FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS dim FROM u) GROUP BY label, dim),
   n AS (SELECT label, list(m ORDER BY dim) AS c FROM c GROUP BY label), z AS (SELECT label, ceil(count(*) / 5) AS k FROM u GROUP BY label),
   d AS (SELECT n.label, u.vec_id AS neighbor, 1 - list_inner_product(n.c, u.e) AS distance FROM n, u),
