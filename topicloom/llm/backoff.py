@@ -107,7 +107,7 @@ class Chunk:
 
 
 def score(
-    docs: DataFrame, order: int = 2, smoothing: tuple[float, ...] = (64.0,), chunk_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, order: int = 2, smoothing: tuple[float, ...] = (64.0,), chunk_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document.
 
@@ -167,12 +167,16 @@ def vocabulary(texts: DataFrame) -> tuple[int, int]:
     def run(batches):
         seen, total = np.zeros(0, np.uint64), 0
         for batch in batches:
-            tokens, _ = tokens_of(batch.column("text").filter(batch.column("train")))
-            total += len(tokens)
-            seen = np.union1d(seen, tokens)
-            if len(seen) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.zeros(len(seen), np.int64))], ["token", "n"])
-                seen = seen[:0]
+            texts = batch.column("text").filter(batch.column("train"))
+            if len(texts):
+                total += len(texts)
+                seen = np.union1d(seen, [END])
+            for _, _, words, _ in hashed_blocks(texts):
+                total += len(words)
+                seen = np.union1d(seen, words)
+                if len(seen) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.zeros(len(seen), np.int64))], ["token", "n"])
+                    seen = seen[:0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.zeros(len(seen), np.int64))], ["token", "n"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["token", "n"])
 
