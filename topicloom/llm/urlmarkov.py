@@ -175,10 +175,12 @@ def calibrate(scored: DataFrame) -> float:
     for r in rows:
         by_step.setdefault(r["step"], [0, 0])[r["label"]] += r["count"]
     best, below = (0.5, 0.0), [0, 0]
-    for step in sorted(by_step):
+    steps = sorted(by_step)
+    for step, following in zip(steps, [*steps[1:], steps[-1] + 1], strict=True):
         for kind in (0, 1):
             below[kind] += by_step[step][kind]
-        at = (step + 1) / STEPS
+        # Any threshold between two steps that hold urls does the same: the one nearest to 0.
+        at = min(max(0.0, (step + 1) / STEPS), following / STEPS)
         accuracy = (below[0] / totals[0] + 1 - below[1] / totals[1]) / 2
         if accuracy > best[0] or (math.isclose(accuracy, best[0]) and abs(at) < abs(best[1])):
             best = (accuracy, at)
