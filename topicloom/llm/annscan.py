@@ -3,7 +3,8 @@
 1. With one more column, sqrt(M^2 - |x|^2) for rows (M the largest norm) and 0 for queries, nearest by distance is nearest by inner
    product. All vectors are turned by one random rotation, after which any d columns tell about the whole distance.
 2. Centers, fitted on a bounded sample, cut the rows into lists; every row is in one. A query probes the nearest lists until
-   they hold ``probe_share`` of all rows and at least ``k`` rows.
+   they hold a share of all rows. The share is calibrated on the sample, so that ``target_recall`` of the neighbours found by
+   brute force there lie in the probed lists; where lists tell little about nearness, it comes near 1.
 3. A list is scanned by column blocks: after d of D columns, a candidate whose partial distance, scaled by D/d, is above
    (1 + eps/sqrt(d)) times the distance of the query's k-th nearest so far fails a test of the hypothesis that it belongs to the
    nearest, and is abandoned. The first bound comes from the sample, whose rows are candidates too.
@@ -66,6 +67,23 @@ def nearest_center(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return center_distances(rows, centers).argmin(axis=1)
 
 
+def needed_share(sample: np.ndarray, space: Space, centers: np.ndarray, k: int, target: float, queries: int = 512) -> float:
+    """Share of the rows in the nearest lists that holds ``target`` of the ``k`` nearest rows, over the first rows of the sample."""
+    lists = nearest_center(space.rows(sample), centers)
+    counts = np.bincount(lists, minlength=len(centers))
+    order = np.argsort(center_distances(space.queries(sample[:queries]), centers), axis=1)
+    reached = np.cumsum(counts[order], axis=1) / len(sample)
+    place = np.argsort(order, axis=1)  # of each list in each query's order
+    needed = []
+    for i in range(len(order)):
+        scores = inner(sample, sample[i])
+        scores[i] = -np.inf
+        nearest = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
+        needed.append(reached[i, place[i, lists[nearest]]])
+    needed = np.concatenate(needed) if needed else np.ones(1)
+    return float(np.quantile(needed, target)) if len(needed) else 1.0
+
+
 class Space:
     """Rotation and norm that all tasks share."""
 
@@ -112,7 +130,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, k: int = 20, query_mod: int = 20, probe_share: float = 0.45, sample_rows: int = 8192, seed: int = 5,
+    vectors: DataFrame, k: int = 20, query_mod: int = 20, target_recall: float = 0.96, sample_rows: int = 8192, seed: int = 5,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``query_mod``, nearest first.
@@ -135,8 +153,10 @@ def search(
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()  # bounded
     chosen_ids, chosen_rows = chosen.column("vec_id").to_numpy(), matrix(chosen.column("vector"))
     space = Space(dim, norm, seed)
-    lists = max(1, min(len(chosen_rows) // 8, math.isqrt(total)))
+    lists = max(1, min(len(chosen_rows) // 8, math.isqrt(total) // 2))
     centers = fit_centers(space.rows(chosen_rows), lists, seed)
+    # As many neighbours of the sample as lie within the k-th neighbour of the whole table.
+    probe_share = needed_share(chosen_rows, space, centers, max(1, -(-k * len(chosen_rows) // total)), target_recall)
     shared = spark.sparkContext.broadcast((space, centers, chosen_ids, chosen_rows))
 
     def placed(batches):
