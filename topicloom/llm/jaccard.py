@@ -11,13 +11,12 @@ A document's set holds the hashes (64 bits) of its distinct word n-grams. Docume
 * **Lists.** Round 1 compares every member of a list with one member. Members already linked, directly or not, count as one
   from then on. Round 2 looks inside the lists that still hold several such groups and compares each member with its
   nearest one of another group; round 3 compares all members of different groups. Inside a list, pairs are tested where
-  they lie, by size and by a short parity map that bounds the difference from below; only pairs that may link leave it,
-  and are tested once more by a longer map.
+  they lie, by size and by a parity map that bounds the difference from below; only pairs that may link leave it.
   Long lists are cut into blocks. So groups of near copies give links in proportion to their size, not to its square.
 * **Exact check.** Every pair that leaves a list is decided on its two whole texts.
 
-Order and boundary change the work, never the result. Frequent elements are counted over all documents; at most MAX_FREQUENT
-can reach the share that makes an element frequent, which bounds the table that is broadcast.
+Order and boundary change the work, never the result. Frequent elements are counted over all documents, and the table of them
+that is broadcast has at most MAX_FREQUENT rows.
 """
 
 from __future__ import annotations
@@ -37,13 +36,14 @@ from topicloom.llm.textbytes import hashed_blocks, mix
 from topicloom.operators.graph import components
 from topicloom.session import materialize
 
-#: An element is frequent from this share of all elements on; so many elements can be frequent at most.
-MAX_FREQUENT = 1 << 20
-#: Copies of an element in one task's buffer below which it is no candidate for a frequent one, and elements per buffer.
-LEAST_LOCAL, BUFFER = 8, 4 << 20
-#: Bits of a set's parity map, and of the shorter one that goes into every list.
-MAP_BITS, FOLD_BITS = 2048, 512
-BLOCK = 2048
+#: An element is frequent from FREQUENT counted copies on; if more than MAX_FREQUENT would be, from so many on that no more are.
+FREQUENT, MAX_FREQUENT = 16, 1 << 20
+#: Copies of an element in one task's buffer below which it is not counted, and elements per buffer.
+LEAST_LOCAL, BUFFER = 3, 4 << 20
+#: Bits of the parity map that goes into lists, and members of a block of a list.
+FOLD_BITS, BLOCK = 512, 2048
+#: So many ids of texts to fetch are broadcast (16 bytes each); more are joined by a shuffle.
+MOST_SENT = 1_000_000
 #: Sizes up to which subsets are thought of at all: sets of 16 already have thousands.
 LARGEST_SMALL = 16
 #: What scanning one list entry costs, in enumerated subsets.
@@ -106,17 +106,22 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix(mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(elements))).view(np.int64)[0])
 
 
-def parity_maps(elements: np.ndarray) -> tuple[bytes, bytes]:
+def parity_map(elements: np.ndarray) -> np.ndarray:
     """One bit per bucket of elements, the parity of its number: maps of two sets differ in no more bits than the sets in elements.
 
-    The second map is the first folded to FOLD_BITS.
+    As bytes. A map has at least as many bits as the set has elements, a power of 2; folding it gives the map of fewer buckets.
     """
-    bits = np.bincount((elements >> np.uint64(8)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
-    return np.packbits(bits).tobytes(), np.packbits(bits.reshape(-1, FOLD_BITS).sum(axis=0) & 1).tobytes()
+    bits = max(FOLD_BITS, 1 << (len(elements) - 1).bit_length()) if len(elements) else FOLD_BITS
+    return np.packbits(np.bincount((elements >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1)
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """The map of ``size`` bytes."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
 
 
 def as_words(maps: pa.Array) -> np.ndarray:
-    """Maps as rows of 64-bit words."""
+    """Maps of one size as rows of 64-bit words."""
     raw = maps.to_pylist()
     return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
 
@@ -140,8 +145,9 @@ def sketches(base: DataFrame, n: int) -> DataFrame:
             for s in text_sets(batch.column("text"), n):
                 ids.append(set_id(s))
                 sizes.append(len(s))
-                for into, m in zip((maps, folds), parity_maps(s), strict=True):
-                    into.append(m)
+                parity = parity_map(s)
+                maps.append(parity.tobytes())
+                folds.append(folded(parity, FOLD_BITS // 8).tobytes())
                 buffer.append(s)
                 held += len(s)
                 if held >= BUFFER:
@@ -155,9 +161,21 @@ def sketches(base: DataFrame, n: int) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, cid long, n long, map binary, fold binary, element long, copies long")
 
 
+def at_most(often: DataFrame, rows: int) -> DataFrame:
+    """Of (element, copies), the most frequent, from the lowest power of 2^(1/8) on that leaves no more than ``rows``."""
+    step = F.floor(F.log2("copies") * 8).cast("int")
+    held = sorted(often.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"])
+    kept, least = 0, None
+    for r in held:
+        if kept + r["count"] > rows:
+            break
+        kept, least = kept + r["count"], r["step"]
+    return often.where(step >= least) if least is not None else often.where("false")
+
+
 def entries(base: DataFrame, n: int, percent: int, small: int, often: DataFrame) -> DataFrame:
     """(list, cid) for every list a set is in. ``often``: (element, copies), bounded, most frequent last in the common order."""
-    found = often.orderBy("copies", "element").collect()
+    found = at_most(often, MAX_FREQUENT).orderBy("copies", "element").collect()
     shared = base.sparkSession.sparkContext.broadcast(np.array([r["element"] for r in found], np.int64).view(np.uint64))
     plans = {size: subset_plan(size, percent) for size in range(1, small + 1)}
 
@@ -200,19 +218,22 @@ def entries(base: DataFrame, n: int, percent: int, small: int, often: DataFrame)
     return base.select("text").mapInArrow(run, "list long, cid long")
 
 
-def may_link(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity maps leave possible."""
-    least, most = F.least("n", "n_b"), F.greatest("n", "n_b")
-    both = pairs.join(sized.withColumnRenamed("cid", "a"), "a")
-    both = both.join(sized.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("map").alias("map_b")), "b").where(100 * least >= percent * most)
+def may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and whole parity maps leave possible."""
+    sized = pairs.join(classes.select(F.col("cid").alias("a"), "n"), "a").join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
+    sized = sized.where(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+    both = sized.join(classes.select(F.col("cid").alias("a"), "map"), "a").join(classes.select(F.col("cid").alias("b"), F.col("map").alias("map_b")), "b")
 
     def run(batches):
         for batch in batches:
-            left, right = as_words(batch.column("map")), as_words(batch.column("map_b"))
-            differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
             total = batch.column("n").to_numpy() + batch.column("n_b").to_numpy()
-            keep = differ <= total - 2 * (-(-percent * total // (100 + percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            most = total - 2 * (-(-percent * total // (100 + percent)))
+            keep = []
+            for x, y, limit in zip(batch.column("map").to_pylist(), batch.column("map_b").to_pylist(), most.tolist(), strict=True):
+                size = min(len(x), len(y))
+                x, y = folded(np.frombuffer(x, np.uint8), size), folded(np.frombuffer(y, np.uint8), size)
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "n", "n_b", "map", "map_b").mapInArrow(run, "a long, b long")
 
@@ -258,18 +279,18 @@ def open_pairs(segment, block, cross, group, size, maps, percent: int, nearest:
     return left, right
 
 
-def scan_lists(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b), a < b, of members of different groups that may link, out of lists cut into blocks.
 
-    ``rows``: (list, cid, group, n, fold). With ``nearest``, each member of a list gives its nearest such partner only.
+    ``rows``: (list, cid, group, members), ``classes``: (cid, n, fold). With ``nearest``, each member of a list gives its nearest such partner only.
     """
-    spark = rows.sparkSession
-    blocks = F.ceil(F.count(F.lit(1)).over(W.partitionBy("list")) / BLOCK).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(parts, "list", "low", "high").sortWithinPartitions("list", "low", "high").select("list", "low", "high", "block", "cid", "group", "n", "fold")
+    cut = cut.select("list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "group")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.join(classes.select("cid", "n", "fold"), "cid").repartition(parts, "list", "low", "high").sortWithinPartitions("list", "low", "high")
+    cut = cut.select("list", "low", "high", "block", "cid", "group", "n", "fold")
     names = ("list", "low", "high", "block", "cid", "group", "n")
 
     def pairs(columns: dict[str, np.ndarray], maps: np.ndarray) -> pa.RecordBatch:
@@ -301,8 +322,13 @@ def scan_lists(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return cut.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that do link, decided on whole texts (cid, text)."""
+def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of stored pairs, those that do link, decided on whole texts, which are fetched by the id of one document of each class."""
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    ids = materialize(classes.select("cid", F.col("doc_id").alias("rep")).join(ids, "cid", "left_semi"), "wanted")
+    wanted = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    texts = materialize(of_class(texts, n).dropDuplicates(["cid"]), "texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -335,33 +361,28 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     classes = materialize(classes, "classes")
     by_size = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
     small = choose_boundary(by_size, percent)
-    total = own.agg(F.sum("n")).first()[0] or 0
-    often = rows.where("element is not null").groupBy("element").agg(F.sum("copies").alias("copies"))
-    often = often.where(F.col("copies") >= max(2 * LEAST_LOCAL, -(-total // MAX_FREQUENT)))
+    often = rows.where("element is not null").groupBy("element").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= FREQUENT)
 
     inside = W.partitionBy("list")
     met = entries(base, n, percent, small, often).withColumn("first", F.min("cid").over(inside)).withColumn("last", F.max("cid").over(inside))
     met = materialize(met.where("first <> last").drop("last").distinct(), "lists")
 
     # Round 1: every member of a list against one of them.
-    sized = classes.select("cid", "n", "map")
     pairs = met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    pairs = may_link(pairs, sized, percent)
-    wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("doc_id").alias("rep"))
-    wanted = materialize(wanted, "wanted")
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
-    texts = materialize(of_class(texts, n).dropDuplicates(["cid"]), "texts")
-    links = materialize(verified(pairs, texts, n, percent), "links")
+    tested = materialize(may_link(pairs, classes, percent), "pairs")
+    links = materialize(verified(tested, base, classes, n, percent), "links")
 
-    # Rounds 2 and 3: only lists that still hold several groups.
-    nodes = wanted.select("cid")
+    # Rounds 2 and 3: only lists that still hold several groups, and pairs not tested yet.
+    nodes = materialize(met.select("cid").distinct(), "nodes")
     group = materialize(components(links, nodes, "cid"), "groups")
     for nearest in (True, False):
         open_lists = met.select("list", "cid").join(group, "cid").withColumnRenamed("component", "group")
-        open_lists = open_lists.withColumn("first", F.min("group").over(inside)).withColumn("last", F.max("group").over(inside)).where("first <> last")
-        left = open_lists.select("list", "cid", "group").join(classes.select("cid", "n", "fold"), "cid")
-        pairs = may_link(scan_lists(left, percent, nearest), sized, percent)
-        more = materialize(verified(pairs, texts, n, percent), "links")
+        open_lists = open_lists.withColumn("first", F.min("group").over(inside)).withColumn("last", F.max("group").over(inside))
+        open_lists = open_lists.withColumn("members", F.count(F.lit(1)).over(inside)).where("first <> last")
+        pairs = scan_lists(open_lists.select("list", "cid", "group", "members"), classes, percent, nearest)
+        pairs = materialize(may_link(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent), "pairs")
+        tested = tested.unionByName(pairs)
+        more = materialize(verified(pairs, base, classes, n, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             group = materialize(components(links, nodes, "cid"), "groups")
