@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, queries, rulefit, secrets, textbytes, urlmarkov, warc
+from topicloom.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -303,12 +304,12 @@ def test_scan_without_tests_is_exact():
 
 def test_pipeline_by_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = corpus_pipeline.classify(spark, docs, SF)
+    kept = materialize(corpus_pipeline.classify(spark, docs, SF))
     scores = rulefit.score(docs, rulefit.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("predicted = 1")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in scores.collect())
     rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
     groups, _ = brute_components([r["text"] for r in rows])
-    single = corpus_pipeline.remove_copies(spark, kept, SF)
+    single = materialize(corpus_pipeline.remove_copies(spark, kept, SF))
     assert sorted(r["doc_id"] for r in single.collect()) == [r["doc_id"] for i, r in enumerate(rows) if groups[i] == i]
     clean = corpus_pipeline.redact(spark, single, SF).collect()
     assert len(clean) == single.count() and not any('token = "0' in r["text"] and "[SECRET]" not in r["text"] for r in clean)
