@@ -403,11 +403,17 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     """
     joined = join(docs, n, percent, id_col, text_col).where("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")
-    stays = joined.groupBy("cluster").agg(F.min(order).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.cid").alias("kept_cid"))
-    stays = materialize(stays, "stays")
+    rows_of = joined.groupBy("cluster", "doc_id", "cid").agg(F.count(F.lit(1)).alias("times"))
+    stays = rows_of.groupBy("cluster").agg(F.min_by(F.struct("doc_id", "cid", "times"), order).alias("row"))
+    stays = materialize(stays.select(F.col("row.doc_id").alias("kept_id"), F.col("row.cid").alias("kept_cid"), F.col("row.times").alias("times")), "stays")
+    sent = F.broadcast(stays) if stays.count() <= MOST_SENT else stays
     rows = with_set_id(with_row(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), n)
-    found = rows.where("cid is not null").join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("cid") == F.col("kept_cid")))
-    return unpacked(found.dropDuplicates(["doc_id", "cid"]).unionByName(rows.where("cid is null"), allowMissingColumns=True), docs.columns)
+    found = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("cid").eqNullSafe(F.col("kept_cid")), "left").where("kept_cid is not null or cid is null")
+    # Only rows that stand there several times have to meet.
+    repeated = F.coalesce(F.col("times") > 1, F.lit(False))
+    if not stays.where(repeated).isEmpty():
+        found = found.where(~repeated).unionByName(found.where(repeated).dropDuplicates(["doc_id", "cid"]))
+    return unpacked(found, docs.columns)
 
 
 def with_set_id(rows: DataFrame, n: int) -> DataFrame:
