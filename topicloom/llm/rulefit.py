@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -98,7 +99,7 @@ class RuleEnsemble:
 
     @classmethod
     def fit(cls, labelled: DataFrame, trees: int = 24, depth: int = 3, penalty: float = 0.001, seed: int = 11) -> RuleEnsemble:
-        """Fit on (STATISTICS, label double), a bounded table. Without both labels: a constant, the share of label 1 (0.5 if no row)."""
+        """Fit on (STATISTICS, label double), a bounded table. Without both labels, or too few rows: a constant, the share of label 1."""
         seen = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean")).first()
         if not seen["n"] or seen["mean"] in (0.0, 1.0):
             mean = seen["mean"] if seen["n"] else 0.5
@@ -107,6 +108,8 @@ class RuleEnsemble:
             numTrees=trees, maxDepth=depth, minInstancesPerNode=5, maxBins=64, featureSubsetStrategy="0.6", subsamplingRate=0.7, seed=seed)
         model = forest.fit(as_vector(labelled, STATISTICS))
         rules = sorted({r for t in model.trees for r in tree_paths(t.toDebugString, STATISTICS)})
+        if not rules:  # too few rows for any split
+            return cls(math.log(seen["mean"] / (1 - seen["mean"])), {})
         marks = labelled.select("label", *[holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
         lasso = LogisticRegression(regParam=penalty, elasticNetParam=1.0, maxIter=100, standardization=False)
         fitted = lasso.fit(as_vector(marks, [f"r{i}" for i in range(len(rules))]))
