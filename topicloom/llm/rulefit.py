@@ -144,5 +144,7 @@ def score(docs: DataFrame, ensemble: RuleEnsemble, threshold: float = 0.3, id_co
 
 def accepted(docs: DataFrame, ensemble: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, unchanged."""
-    scored = statistics(with_row(docs, text=text_col), "doc").where(ensemble.probability() >= threshold)
+    # The row number keeps the filter above the statistics: below them, every rule would compute its statistics anew.
+    scored = statistics(with_row(docs, text=text_col), "doc").withColumn("row", F.monotonically_increasing_id())
+    scored = scored.withColumn("score", ensemble.probability()).where((F.col("score") >= threshold) & (F.col("row") >= 0))
     return unpacked(scored, docs.columns)
