@@ -263,6 +263,38 @@ def test_markov_weights_add_up_and_separate(spark):
     assert -1 < urlmarkov.calibrate(scored) < 1
 
 
+def test_rare_contexts_count(spark):
+    rng = np.random.default_rng(11)
+    make = lambda letters: "http://" + "".join(letters[x] for x in rng.integers(0, len(letters), 9)) + ".net/" + str(rng.integers(1000))
+    rows = [(1, make("abcdefghijklmnop")) for _ in range(400)] + [(0, make("klmnopqrstuvwxyz")) for _ in range(300)]
+    order, seen = 3, {0: collections.defaultdict(collections.Counter), 1: collections.defaultdict(collections.Counter)}
+    places = lambda url: [(lambda t, i: (t[i - order : i], t[i]))("\x02" * order + url.lower() + "\x03", i) for i in range(order, order + len(url) + 1)]
+    for label, url in rows:
+        for context, c in places(url):
+            for k in range(order + 1):
+                seen[label][context[order - k :]][c] += 1
+
+    def weight(label, context, c):
+        p = 1 / 256
+        for k in range(order + 1):
+            after = seen[label].get(context[order - k :])
+            if after:
+                p = (after[c] + len(after) * p) / (after.total() + len(after))
+        return p
+
+    models = urlmarkov.learn(spark.createDataFrame(rows, "label int, url string"), order)
+    urls = [rows[0][1], rows[-1][1], make("abxyz"), "HTTP://kk.net/1", "", None]
+    # Small chunks, so that several ask for the same contexts.
+    got = urlmarkov.with_score(spark.createDataFrame([(i, u) for i, u in enumerate(urls * 5)], "i int, url string"), models, order, chunk_bytes=400).collect()
+    assert len(got) == 5 * len(urls)
+    for r in got:
+        url = urls[r["i"] % len(urls)]
+        assert r["url"] == url and (r["score"] is None) == (url is None)
+        if url is not None:
+            want = sum(math.log(weight(1, *at) / weight(0, *at)) for at in places(url)) / (len(url) + 1)
+            assert math.isclose(r["score"], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_records_are_cut_by_length(spark, tmp_path):
     html = "<p>WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n" * 5 + "é" * 60
     pages = spark.createDataFrame([(5, "http://a.org/p?q#f", html), (3, "http://b.org/é\nx", html), (9, "http://c.org", "short")], "page_id long, url string, html string")

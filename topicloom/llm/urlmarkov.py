@@ -1,11 +1,13 @@
 """URL filter: rules first, then the ratio of two character language models.
 
 Urls that a rule allows or blocks teach two variable-order Markov models over bytes, one of accepted and one of rejected urls.
-A context of up to ``order`` bytes is kept if it holds at least 1/MAX_CONTEXTS of all positions of its order, so at most
-MAX_CONTEXTS contexts per order and model exist, whatever the corpus; rarer ones fall back to their shorter end. Contexts are
+Every counted context of up to ``order`` bytes is kept; a context that was never seen falls back to its shorter end. Contexts are
 smoothed into their shorter ends by Witten and Bell's rule. A url's score is its log-likelihood under the accepted model less
 that under the rejected one, divided by its length. The threshold is calibrated on a fifth of the labelled urls that the models
 do not learn from: it separates the two kinds with the best mean accuracy.
+
+The models are a table of one row per context and never are in one place. Urls are scored chunk by chunk (about ``chunk_bytes``
+of urls, dealt by hash): a chunk asks for its distinct contexts, one row each, and gets back what followed them in both kinds.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from topicloom.llm.common import pick
 from topicloom.llm.textbytes import buffers
 from topicloom.session import materialize
 
-#: Bound of the contexts kept per order and model; with 256 symbols each, the bound of what is broadcast.
-MAX_CONTEXTS = 2048
 #: Stand before the first byte and after the last one of a url.
 BEGIN, END = 2, 3
 #: Scores are calibrated in steps of 1/STEPS between -SPAN and SPAN.
@@ -92,7 +92,7 @@ def count_windows(urls: DataFrame, order: int) -> DataFrame:
 
 
 class Markov:
-    """One model: per context length, the kept windows with their counts and the contexts with total and kinds."""
+    """One model, or what a chunk needs of it: per context length, windows with their counts and contexts with total and kinds."""
 
     def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         #: per order: windows, counts, and the context of each window
@@ -124,44 +124,87 @@ def context_of(window: np.ndarray) -> np.ndarray:
     return window >> np.uint64(8)
 
 
-def learn(labelled: DataFrame, order: int) -> dict[int, Markov]:
-    """Models by label, from (label, url)."""
-    counts = materialize(count_windows(labelled, order), "windows").withColumn("context", F.shiftrightunsigned("window", 8))
-    sizes = {(r["label"], r["size"]): r["n"] for r in counts.groupBy("label", "size").agg(F.sum("n").alias("n")).collect()}
-    need = F.lit(0)
-    for (label, size), n in sizes.items():
-        need = F.when((F.col("label") == label) & (F.col("size") == size), F.lit(max(2, -(-n // MAX_CONTEXTS)))).otherwise(need)
-    contexts = counts.groupBy("label", "size", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= need)
-    kept = counts.join(contexts, ["label", "size", "context"], "left_semi").select("label", "size", "window", "n").toArrow()  # bounded
-    label, size, window, n = (kept.column(c).to_numpy() for c in ("label", "size", "window", "n"))
-    window = window.view(np.uint64)
-    models = {}
-    for kind in (0, 1):
+class Models:
+    """Both models as a stored table (context, symbols, rejected, accepted): the bytes seen after a context, and how often in each kind.
+
+    Contexts of different lengths differ by their leading 1; a row holds at most 258 bytes and their counts.
+    """
+
+    def __init__(self, table: DataFrame, order: int):
+        self.table, self.order = table, order
+
+    def __getitem__(self, label: int) -> Asked:
+        return Asked(self, label)
+
+
+class Asked:
+    """One of both models, asked from the driver for a few windows."""
+
+    def __init__(self, models: Models, label: int):
+        self.models, self.label = models, label
+
+    def log_likelihood(self, packed: list[np.ndarray]) -> np.ndarray:
+        contexts = np.unique(np.concatenate([context_of(p) for p in packed])).view(np.int64)
+        table = self.models.table
+        asked = table.sparkSession.createDataFrame(pa.table({"context": contexts}))
+        return answered(asked.join(table, "context").toArrow(), self.models.order)[self.label].log_likelihood(packed)
+
+
+def answered(rows: pa.Table, order: int) -> tuple[Markov, Markov]:
+    """The rejected and the accepted model, as far as the rows of ``Models.table`` tell."""
+    rows = rows.combine_chunks()
+    symbols = rows.column("symbols").combine_chunks()
+    context = np.repeat(rows.column("context").to_numpy().view(np.uint64), np.diff(symbols.offsets.to_numpy()))
+    window = (context << np.uint64(8)) + symbols.flatten().to_numpy().astype(np.uint64)
+    models = []
+    for kind in ("rejected", "accepted"):
+        n = rows.column(kind).combine_chunks().flatten().to_numpy()
         tables = []
-        for s in range(1, order + 2):
-            mine = (label == kind) & (size == s)
-            tables.append((window[mine], n[mine], context_of(window[mine])))
-        models[kind] = Markov(order, tables)
-    return models
+        for size in range(1, order + 2):
+            mine = (n > 0) & (window >> np.uint64(8 * size) == 1)
+            tables.append((window[mine], n[mine], context[mine]))
+        models.append(Markov(order, tables))
+    return models[0], models[1]
 
 
-def with_score(urls: DataFrame, models: dict[int, Markov], order: int) -> DataFrame:
-    """Adds ``score`` to a table with a ``url``; null for a null url."""
-    shared = urls.sparkSession.sparkContext.broadcast(models)
-    names = urls.columns
+def learn(labelled: DataFrame, order: int) -> Models:
+    """Models from (label, url); all counts are kept."""
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(F.lit(0)))
+    windows_seen = count_windows(labelled, order).groupBy("window").agg(of(0).alias("rejected"), of(1).alias("accepted"))
+    entry = F.struct(F.col("window").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "rejected", "accepted")
+    rows = windows_seen.groupBy(F.shiftright("window", 8).alias("context")).agg(F.collect_list(entry).alias("seen"))
+    rows = rows.select("context", F.col("seen.symbol").alias("symbols"), F.col("seen.rejected").alias("rejected"), F.col("seen.accepted").alias("accepted"))
+    return Models(materialize(rows, "contexts"), order)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            packed, places = windows(batch.column("url"), order)
-            ratio = shared.value[1].log_likelihood(packed) - shared.value[0].log_likelihood(packed)
-            score = np.add.reduceat(ratio, np.cumsum(places) - places) / places
-            score = pa.array(score, mask=batch.column("url").is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*names, "score"])
 
+def with_score(urls: DataFrame, models: Models, order: int, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """Adds ``score`` to a table with a ``url``; null for a null url."""
+    names = urls.columns
+    # Stored, so that a row stays in its chunk; the row's number spreads equal urls.
+    dealt = materialize(urls.withColumn("_deal", F.xxhash64("url", F.monotonically_increasing_id())), "urls")
+    # A row counts its bytes, its end and what else it carries.
+    size = dealt.agg(F.sum(F.coalesce(F.octet_length("url"), F.lit(0)) + 32)).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+    dealt = dealt.withColumn("_chunk", F.pmod("_deal", F.lit(chunks))).drop("_deal")
+
+    def asked(table: pa.Table) -> pa.Table:
+        packed, _ = windows(table.column("url"), order)
+        contexts = np.concatenate([np.unique(context_of(p)) for p in packed])
+        return pa.table({"_chunk": np.full(len(contexts), table.column("_chunk")[0].as_py(), np.int64), "context": contexts.view(np.int64)})
+
+    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+        url = table.column("url").combine_chunks()
+        packed, places = windows(url, order)
+        rejected, accepted = answered(answers, order)
+        ratio = accepted.log_likelihood(packed) - rejected.log_likelihood(packed)
+        score = np.add.reduceat(ratio, np.cumsum(places) - places) / places
+        score = pa.array(score, mask=url.is_null().to_numpy(zero_copy_only=False))
+        return table.select(names).append_column("score", score)
+
+    questions = dealt.select("_chunk", "url").groupBy("_chunk").applyInArrow(asked, "_chunk long, context long")
+    answers = questions.join(models.table, "context").select("_chunk", "context", "symbols", "rejected", "accepted")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
-    return urls.mapInArrow(run, f"{kinds}, score double")
+    return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scored, f"{kinds}, score double")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -201,10 +244,10 @@ def judge(
     parsed = pick(pages, page_id=id_col, url=url_col).withColumn("host", host).withColumn("path", path)
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("given", verdict)
-    labelled = parsed.where("given is not null and url is not null").select((F.col("given") == "allow").cast("int").alias("label"), "url")
+    parsed = parsed.withColumn("label", F.when(F.col("url").isNotNull(), (F.col("given") == "allow").cast("int")))
     held_out = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    models = learn(labelled.where(~held_out), order)
-    threshold = calibrate(with_score(labelled.where(held_out), models, order))
-    scored = with_score(parsed, models, order)
+    models = learn(parsed.where(F.col("label").isNotNull() & ~held_out).select("label", "url"), order)
+    scored = materialize(with_score(parsed, models, order), "scores")
+    threshold = calibrate(scored.where(F.col("label").isNotNull() & held_out))
     own = F.when(F.col("score") < threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("given", own).alias("verdict"), "score")
