@@ -240,6 +240,18 @@ def test_secrets_and_what_only_looks_like_one(spark):
     assert clean[0] == 'Some words here token = "[SECRET]" and more words' and clean[501] == "card 4111111111111111 here" and len(clean) == docs.count()
 
 
+def test_secrets_without_labels_of_the_corpus(spark):
+    rng = np.random.default_rng(8)
+    run = lambda letters, n: "".join(letters[x] for x in rng.integers(0, len(letters), n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [f"api_key = {run(alnum, 39)}7", f"AKIA{run(alnum[:26], 15)}7", f"token: ghp_{run(alnum, 35)}7"]
+    plain = [f"card {run('0123456789', 16)}", f"commit {run('0123456789abcdef', 39)}7", f"https://a.org/x/{run('0123456789', 18)}", "see how-to-make-the-best-of-it-in-10 ways"]
+    for texts, other in ((keys, plain), (plain, []), (keys, [])):
+        docs = spark.createDataFrame([(i, f"Some words stand here {x} and there") for i, x in enumerate(texts + other)], "doc_id long, text string")
+        got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs).collect()}
+        assert got == {i: x in keys for i, x in enumerate(texts + other)}
+
+
 def test_url_parts_and_rules(spark):
     urls = ["http://A.Org/x?y", "https://m.example.org/en/12#t", "http://example.org/es/1", "x.com://b.com/de/1", "http://q.com?/de/", "nothing", None, "a://ü.COM/fr/é", "http://notexample.org/es/"]
     got = {r["page_id"]: r for r in urlmarkov.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()}

@@ -2,7 +2,8 @@
 
 A candidate is a run of at least SHORTEST key characters with a digit, inside a word. The forest sees its length and
 alphabet, the transitions between its characters, how much of it the corpus's own frequent words cover, whether it stands in a path
-or address, and the words around it. It is trained on a bounded sample of labelled findings. Everything runs as Spark
+or address, and the words around it. It is always trained: on the labelled set shipped with the package (``secretset``), and on a
+bounded sample of the corpus's own labelled findings, which together weigh at most as much. Everything runs as Spark
 functions and Spark's own forest; texts are split once, and only candidates leave their rows.
 """
 
@@ -14,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm import secretset
 from topicloom.llm.common import pick, unpacked, with_row, words_of
 from topicloom.session import materialize
 
@@ -99,14 +101,28 @@ def as_vector(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, trees: int = 30, seed: int = 3) -> RandomForestClassificationModel | float:
-    """Forest on at most ``sample_rows`` rows with FEATURES and ``label`` (0 or 1); with one label only, that label (0.5 with none)."""
-    known = labelled.where("label in (0, 1)").select("label", *FEATURES).orderBy(F.xxhash64(*FEATURES), "label").limit(sample_rows)
-    known = materialize(known.coalesce(1), "findings")
-    seen = known.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean")).first()
-    if not seen["n"] or seen["mean"] in (0.0, 1.0):
-        return seen["mean"] if seen["n"] else 0.5
-    return RandomForestClassifier(numTrees=trees, maxDepth=6, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed).fit(as_vector(known).select("features", "label"))
+def shipped_findings(terms: DataFrame) -> DataFrame:
+    """(label, FEATURES) of the shipped set's findings; its own words count as known besides ``terms``."""
+    spark = terms.sparkSession
+    labels = secretset.texts()
+    found = findings(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(labels)], "doc_id long, text string"))
+    found = found.join(spark.createDataFrame([(i, label) for i, (_, label) in enumerate(labels)], "doc_id long, label double"), "doc_id")
+    words = spark.createDataFrame([(w,) for w in secretset.WORDS], "term string")
+    return features(found, terms.union(words).distinct(), "label").select("label", *FEATURES)
+
+
+def train(labelled: DataFrame, shipped: DataFrame, sample_rows: int = 20_000, trees: int = 30, seed: int = 3) -> RandomForestClassificationModel:
+    """Forest on rows with FEATURES and ``label`` (0 or 1): all of ``shipped``, and at most ``sample_rows`` distinct ones of ``labelled``.
+
+    Rows weigh as often as they occur; those of ``labelled`` together at most as much as ``shipped``.
+    """
+    counted = lambda df: df.where("label in (0, 1)").groupBy("label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("times"))
+    own = counted(labelled).orderBy(F.xxhash64(*FEATURES), "label").limit(sample_rows).withColumn("own", F.lit(True))
+    known = materialize(own.unionByName(counted(shipped).withColumn("own", F.lit(False))).coalesce(1), "findings")
+    total = {r["own"]: r["times"] for r in known.groupBy("own").agg(F.sum("times").alias("times")).collect()}
+    known = known.withColumn("weight", F.when(F.col("own"), F.col("times") * min(1.0, total[False] / total.get(True, 1.0))).otherwise(F.col("times")))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=6, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, weightCol="weight")
+    return forest.fit(as_vector(known).select("features", "label", "weight"))
 
 
 def scan(
@@ -115,17 +131,15 @@ def scan(
     """(doc_id, word, candidate, score, is_secret) per candidate.
 
     ``labelled``: findings with their context (as ``findings`` gives them) and a ``label``; by default the surely labelled ones of
-    ``docs``. Nulls: a null text has no candidate, a null id is kept. Repeated rows are scanned each. An empty table gives no
+    ``docs``. The shipped set is learned from besides. Nulls: a null text has no candidate, a null id is kept. Repeated rows are scanned each. An empty table gives no
     rows. Other columns are ignored.
     """
     found = materialize(findings(docs, id_col, text_col), "candidates")
     terms = materialize(dictionary(docs, text_col=text_col), "terms")
     ready = materialize(features(found, terms), "features")
-    model = train(ready.withColumn("label", label_findings()) if labelled is None else features(labelled.select(*found.columns, "label"), terms, "label"))
-    if isinstance(model, float):
-        scored = ready.withColumn("score", F.lit(model))
-    else:
-        scored = model.transform(as_vector(ready)).withColumn("score", vector_to_array("probability")[1])
+    own = ready.withColumn("label", label_findings()) if labelled is None else features(labelled.select(*found.columns, "label"), terms, "label")
+    model = train(own, shipped_findings(terms))
+    scored = model.transform(as_vector(ready)).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "word", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
