@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least SHORTEST key characters with a digit, inside a word. The forest sees its length and
+A candidate is a run of at least SHORTEST key characters inside a word, or any value that a secret's name is assigned to, of any
+length and with any characters. The forest sees its length and
 alphabet, the transitions between its characters, how much of it the corpus's own frequent words cover, whether it stands in a path
 or address, and the words around it. It is always trained: on the labelled set shipped with the package (``secretset``), and on a
 bounded sample of the corpus's own labelled findings, which together weigh at most as much. Everything runs as Spark
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm import secretset
-from topicloom.llm.common import pick, unpacked, with_row, words_of
+from topicloom.llm.common import WORD, pick, unpacked, with_row, words_of
 from topicloom.session import materialize
 
 SHORTEST = 16
@@ -24,6 +25,12 @@ CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{SHORTEST},}}={{0,2}}"
 #: Words that tell of a secret, and of something that only looks like one.
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|auth|credential|bearer|private|access)"
 PLAIN_WORDS = r"(?i)(sha|md5|digest|commit|hash|uuid|checksum|example|sample|dummy|test|order|card|isbn|phone)"
+#: A secret's name with an assignment (group 1), and its value (3): between quotes (4 to 6), or up to the next white space (7).
+NAMED = SECRET_WORDS + r"""[\w.\-]*["'`]?\]?\s*(?:=>|:=|==?|:)\s*"""
+QUOTED = r"""Q(?=[^Q\n]*[^Q\s])([^Q\\\n]*+(?:\\[^\n][^Q\\\n]*+){0,64}+)Q"""
+ASSIGNED = rf"""({NAMED})(?!(?:{NAMED.replace("(token", "(?:token")}))({"|".join(QUOTED.replace("Q", q) for q in "\"'`")}|["'`]?([^\s"'`]\S*))"""
+#: What closes a sentence, list or bracket after a value without quotes is none of it.
+CLOSING = r"""["'`]*[,;.)\]}>]*$"""
 MARK = "[SECRET]"
 
 FEATURES = [
@@ -32,24 +39,52 @@ FEATURES = [
 ]
 
 
+def assigned_values(text: Column) -> Column:
+    """(word, candidate) of each value that a secret's name is assigned to; ``word`` is the one it begins in."""
+    # A byte before every value tells its word; a text's own such bytes are another then.
+    marked = words_of(F.regexp_replace(F.translate(text, "\x01", "\x02"), F.lit(ASSIGNED), F.lit("$1\x01$3")))
+    word = F.flatten(F.transform(marked, lambda w, i: F.array_repeat(i, F.regexp_count(w, F.lit("\x01")))))
+    *quoted, bare = [F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(group)) for group in (4, 5, 6, 7)]
+    value = F.transform(bare, lambda x: F.regexp_replace(x, CLOSING, ""))
+    for group in quoted:  # all but one are empty
+        value = F.zip_with(value, group, lambda x, y: F.concat(x, y))
+    found = F.zip_with(word, value, lambda i, x: F.struct(i.alias("word"), x.alias("candidate")))
+    return F.when(F.regexp_like(text, F.lit(ASSIGNED)), F.filter(found, lambda x: x["candidate"] != "")).otherwise(F.array().cast("array<struct<word:int,candidate:string>>"))
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text has a candidate."""
+    return F.regexp_like(text, F.lit(CANDIDATE)) | F.regexp_like(text, F.lit(ASSIGNED))
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word, candidate, holder, before1..before3, after1): a row per candidate; ``word`` counts from 0, ``holder`` is the word it stands in."""
+    """(doc_id, word, candidate, holder, before1..before3, after1): a row per candidate; ``word`` counts from 0, ``holder`` is the word it begins in."""
     w = F.col("words")
     placed = F.transform(w, lambda x, i: F.struct(i.alias("word"), x.alias("holder")))
     held = F.filter(placed, lambda x: F.regexp_like(x["holder"], F.lit(CANDIDATE)))
-    base = pick(docs, doc_id=id_col, text=text_col).where(F.regexp_like("text", F.lit(CANDIDATE)))
-    rows = base.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.explode(held).alias("at"))
-    around = {"before1": -1, "before2": -2, "before3": -3, "after1": 1}
-    rows = rows.select(
-        "doc_id", F.col("at.word").alias("word"), F.col("at.holder").alias("holder"),
-        *[F.coalesce(F.when(F.col("at.word") + d >= 0, F.get(w, F.col("at.word") + d)), F.lit("")).alias(name) for name, d in around.items()])
-    rows = rows.withColumn("candidate", F.explode(F.regexp_extract_all("holder", F.lit(CANDIDATE), F.lit(0))))
-    return rows.where(F.regexp_like("candidate", F.lit("[0-9]")))
+    runs = F.flatten(F.transform(held, lambda x: F.transform(
+        F.regexp_extract_all(x["holder"], F.lit(CANDIDATE), F.lit(0)), lambda c: F.struct(x["word"].alias("word"), c.alias("candidate")))))
+    base = pick(docs, doc_id=id_col, text=text_col).where(may_hold(F.col("text")))
+    rows = base.select("doc_id", words_of(F.col("text")).alias("words"), assigned_values(F.col("text")).alias("values")).withColumn("runs", runs)
+    around = {"holder": 0, "before1": -1, "before2": -2, "before3": -3, "after1": 1}
+    near = lambda i, d: F.coalesce(F.when(i + d >= 0, F.get(w, i + d)), F.lit(""))
+    # Neighbours are taken before the rows are made, so that none carries its whole text. A value that is a run is one candidate.
+    found = F.transform(F.concat("runs", F.array_except("values", "runs")), lambda x: F.struct(
+        x["word"].alias("word"), x["candidate"].alias("candidate"), *[near(x["word"], d).alias(name) for name, d in around.items()]))
+    return rows.select("doc_id", F.explode(found).alias("at")).select("doc_id", "at.*")
 
 
 def lead_of(holder: Column, candidate: Column) -> Column:
-    """What stands before the candidate in its word."""
-    return F.left(holder, F.position(candidate, holder) - 1)
+    """What stands before the candidate, or its first word, in its word; where it stands there last."""
+    first = F.reverse(F.regexp_substr(candidate, F.lit(WORD)))
+    at = F.position(first, F.reverse(holder))
+    return F.when(at > 0, F.left(holder, F.length(holder) - at - F.length(first) + 1)).otherwise(F.lit(""))
+
+
+def is_named(holder: Column, candidate: Column) -> Column:
+    """Whether the candidate is assigned to a secret's name."""
+    before = F.concat_ws(" ", "before2", "before1", lead_of(holder, candidate))
+    return F.regexp_like(before, F.lit(SECRET_WORDS + r"""[\w.\-]*\W*[=:]\W*$"""))
 
 
 def dictionary(docs: DataFrame, share: float = 1 / 4096, text_col: str = "text") -> DataFrame:
@@ -88,12 +123,12 @@ def label_findings() -> Column:
     """1 for findings that are surely secrets, 0 for those that are surely none, null for others.
 
     Sure are hexadecimal values of 32 or more that a secret's name is assigned to, and for the other side numbers, and parts of
-    addresses. These labels stand in where no one has labelled findings by hand.
+    addresses, to which none is assigned. These labels stand in where no one has labelled findings by hand.
     """
     c = F.col("candidate")
-    before = F.concat_ws(" ", "before2", "before1", lead_of(F.col("holder"), c))
-    sure = F.regexp_like(c, F.lit("^[0-9A-Fa-f]{32,}$")) & F.regexp_like(c, F.lit("[A-Fa-f]")) & F.regexp_like(before, F.lit(SECRET_WORDS + r"\W*[=:]\W*$"))
-    plain = F.regexp_like(c, F.lit("^[0-9]+$")) | F.regexp_like("holder", F.lit(r"://"))
+    named = is_named(F.col("holder"), c)
+    sure = F.regexp_like(c, F.lit("^[0-9A-Fa-f]{32,}$")) & F.regexp_like(c, F.lit("[A-Fa-f]")) & named
+    plain = (F.regexp_like(c, F.lit("^[0-9]+$")) | F.regexp_like("holder", F.lit(r"://"))) & ~named
     return F.when(sure, 1.0).when(plain, 0.0)
 
 
@@ -150,9 +185,15 @@ def redacted(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     per_doc = secrets.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias("found"))
     rows = with_row(docs, doc_id=id_col, text=text_col)
     # Only texts with a candidate meet the findings; the others stay where they are.
-    holds = F.coalesce(F.regexp_like("text", F.lit(CANDIDATE)), F.lit(False))
+    holds = F.coalesce(may_hold(F.col("text")), F.lit(False))
     met = rows.where(holds).join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    clean = F.aggregate(F.coalesce("found", F.array().cast("array<struct<n:int,candidate:string>>")), F.col("text"), lambda t, x: F.replace(t, x["candidate"], F.lit(MARK)))
+
+    def without(text: Column, secret: Column) -> Column:
+        # A short one is no part of longer words.
+        literal = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(secret, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.when(F.length(secret) >= SHORTEST, F.replace(text, secret, F.lit(MARK))).otherwise(F.regexp_replace(text, literal, F.lit(MARK)))
+
+    clean = F.aggregate(F.coalesce("found", F.array().cast("array<struct<n:int,candidate:string>>")), F.col("text"), lambda t, x: without(t, x["candidate"]))
     rows = met.withColumn("text", clean).select("doc", "text").unionByName(rows.where(~holds).select("doc", "text"))
     changed = {text_col: F.col("text")}
     if chars_col:
