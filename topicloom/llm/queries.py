@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, secrets, urlmarkov, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, phrases, rulefit, secrets, urlmarkov, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -204,3 +204,37 @@ def op1_url_markov(spark: SparkSession, sf: str) -> DataFrame:
 def op4_secret_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates for secrets in all documents, with the forest's verdict."""
     return secrets.scan(table(spark, sf, "documents"))
+
+
+PHRASES_SQL = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS p FROM docs)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k))),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT o.lang, o.k, o.g, o.a, c, array_to_string(w[:c], ' ') AS gl, array_to_string(w[c + 1:], ' ') AS gr
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM often) o),
+scored AS (
+  SELECT u.lang, u.k, u.g, u.a, c, x.a AS l, y.a AS r, (1000000::HUGEINT * u.a * u.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.k = c AND x.g = gl JOIN f y ON y.lang = u.lang AND y.k = u.k - c AND y.g = gr),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, g ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, g, max(longer) AS longer
+  FROM (SELECT lang, array_to_string(w[:2], ' ') AS g, a AS longer FROM often WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM often WHERE k = 3)
+  GROUP BY lang, g),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) AS rank
+  FROM lowest s LEFT JOIN inside i ON s.k = 2 AND s.lang = i.lang AND s.g = i.g WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, g AS phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of every language."""
+    return phrases.mine(table(spark, sf, "documents"))
