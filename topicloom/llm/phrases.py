@@ -8,45 +8,123 @@ right are what grows from it, and together with those to the left they decide wh
 often. After each round the ``top``-th best score among settled phrases is a floor that can only rise; the search of a language ends when
 all its pairs with a bound at or above the floor, ties included, are expanded.
 
-All counts are aggregations of exact strings keyed by (lang, words), reduced before their shuffle. One pass counts pairs, each round
-is one more pass that keeps only the phrases around the pairs of the round. The pairs of a round are a written table, so Spark
-broadcasts it only below its limit and shuffles otherwise.
+Texts are cut into words in blocks per task: exact words numbered inside the block, their runs counted by array operations, and
+partial counts of exact strings keyed by (lang, words) shuffled and summed. One pass counts words and pairs, each round is one more pass
+over the texts. What a round looks for is broadcast as a bit map of a bounded size; a phrase that meets it by chance is counted in
+full like the others, so chance costs work and changes nothing.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import pick
 from topicloom.session import materialize, spread
 
-#: Fixed by the contract: pieces end at these characters; words are what is left between blanks and tabs.
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
-WORD = r"[^\x20\x09]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed by the contract: pieces end at these bytes; words are what is left between blanks and tabs.
+PIECE_END = b".,;:!?\n\x0b\x0c\r"
+#: Lowers A-Z, makes every end of a piece a full stop and a tab a blank.
+PLAIN = bytes(ord(".") if c in PIECE_END else 0x20 if c == 0x09 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Scores are whole numbers of millionths.
 SCALE = 1_000_000
 #: Counts up to 10^14 keep every product below 38 digits.
 EXACT = "decimal(14,0)"
 #: Pairs of a language expanded in the first round, as a multiple of ``top``; each later round takes GROWTH times as many.
 FIRST, GROWTH = 4, 8
-
-
-def pieces(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, words): the words of every piece that has one."""
-    base = pick(docs, lang=lang_col, text=text_col).where(F.col("text").isNotNull())
-    cut = spread(base).select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(F.translate("text", UPPER, LOWER), PIECE_END)).alias("piece"))
-    return cut.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
-
-
-def in_a_row(cut: DataFrame, n: int) -> DataFrame:
-    """(lang, w0, ..): every word of the pieces with the ``n - 1`` words after it, null past the end."""
-    words = F.col("words")
-    moved = [words, *[F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))) for i in range(1, n)]]
-    rows = cut.select("lang", F.explode(F.arrays_zip(*[m.alias(f"w{i}") for i, m in enumerate(moved)])).alias("row"))
-    return rows.select("lang", *[F.col("row")[f"w{i}"].alias(f"w{i}") for i in range(n)])
+#: Bytes of text of a block: bounds a worker's memory (about 15 bytes for each).
+BLOCK_BYTES = 12 << 20
+#: Bits of the map of pairs: 16 for each pair, from 2^20 to 2^26 (8 MB). Past 2^22 pairs more phrases meet it by chance.
+BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 20, 26
+#: Odd factors below 2^29: sums of two products with 32-bit checksums stay below 2^63 here and in Spark.
+LEFT, RIGHT = 0x1E3779B1, 0x15EBCA77
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
+    """(lang, distinct words, words in order as numbers, number that ends a piece) for runs of texts of one language."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+            raw = text.as_py()
+            if raw:
+                held.setdefault(lang, []).append(raw.translate(PLAIN))
+                size += len(raw)
+            if size >= BLOCK_BYTES:
+                yield from numbered(held)
+                held, size = {}, 0
+    yield from numbered(held)
+
+
+def numbered(held: dict[str, list[bytes]]) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
+    for lang, texts in held.items():
+        words = (b"." + b".".join(texts) + b".").replace(b".", b" . ").split()
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        yield lang, list(number), np.fromiter(map(number.__getitem__, words), np.int64, len(words)), number[b"."]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
+
+
+def batch_of(lang: str, columns: list[pa.Array | None], counts: np.ndarray) -> pa.RecordBatch:
+    n = len(counts)
+    arrays = [pa.nulls(n, pa.string()) if c is None else c for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), *arrays, pa.array(counts, pa.int64())], ["lang", *"xyz"[: len(columns)], "c"])
+
+
+def words_and_pairs(texts: DataFrame) -> DataFrame:
+    """(lang, x, y, a): how often each word occurs (y null), and each pair of words in a row inside a piece."""
+
+    def run(batches):
+        for lang, names, order, end in blocks(batches):
+            strings = pa.array(names, pa.binary()).cast(pa.string())
+            seen, n = counted(order[order != end])
+            yield batch_of(lang, [strings.take(pa.array(seen)), None], n)
+            left, right = order[:-1], order[1:]
+            inside = (left != end) & (right != end)
+            seen, n = counted(left[inside] << 32 | right[inside])
+            yield batch_of(lang, [strings.take(pa.array(seen >> 32)), strings.take(pa.array(seen & 0xFFFFFFFF))], n)
+
+    return texts.mapInArrow(run, "lang string, x string, y string, c long").groupBy("lang", "x", "y").agg(F.sum("c").alias("a"))
+
+
+def map_of(pairs: DataFrame) -> np.ndarray:
+    """Bit map of pairs (x, y), lowest bit first; at most one row for each 32 bits comes to the driver."""
+    bits = min(max((pairs.count() * BITS_EACH).bit_length(), FEWEST_BITS), MOST_BITS)
+    crc = lambda c: F.crc32(F.col(c).cast("binary"))
+    place = pairs.select(F.pmod(crc("x") * LEFT + crc("y") * RIGHT, F.lit(1 << bits)).alias("p"))
+    words = place.groupBy(F.shiftright("p", 5).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("v"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    table = words.toArrow()
+    out[table.column("i").to_numpy()] = table.column("v").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def grown(texts: DataFrame, batch: DataFrame, least: int) -> DataFrame:
+    """(lang, x, y, z, a): phrases of three words seen ``least`` times or more; all that contain a pair of ``batch`` (lang, x, y) are among them."""
+    wanted = texts.sparkSession.sparkContext.broadcast(map_of(batch))
+
+    def run(batches):
+        bitmap = np.unpackbits(wanted.value, bitorder="little").view(bool)
+        mask = len(bitmap) - 1
+        for lang, names, order, end in blocks(batches):
+            crc = np.fromiter(map(zlib.crc32, names), np.int64, len(names))[order]
+            hit = bitmap[(crc[:-1] * LEFT + crc[1:] * RIGHT) & mask]
+            solid = order != end
+            at = np.flatnonzero((hit[:-1] | hit[1:]) & solid[:-2] & solid[1:-1] & solid[2:])
+            pairs, rank = np.unique(order[at] << 32 | order[at + 1], return_inverse=True)
+            seen, n = counted(rank.astype(np.int64) << 32 | order[at + 2])
+            strings, first = pa.array(names, pa.binary()).cast(pa.string()), pairs[seen >> 32]
+            yield batch_of(lang, [strings.take(pa.array(x)) for x in (first >> 32, first & 0xFFFFFFFF, seen & 0xFFFFFFFF)], n)
+
+    found = texts.mapInArrow(run, "lang string, x string, y string, z string, c long")
+    return found.groupBy("lang", "x", "y", "z").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
 
 
 def millionths(a: str, left: str, right: str) -> Column:
@@ -54,17 +132,6 @@ def millionths(a: str, left: str, right: str) -> Column:
     return F.expr(f"(cast({a} as {EXACT}) * cast({a} as {EXACT}) * cast({SCALE} as decimal(7,0))) div (cast({left} as {EXACT}) * cast({right} as {EXACT}))")
 
 
-def grown(cut: DataFrame, batch: DataFrame, least: int) -> DataFrame:
-    """(lang, x, y, z, a): all phrases of three words seen ``least`` times or more that contain a pair of ``batch`` (lang, x, y)."""
-    rows = in_a_row(cut, 3).where(F.col("w2").isNotNull())
-    first = batch.select(F.col("lang").alias("l1"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lit(True).alias("in1"))
-    second = batch.select(F.col("lang").alias("l2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.lit(True).alias("in2"))
-    met = rows.join(first, (F.col("lang") == F.col("l1")) & (F.col("w0") == F.col("x1")) & (F.col("w1") == F.col("y1")), "left").join(
-        second, (F.col("lang") == F.col("l2")) & (F.col("w1") == F.col("x2")) & (F.col("w2") == F.col("y2")), "left")
-    kept = met.where(F.col("in1").isNotNull() | F.col("in2").isNotNull())
-    return kept.groupBy("lang", F.col("w0").alias("x"), F.col("w1").alias("y"), F.col("w2").alias("z")).agg(F.count("*").alias("a")).where(F.col("a") >= least)
-
-
 def mine(
     docs: DataFrame, top: int = 2000, least: int = 10, inside_percent: int = 50, lang_col: str = "lang", text_col: str = "text",
 ) -> DataFrame:
@@ -76,14 +143,13 @@ def mine(
     so results do not depend on the layout. A null text counts as empty, a null language as ``und``; repeated rows count each. An
     empty table, or one without a phrase seen often enough, gives no rows. Other columns are ignored.
     """
-    cut = pieces(docs, lang_col, text_col)
-    followed = materialize(in_a_row(cut, 2).groupBy("lang", "w0", "w1").agg(F.count("*").alias("c")), "followed")
-    words = materialize(followed.groupBy("lang", "w0").agg(F.sum("c").alias("f")), "words")
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.where(F.col("f") >= least)
-    f_of = lambda w, name: often.select(F.col("lang"), F.col("w0").alias(w), F.col("f").alias(name))
-    seen = followed.where(F.col("w1").isNotNull() & (F.col("c") >= least)).select("lang", F.col("w0").alias("x"), F.col("w1").alias("y"), F.col("c").alias("a"))
-    scored = seen.join(f_of("x", "l"), ["lang", "x"]).join(f_of("y", "r"), ["lang", "y"])
+    base = pick(docs, lang=lang_col, text=text_col).where(F.col("text").isNotNull())
+    texts = spread(base).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    seen = materialize(words_and_pairs(texts).where(F.col("y").isNull() | (F.col("a") >= least)), "seen")
+    total = seen.where(F.col("y").isNull()).groupBy("lang").agg(F.sum("a").alias("n"))
+    often = materialize(seen.where(F.col("y").isNull() & (F.col("a") >= least)).select("lang", F.col("x").alias("w"), F.col("a").alias("f")), "often")
+    f_of = lambda w, name: often.select(F.col("lang"), F.col("w").alias(w), F.col("f").alias(name))
+    scored = seen.where(F.col("y").isNotNull()).join(f_of("x", "l"), ["lang", "x"]).join(f_of("y", "r"), ["lang", "y"])
     # a <= l, so the bound needs no wide product; it is at least the pair's own score
     bound = F.expr(f"(cast(a as {EXACT}) * cast({SCALE} as decimal(7,0))) div cast(l as {EXACT})")
     pairs = materialize(scored.select("lang", "x", "y", "a", "l", "r", millionths("a", "l", "r").alias("score"), bound.alias("bound")), "pairs")
@@ -98,7 +164,7 @@ def mine(
         batch = materialize(left.withColumn("place", place).where(F.col("place") <= size).drop("place"), "batch")
         if batch.isEmpty():
             break
-        more = with_cuts(grown(cut, batch.select("lang", "x", "y"), least), pairs, often)
+        more = with_cuts(grown(texts, batch.select("x", "y"), least), pairs, often)
         triples = materialize(more if triples is None else triples.unionByName(more).dropDuplicates(["lang", "x", "y", "z"]), "triples")
         expanded = batch if expanded is None else materialize(expanded.unionByName(batch), "expanded")
         alive = survivors(expanded, triples, inside_percent)
@@ -109,7 +175,7 @@ def mine(
         reach = materialize(done.join(floors, "lang", "left").select("lang", "done_to", F.coalesce("floor", F.lit(-1)).alias("floor")), "reach")
         size *= GROWTH
     if triples is None:
-        return cut.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = survivors(expanded, triples, inside_percent).withColumn("rank", best.cast("long")).where(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -117,7 +183,7 @@ def mine(
 
 def with_cuts(triples: DataFrame, pairs: DataFrame, often: DataFrame) -> DataFrame:
     """(lang, x, y, z, a, l, r, score): phrases of three words with their lowest cut."""
-    f_of = lambda w, name: often.select(F.col("lang"), F.col("w0").alias(w), F.col("f").alias(name))
+    f_of = lambda w, name: often.select(F.col("lang"), F.col("w").alias(w), F.col("f").alias(name))
     pair_of = lambda u, v, name: pairs.select("lang", F.col("x").alias(u), F.col("y").alias(v), F.col("a").alias(name))
     counted = triples.join(f_of("x", "l1"), ["lang", "x"]).join(f_of("z", "r2"), ["lang", "z"]).join(
         pair_of("y", "z", "r1"), ["lang", "y", "z"]).join(pair_of("x", "y", "l2"), ["lang", "x", "y"])
