@@ -38,7 +38,7 @@ EXACT = "decimal(14,0)"
 #: Pairs of a language expanded in the first round, as a multiple of ``top``; each later round takes GROWTH times as many.
 FIRST, GROWTH = 4, 8
 #: Bytes of text of a block: bounds a worker's memory (about 15 bytes for each).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of the map of pairs: 16 for each pair, from 2^20 to 2^26 (8 MB). Past 2^22 pairs more phrases meet it by chance.
 BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 20, 26
 #: Odd factors below 2^29: sums of two products with 32-bit checksums stay below 2^63 here and in Spark.
@@ -159,19 +159,15 @@ def mine(
         # the floor of a language: its top-th best settled score, or nothing yet
         left = pairs if reach is None else (
             pairs.join(reach, "lang").where((F.col("bound") < F.col("done_to")) & (F.col("bound") >= F.col("floor"))).drop("done_to", "floor"))
-        # the best of the frontier; RANK takes all ties, so a batch ends between two bounds
-        place = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("bound")))
-        batch = materialize(left.withColumn("place", place).where(F.col("place") <= size).drop("place"), "batch")
+        # the best of the frontier with all ties, so a batch ends between two bounds
+        batch = materialize(left.join(value_of(left, "bound", size, "last"), "lang").where(F.col("bound") >= F.col("last")).drop("last"), "batch")
         if batch.isEmpty():
             break
         more = with_cuts(grown(texts, batch.select("x", "y"), least), pairs, often)
         triples = materialize(more if triples is None else triples.unionByName(more).dropDuplicates(["lang", "x", "y", "z"]), "triples")
         expanded = batch if expanded is None else materialize(expanded.unionByName(batch), "expanded")
-        alive = survivors(expanded, triples, inside_percent)
-        order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-        floors = alive.withColumn("place", order).where(F.col("place") <= top).groupBy("lang").agg(F.max("place").alias("k"), F.min("score").alias("least"))
-        floors = floors.select("lang", F.when(F.col("k") >= top, F.col("least")).otherwise(F.lit(-1)).alias("floor"))
         done = expanded.groupBy("lang").agg(F.min("bound").alias("done_to"))
+        floors = value_of(survivors(expanded, triples, inside_percent), "score", top, "floor")
         reach = materialize(done.join(floors, "lang", "left").select("lang", "done_to", F.coalesce("floor", F.lit(-1)).alias("floor")), "reach")
         size *= GROWTH
     if triples is None:
@@ -181,6 +177,16 @@ def mine(
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def value_of(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
+    """(lang, ``name``): the k-th highest ``value`` of each language, -1 where there are fewer.
+
+    Taken from counts per value; values are millionths, at most 1, so a language has at most SCALE + 1 of them, however many its rows.
+    """
+    counts = rows.groupBy("lang", value).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc(value)))
+    return counts.withColumn("above", above).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("above") >= k, F.col(value))), F.lit(-1)).alias(name))
+
+
 def with_cuts(triples: DataFrame, pairs: DataFrame, often: DataFrame) -> DataFrame:
     """(lang, x, y, z, a, l, r, score): phrases of three words with their lowest cut."""
     f_of = lambda w, name: often.select(F.col("lang"), F.col("w").alias(w), F.col("f").alias(name))
