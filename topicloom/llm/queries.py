@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, phrases, rulefit, secrets, urlmarkov, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, phrases, rulefit, runs, secrets, urlmarkov, warc
+from topicloom.llm.common import pick, words_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -238,3 +240,46 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """The 2000 best phrases of two or three words of every language."""
     return phrases.mine(table(spark, sf, "documents"))
+
+
+RUNS_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {CRC32_SQL} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0 FROM documents),
+starts AS (SELECT *, len(w0) AS n, h // 10 AS g, CASE WHEN len(w0) > 0 THEN (h // 10) % len(w0) ELSE 0 END AS a FROM docs),
+periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM starts),
+texts AS (
+  SELECT rid, doc_id, n,
+         CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w0 END AS w
+  FROM periods),
+words AS (SELECT rid, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM texts),
+equal AS (
+  SELECT x.rid, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.rid, y.i - x.i ORDER BY x.i) AS island
+  FROM words x JOIN words y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM equal GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT rid, start, length, min(q) AS period FROM stretches GROUP BY rid, start, length),
+digests AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS best
+  FROM runs GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+       CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN digests USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a checksum of its id, goes on with a stretch of its own words over and over."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    base = pick(docs, doc_id="doc_id", text="text").withColumn("h", crc)
+    cut = base.withColumn("words", F.when(F.col("h") % 10 == 0, words_of(F.col("text")))).withColumn("n", F.size("words").cast("long"))
+    placed = cut.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)])), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_runs", RUNS_SQL)
+def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which get one planted."""
+    return runs.digests(runs.detect(planted(table(spark, sf, "documents"))))
