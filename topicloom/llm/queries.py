@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, phrases, rulefit, runs, secrets, urlmarkov, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, langid, mixing, phrases, rulefit, runs, secrets, urlmarkov, warc
 from topicloom.llm.common import pick, words_of
 
 QUERIES, ORACLES = {}, {}
@@ -283,3 +283,15 @@ def planted(docs: DataFrame) -> DataFrame:
 def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Periodic runs of words in every document, some of which get one planted."""
     return runs.digests(runs.detect(planted(table(spark, sf, "documents"))))
+
+
+@query("op12_language")
+def op12_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from those whose checksum of the id modulo 4 is not 2."""
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    pieces = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    model = langid.fit(docs.where(fold != 2), pieces)
+    return langid.predict(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
