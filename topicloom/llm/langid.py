@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +29,10 @@ from topicloom.session import materialize, spread
 
 #: Languages of a corpus; more are an error, as models of all of them are broadcast.
 MAX_LANGS = 1000
-#: Characters of text of a block, words cut at once, and words counted before they are passed on: bound a worker's memory.
-BLOCK_CHARS, CUT_WORDS, HELD_WORDS = 4 << 20, 20_000, 200_000
+#: Characters of text of a block, words cut at once, words counted before they are passed on, and likelihoods kept: bound a worker's memory.
+BLOCK_CHARS, CUT_WORDS, HELD_WORDS, KEPT = 4 << 20, 20_000, 200_000, 2_400_000
+#: Up to so many languages blocks have these sizes; with more they get smaller.
+USUAL_LANGS = 8
 #: Expected counts are kept as whole numbers of this part, so that sums don't depend on their order.
 UNIT = 1 << 20
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -116,9 +118,10 @@ def bytes_of(words: list[str]) -> list[bytes]:
 def likelihoods(trie: Pieces, words: list[str], logs: np.ndarray) -> np.ndarray:
     """Log-probability of each word, over all its segmentations, in each model; ``logs``: (pieces, models)."""
     out = np.zeros((len(words), logs.shape[1]))
-    for start in range(0, len(words), CUT_WORDS):
-        arcs = trie.arcs(bytes_of(words[start : start + CUT_WORDS]))
-        out[start : start + CUT_WORDS] = arcs.forward(logs[arcs.piece])[arcs.last]
+    step = max(1, CUT_WORDS * USUAL_LANGS // max(USUAL_LANGS, logs.shape[1]))
+    for start in range(0, len(words), step):
+        arcs = trie.arcs(bytes_of(words[start : start + step]))
+        out[start : start + step] = arcs.forward(logs[arcs.piece])[arcs.last]
     return out
 
 
@@ -225,31 +228,51 @@ def trie_of(pieces: list[bytes]) -> Pieces:
     return TRIES[key]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[list[str]]]]:
-    """Ids and words of texts in blocks of about BLOCK_CHARS; a longer text is a block of its own."""
+def blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.Array, list[list[str]]]]:
+    """Ids and words of texts in blocks of about ``chars`` characters; a longer text is a block of its own."""
     for batch in batches:
         words, start, size = [], 0, 0
         for i, text in enumerate(batch.column("text")):
             raw = text.as_py() or ""
             words.append(LETTERS.findall(raw.lower()))
             size += len(raw)
-            if size >= BLOCK_CHARS:
+            if size >= chars:
                 yield batch.column("doc_id").slice(start, i + 1 - start), words
                 words, start, size = [], i + 1, 0
         if words:
             yield batch.column("doc_id").slice(start), words
 
 
-def posteriors(trie: Pieces, texts: list[list[str]], model: Model) -> np.ndarray:
-    """Probability of each language for each text (a list of words)."""
-    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
-    logs = likelihoods(trie, list(number), model.logs)
-    total = np.tile(model.prior, (len(texts), 1))
-    for i, words in enumerate(texts):
-        if words:
-            total[i] += logs[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].sum(axis=0)
-    total = np.exp(total - total.max(axis=1, keepdims=True))
-    return total / total.sum(axis=1, keepdims=True)
+class Scorer:
+    """Posteriors of texts; likelihoods of words are kept from block to block, up to KEPT of them."""
+
+    def __init__(self, model: Model):
+        self.model, self.trie = model, trie_of(model.pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.known = np.zeros((0, len(self.model.langs)))
+
+    def posteriors(self, texts: list[list[str]]) -> np.ndarray:
+        """Probability of each language for each text (a list of one word or more)."""
+        if self.known.size > KEPT:
+            self.forget()
+        size = np.array([len(words) for words in texts])
+        code = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, int(size.sum()))
+        new = list(islice(self.number, len(self.known), None))
+        self.known = np.concatenate((self.known, likelihoods(self.trie, new, self.model.logs)))
+        total = self.model.prior + np.add.reduceat(self.known[code], np.cumsum(size) - size)
+        total = np.exp(total - total.max(axis=1, keepdims=True))
+        return total / total.sum(axis=1, keepdims=True)
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,12 +287,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         own = shared.value
-        trie = trie_of(own.pieces)
-        for ids, texts in blocks(batches):
+        scorer = Scorer(own)
+        for ids, texts in blocks(batches, BLOCK_CHARS * USUAL_LANGS // max(USUAL_LANGS, len(own.langs))):
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             judged = [i for i, words in enumerate(texts) if words] if own.langs else []
             if judged:
-                p = posteriors(trie, [texts[i] for i in judged], own)
+                p = scorer.posteriors([texts[i] for i in judged])
                 best = p.argmax(axis=1)
                 score[judged] = p[np.arange(len(judged)), best]
                 for i, k in zip(judged, best.tolist(), strict=True):
