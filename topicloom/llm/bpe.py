@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,9 +30,11 @@ from topicloom.llm.common import pick
 BITS = 17
 MAX_TOKENS = 1 << BITS
 
-#: Characters of text per block, and pieces kept by a task before it starts anew: both bound a worker's memory only.
-BLOCK_CHARS = 16 << 20
-KEPT_PIECES = 1_200_000
+#: Bytes of text per block, and bytes of encodings kept by a task before it starts anew: both bound a worker's memory only.
+BLOCK_BYTES = 3 << 20
+KEPT_BYTES = 120 << 20
+#: Bytes that an encoding takes besides its characters: a string, bytes, and an entry of two dictionaries.
+EACH_BYTES = 320
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -63,6 +66,7 @@ class Codec:
         self.words: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.spaced: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.first: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.kept = 0
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it can't be merged."""
@@ -172,16 +176,18 @@ class Codec:
         for word, ids in zip(new, self.replay(new), strict=True):
             texts[word] = " ".join(map(decimal, ids))
             raws[word] = decode(ids)
+            self.kept += EACH_BYTES + len(word) + len(texts[word]) + len(raws[word])
         for piece, parts in split.items():
             known[0][piece] = texts[parts[0]] if len(parts) == 1 else " ".join([texts[w] for w in parts])
             known[1][piece] = raws[parts[0]] if len(parts) == 1 else b"".join([raws[w] for w in parts])
+            self.kept += EACH_BYTES if len(parts) == 1 else EACH_BYTES + len(piece) + len(known[0][piece]) + len(known[1][piece])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Per text, its decimal ids joined by blanks, and the bytes decoded from them."""
-        if len(self.spaced[0]) + len(self.words[0]) > KEPT_PIECES:
+        if self.kept > KEPT_BYTES:
             self.forget()
         cut = [text_pieces(t) for t in texts]
         self.learn({p[0] for p in cut if p}, "", self.first)
@@ -235,17 +241,37 @@ def codec(tokens: list[bytes], pattern: str) -> Codec:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts in blocks of about BLOCK_CHARS; a longer text is a block of its own."""
+    """Ids and texts in blocks of about BLOCK_BYTES, cut before texts become strings; a longer text is a block of its own."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        start = size = 0
-        for i, text in enumerate(texts):
-            if i > start and size + len(text or "") > BLOCK_CHARS:
-                yield batch.column("doc_id").slice(start, i - start), [t or "" for t in texts[start:i]]
-                start, size = i, 0
-            size += len(text or "")
-        if start < len(texts):
-            yield batch.column("doc_id").slice(start), [t or "" for t in texts[start:]]
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(size), 0
+        while start < len(ends):
+            used = ends[start] - size[start]
+            stop = max(start + 1, int(np.searchsorted(ends, used + BLOCK_BYTES, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part.column("doc_id"), [t or "" for t in part.column("text").to_pylist()]
+            start = stop
+
+
+def length_of(decimal: str) -> int:
+    return decimal.count(" ") + 1 if decimal else 0
+
+
+def digested(ids: pa.Array, encoded: Iterator[tuple[str, bytes]]) -> pa.RecordBatch:
+    """Counts and digests of encoded texts."""
+    rows = [(length_of(decimal), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()) for decimal, decoded in encoded]
+    counts, left, right = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(counts, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def spelled(ids: pa.Array, encoded: Iterator[tuple[str, bytes]]) -> pa.RecordBatch:
+    """Counts, token ids and decoded bytes of encoded texts; the ids of all texts are one array."""
+    decimals, decoded = zip(*encoded, strict=True)
+    counts = np.array([length_of(d) for d in decimals], np.int64)
+    values = np.fromstring(" ".join(filter(None, decimals)), np.int32, sep=" ")
+    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+    return pa.RecordBatch.from_arrays([ids, pa.array(counts), tokens, pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def tokenize(docs: DataFrame, tokens: list[bytes], pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,21 +287,12 @@ def tokenize(docs: DataFrame, tokens: list[bytes], pattern: str, digests: bool =
 
     def run(batches):
         gc.disable()  # millions of small objects without cycles; the worker's memory is bounded by blocks
-        own = codec(vocabulary.value, pattern)
-        for ids, texts in blocks(batches):
-            counts, left, right = [], [], []
-            for decimal, decoded in own.encode(texts):
-                counts.append(decimal.count(" ") + 1 if decimal else 0)
-                if digests:
-                    left.append(hashlib.sha256(decimal.encode()).hexdigest())
-                    right.append(hashlib.sha256(decoded).hexdigest())
-                else:
-                    left.append(np.array(decimal.split(), np.int32))
-                    right.append(decoded)
-            types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-            names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(left, types[0]), pa.array(right, types[1])], ["doc_id", "n_tokens", *names])
+        try:
+            own = codec(vocabulary.value, pattern)
+            for ids, texts in blocks(batches):
+                yield digested(ids, own.encode(texts)) if digests else spelled(ids, own.encode(texts))
+        finally:
+            gc.enable()
 
     ends = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
     return base.mapInArrow(run, f"doc_id {kind}, n_tokens long, {ends}")
