@@ -163,3 +163,28 @@ def test_growing_clusters_find_planted_groups(spark):
     assert len(labels) == 48
     found = [{labels[i] for i in range(24 * g, 24 * g + 24)} - {-1} for g in range(2)]
     assert all(found) and not found[0] & found[1]
+
+
+def test_growing_clusters_survive_a_restart_and_a_replay(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.3, (20, 2)) for c in [(0, 0), (6, 6)]] + [np.repeat([[6.0, 6.0]], 12, 0)])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    parts = [df.where(F.col("id") % 2 == i) for i in range(2)]
+    params = dict(min_cluster_size=6, min_samples=3, cluster_selection_epsilon=0.0, allow_single_cluster=False)
+    rows = lambda labels: sorted((r["id"], r["label"]) for r in labels.collect())
+    path = work_path(spark, "grow")
+    first = rows(inc.GrowingClusters("id", "v", path=path, **params).add(parts[0], 0))
+    # another process goes on from the stored version
+    again = inc.GrowingClusters("id", "v", path=path, **params)
+    assert again.versions(spark) == [0]
+    second = rows(again.add(parts[1], 1))
+    assert len(first) == 26 and [i for i, _ in second] == list(range(52))
+    found = [{label for i, label in second if i in group} - {-1} for group in (range(20), range(20, 52))]
+    assert all(found) and not found[0] & found[1]
+    # a replayed batch starts from the version before it, and overwrites its own
+    assert rows(inc.GrowingClusters("id", "v", path=path, **params).add(parts[1], 1)) == second
+    assert again.versions(spark) == [0, 1]
+    # a batch that died before its mark is no version: what it left is overwritten
+    spark.createDataFrame([(99, 99)], "id long, rep long").write.parquet(f"{path}/members/batch=2")
+    assert again.versions(spark) == [0, 1]
+    assert rows(again.add(parts[0], 2)) == second  # nothing new

@@ -141,6 +141,12 @@ def density_clusters_normalized(spark, sf):
     return dn.cluster(unit(spark, sf), "vec_id", "embedding", alpha=0.5, allow_single_cluster=False)
 
 
+@query("density_clusters_graph")
+def density_clusters_graph(spark, sf):
+    """Density clusters over the neighbor graph by descent."""
+    return dn.cluster_graph(raw(spark, sf), "vec_id", "embedding", neighbors=30, descent={"sample": 15}, **dn.LEAF_DEFAULTS)
+
+
 @query("daily_clusters")
 def daily_clusters(spark, sf):
     """Every day clustered on its own, all days in one job."""

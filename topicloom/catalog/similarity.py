@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.base import query, table
 from topicloom.catalog.topics import VOCAB_SQL, known_words
+from topicloom.operators import descent as ds
 from topicloom.operators import similarity as sm
 
 
@@ -109,7 +110,7 @@ def search_by_article(spark, sf):
   p AS (SELECT DISTINCT least(vec_id, neighbor) AS a, greatest(vec_id, neighbor) AS b, round(score, 6) AS score FROM r WHERE rk <= 20)
 SELECT a, b, score, x.source AS title_a, y.source AS title_b FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE score >= 0.3""")
 def similar_pairs(spark, sf):
-    """Pairs above a similarity, with the titles of both sides."""
+    """Top-k report: pairs above a similarity among the 20 most similar rows of each row, with the titles of both sides."""
     pairs = sm.similar_pairs(unit(spark, sf), "vec_id", "embedding", 20).withColumn("score", F.round("score", 6)).where("score >= 0.3")
     titles = table(spark, sf, "documents", "doc_id", "source")
     a = titles.select(F.col("doc_id").alias("a"), F.col("source").alias("title_a"))
@@ -140,3 +141,39 @@ def silhouette_cosine(spark, sf):
 @query("silhouette_squared", _silhouette_sql(RAW, "list_distance(a.e, b.e) * list_distance(a.e, b.e)"))
 def silhouette_squared(spark, sf):
     return sm.silhouette_rows(raw(spark, sf), "vec_id", "embedding", "label", "sqeuclidean").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("pairs_above_score", f"""WITH {UNIT}, g AS (SELECT e, min(vec_id) AS rep, count(*) AS copies FROM u GROUP BY e)
+SELECT x.rep AS a, y.rep AS b, round(list_inner_product(x.e, y.e), 6) AS score, x.copies AS copies_a, y.copies AS copies_b
+FROM g x JOIN g y ON x.rep < y.rep WHERE list_inner_product(x.e, y.e) >= 0.25""")
+def pairs_above_score(spark, sf):
+    """All pairs of vectors above a similarity, however many a row has."""
+    return sm.pairs_above(unit(spark, sf), "vec_id", "embedding", 0.25, cell_rows=128).withColumn("score", F.round("score", 6))
+
+
+def fractional(a, b):
+    """Minkowski distance of order one half, dimension by dimension; triangles may be broken."""
+    total = 0.0
+    for x, y in zip(a.T, b.T, strict=True):
+        total = total + abs(x[:, None] - y[None, :]) ** 0.5
+    return total**2
+
+
+@query("nearest_fractional", _nearest_sql("power(list_sum(list_transform(list_zip(a.e, b.e), lambda p: sqrt(abs(p[1] - p[2])))), 2)", 5, RAW, False).replace(
+    "round(distance, 6)", "round(distance, 4)"))
+def nearest_fractional(spark, sf):
+    """Nearest rows by a distance given as a function."""
+    e = raw(spark, sf)
+    found = sm.nearest(e, e, "vec_id", "embedding", 5, fractional, include_self=False)
+    return found.withColumn("distance", F.abs(F.round("distance", 4)))
+
+
+@query("graph_recall", """SELECT count(*) AS rows, true AS good FROM embeddings""")
+def graph_recall(spark, sf):
+    """Whether the neighbor graph by descent finds at least 90 % of the ten nearest rows."""
+    e = unit(spark, sf)
+    found = ds.nearest(e, "vec_id", "embedding", 10, "cosine", k=40, sample=15).select("vec_id", "neighbor")
+    true = sm.nearest(e, e, "vec_id", "embedding", 10, "cosine", include_self=False).select("vec_id", "neighbor")
+    hits = true.join(found.withColumn("hit", F.lit(1)), ["vec_id", "neighbor"], "left").agg(F.count("hit").alias("hits"), F.count("*").alias("all"))
+    rows = e.agg(F.count("*").alias("rows"))
+    return hits.join(rows).select("rows", (10 * F.col("hits") >= 9 * F.col("all")).alias("good"))

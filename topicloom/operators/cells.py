@@ -6,6 +6,9 @@ bounds, both exact). A cell is split into blocks, and the probes of a cell into
 task never sees more than ``BLOCK_ROWS`` x ``BLOCK_ROWS`` vectors however full a cell is. Inside a
 task numpy computes the distances; only results, never pairs, leave it.
 
+A distance may also be a function (matrix, matrix) -> matrix of distances. Nothing is known about its triangles then: there is one
+cell, whose blocks meet all chunks of probes.
+
 The number of pivots is bounded by ``MAX_PIVOTS``; they and the cell radii are the only data that go
 through the driver and to every task.
 """
@@ -28,6 +31,8 @@ BLOCK_ROWS = 2048
 CELL_ROWS = 1024
 MAX_PIVOTS = 1024
 SLACK = 1e-7
+#: "l2", "l1" or a function (matrix, matrix) -> matrix of distances.
+Space = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -45,7 +50,9 @@ def rough_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
 
 
-def rough(a: np.ndarray, b: np.ndarray, space: str) -> np.ndarray:
+def rough(a: np.ndarray, b: np.ndarray, space: Space) -> np.ndarray:
+    if callable(space):
+        return np.array(space(a, b), np.float64)
     if space == "l2":
         return np.sqrt(rough_squared(a, b))
     out = np.empty((len(a), len(b)))
@@ -54,6 +61,11 @@ def rough(a: np.ndarray, b: np.ndarray, space: str) -> np.ndarray:
     return out
 
 
+def pair_distances(d: np.ndarray, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, space: Space) -> np.ndarray:
+    """Distances of the pairs (i, j) of rows of ``a`` and ``b``; a function's are those of its matrix ``d``."""
+    return d[i, j] if callable(space) else exact(a[i], b[j], space)
+
+
 def exact(a: np.ndarray, b: np.ndarray, space: str) -> np.ndarray:
     """Distances of row pairs, the same number whichever side comes first."""
     diff = a - b
@@ -71,7 +83,7 @@ class Cells:
     uid: str
     vec: str
     by: tuple[str, ...]
-    space: str
+    space: Space
     block_rows: int
 
 
@@ -88,13 +100,13 @@ def _assign(pivots: np.ndarray, space: str) -> Callable[[Column], Column]:
 
 
 def build_cells(
-    df: DataFrame, uid: str, vec: str, by: tuple[str, ...] = (), space: str = "l2",
+    df: DataFrame, uid: str, vec: str, by: tuple[str, ...] = (), space: Space = "l2",
     cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> Cells:
     """Index ``df``. Pivots are the rows with the smallest id hashes: a sample that is stable across runs."""
     rows = materialize(df, "vectors")
     count = rows.count()
-    wanted = int(min(MAX_PIVOTS, max(1, -(-count // cell_rows))))
+    wanted = 1 if callable(space) else int(min(MAX_PIVOTS, max(1, -(-count // cell_rows))))
     picked = rows.orderBy(F.xxhash64(uid), uid).limit(wanted).select(vec).toPandas()
     pivots = matrix(picked[vec]) if len(picked) else np.zeros((1, 1))
     if len(pivots) == 1:
@@ -118,7 +130,7 @@ def route(cells: Cells, probes: int | None = None, skip: dict[int, object] | Non
     out the nearest cell.
     """
     pivots, radii, space = cells.pivots, cells.radii, cells.space
-    gaps = rough(pivots, pivots, space)
+    gaps = np.zeros((1, 1)) if len(pivots) == 1 else rough(pivots, pivots, space)
     live = np.isfinite(radii) | (len(pivots) == 1)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -194,7 +206,7 @@ def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _best(left: pd.DataFrame, right: pd.DataFrame, x_uid: str, y_uid: str, x_vec: str, y_vec: str, space: str, same: bool):
+def _best(left: pd.DataFrame, right: pd.DataFrame, x_uid: str, y_uid: str, x_vec: str, y_vec: str, space: Space, same: bool):
     """The ``_k`` nearest right rows within ``_radius`` of every left row: index arrays and distances."""
     a, b = matrix(left[x_vec]), matrix(right[y_vec])
     d = rough(a, b, space)
@@ -209,7 +221,7 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, x_uid: str, y_uid: str, x_vec
     i, j = np.nonzero(d <= (cut * (1 + SLACK) + SLACK)[:, None])
     finite = np.isfinite(d[i, j])
     i, j = i[finite], j[finite]
-    dist = exact(a[i], b[j], space)
+    dist = pair_distances(d, a, b, i, j, space)
     order = np.lexsort((sortable(right[y_uid])[j], dist, i))
     i, j, dist = i[order], j[order], dist[order]
     first = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.array([], dtype=int)
@@ -218,7 +230,7 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, x_uid: str, y_uid: str, x_vec
     return a, b, i[keep], j[keep], dist[keep]
 
 
-def metric_value(a: np.ndarray, b: np.ndarray, dist: np.ndarray, metric: str) -> np.ndarray:
+def metric_value(a: np.ndarray, b: np.ndarray, dist: np.ndarray, metric: Space) -> np.ndarray:
     if metric == "cosine":
         return 1.0 - (a * b).sum(1)
     if metric == "angular":
@@ -227,7 +239,7 @@ def metric_value(a: np.ndarray, b: np.ndarray, dist: np.ndarray, metric: str) ->
 
 
 def knn(
-    x: DataFrame, cells: Cells, uid: str, vec: str, k: int | Column, metric: str = "euclidean", same: bool = False,
+    x: DataFrame, cells: Cells, uid: str, vec: str, k: int | Column, metric: Space = "euclidean", same: bool = False,
     probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest indexed rows of every x row: (by, uid, neighbor, distance, value).

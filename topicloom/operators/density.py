@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from topicloom.operators.cells import BLOCK_ROWS, CELL_ROWS, SLACK, build_cells, exact, knn, matrix, probe, rough, sortable, sql_type
+from topicloom.operators.cells import BLOCK_ROWS, CELL_ROWS, SLACK, Space, build_cells, exact, knn, matrix, pair_distances, probe, rough, sortable, sql_type
+from topicloom.operators.descent import Distance, neighbor_graph
 from topicloom.operators.graph import ancestor_pairs, any_ancestor, components, jump, sum_below
 from topicloom.operators.ranking import next_in_group, rank_in_group
 from topicloom.session import materialize
@@ -57,21 +58,32 @@ class MergeTree:
     by: tuple[str, ...]
 
 
-def _neighbors(groups: DataFrame, by: list[str], vec: str, min_samples: int, cell_rows: int, block_rows: int):
-    """Indexed points with core distance and list reach, and the neighbor lists."""
-    k = max(min_samples, NEIGHBORS)
-    source = groups.select(*by, F.col("rep").alias("_y"), vec, "copies")
-    cells = build_cells(source, "_y", vec, tuple(by), cell_rows=cell_rows, block_rows=block_rows)
-    lists = materialize(knn(groups.select(*by, "rep", vec), cells, "rep", vec, k, same=True), "neighbors")
+def _core(groups: DataFrame, lists: DataFrame, min_samples: int) -> DataFrame:
+    """(rep, _core, _last, _got): core distance out of the neighbor lists, how far a list reaches, and its length."""
     weights = groups.select(F.col("rep").alias("neighbor"), F.col("copies").alias("_w"))
     running = Window.partitionBy("rep").orderBy("rank")
     counted = lists.select("rep", "neighbor", "distance", "rank").join(weights, "neighbor").withColumn("_sum", F.sum("_w").over(running))
     own = groups.select("rep", F.col("copies").alias("_own"))
     enough = F.col("_own") - 1 + F.col("_sum") >= min_samples
-    core = counted.join(own, "rep").groupBy("rep").agg(
+    return counted.join(own, "rep").groupBy("rep").agg(
         F.coalesce(F.min(F.when(enough, F.col("distance"))), F.max("distance")).alias("_core"),
         F.max("distance").alias("_last"), F.count(F.lit(1)).alias("_got"),
     )
+
+
+def weighted_points(groups: DataFrame, lists: DataFrame, min_samples: int) -> DataFrame:
+    """(_y, copies, core) of points (rep, copies), with core distances out of neighbor lists (rep, neighbor, rank, distance)."""
+    core = F.when(F.col("copies") > min_samples, 0.0).otherwise(F.coalesce("_core", F.lit(0.0)))
+    return groups.join(_core(groups, lists, min_samples), "rep", "left").select(F.col("rep").alias("_y"), "copies", core.alias("core"))
+
+
+def _neighbors(groups: DataFrame, by: list[str], vec: str, min_samples: int, cell_rows: int, block_rows: int):
+    """Indexed points with core distance and list reach, and the neighbor lists."""
+    k = max(min_samples, NEIGHBORS)
+    source = groups.select(*by, F.col("rep").alias("_y"), vec, "copies")
+    cells = build_cells(source, "_y", vec, tuple(by), cell_rows=cell_rows, block_rows=block_rows)
+    lists = materialize(knn(groups.select(*by, "rep", vec), cells, "rep", vec, k, same=True), "neighbors")
+    core = _core(groups, lists, min_samples)
     points = cells.rows.join(core, cells.rows["_y"] == core["rep"], "left").select(
         *by, "_y", vec, "cell", "copies",
         F.when(F.col("copies") > min_samples, 0.0).otherwise(F.coalesce("_core", F.lit(0.0))).alias("core"),
@@ -453,6 +465,28 @@ def cluster(
     return label_points(tree, condense(tree, [run])).drop("run")
 
 
+def cluster_graph(
+    df: DataFrame, uid: str, vec: str, distance: Distance = "euclidean", neighbors: int = 15, descent: dict | None = None, **params,
+) -> DataFrame:
+    """(uid, label) of hierarchical density clusters over the neighbor graph by descent; ``params`` as for ``cluster``.
+
+    Approximate: core distances and edges are those of the graph, whose parts, if it falls apart, meet at density zero. Work per row does
+    not grow with the table, and any symmetric distance will do. ``descent`` goes to ``descent.neighbor_graph``.
+    """
+    unknown = set(params) - set(PIPE_DEFAULTS)
+    if unknown:
+        raise TypeError(f"unknown parameters {sorted(unknown)}")
+    run = {**PIPE_DEFAULTS, **params}
+    base = materialize(df.select(uid, vec), "input")
+    graph = neighbor_graph(base, uid, vec, max(neighbors, run["min_samples"]), distance, **(descent or {}))
+    points = materialize(weighted_points(graph.groups, graph.lists, run["min_samples"]), "points")
+    edges = graph.lists.select(F.least("rep", "neighbor").alias("lo"), F.greatest("rep", "neighbor").alias("hi"), "distance").groupBy("lo", "hi").agg(
+        F.min("distance").alias("distance"))
+    members = materialize(base.join(graph.groups.select(vec, "rep"), vec).select("rep", uid), "members")
+    tree = tree_from_edges(points, materialize(edges, "edges"), members, uid, run["alpha"])
+    return label_points(tree, condense(tree, [run])).drop("run")
+
+
 def sweep(df: DataFrame, uid: str, vec: str, runs: list[dict], cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(run, uid, label) for many parameter sets. Runs that share ``min_samples`` and ``alpha`` share one tree and one job."""
     full = [{**PIPE_DEFAULTS, **r} for r in runs]
@@ -468,23 +502,24 @@ def sweep(df: DataFrame, uid: str, vec: str, runs: list[dict], cell_rows: int =
 
 def dbscan(
     df: DataFrame, uid: str, vec: str, eps: float = 0.3, min_samples: float = 5, weight: str | None = None,
-    cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, distance: Space = "l2",
 ) -> DataFrame:
     """(uid, label, core) of weighted DBSCAN; outliers -1, clusters numbered by their smallest core id.
 
     A point is core if the weights within ``eps``, its own included, reach ``min_samples``. A border
-    point takes the smallest cluster in reach.
+    point takes the smallest cluster in reach. ``distance`` may be a symmetric function (matrix, matrix) -> matrix.
     """
     base = materialize(df.select(uid, vec, (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w")), "input")
     groups = materialize(base.groupBy(vec).agg(F.min(uid).alias("rep"), F.sum("_w").alias("_w")), "groups")
     id_type = sql_type(groups, "rep")
-    cells = build_cells(groups.select(F.col("rep").alias("_y"), vec, "_w"), "_y", vec, cell_rows=cell_rows, block_rows=block_rows)
+    cells = build_cells(groups.select(F.col("rep").alias("_y"), vec, "_w"), "_y", vec, space=distance, cell_rows=cell_rows, block_rows=block_rows)
 
     def within(left: pd.DataFrame, right: pd.DataFrame):
         a, b = matrix(left[vec]), matrix(right[vec])
-        near = rough(a, b, "l2") <= eps * (1 + SLACK) + SLACK
+        d = rough(a, b, distance)
+        near = d <= eps * (1 + SLACK) + SLACK
         i, j = np.nonzero(near)
-        near[i, j] = exact(a[i], b[j], "l2") <= eps
+        near[i, j] = pair_distances(d, a, b, i, j, distance) <= eps
         return near
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as vx
-from topicloom.operators.cells import BLOCK_ROWS, CELL_ROWS, build_cells, knn
+from topicloom.operators.cells import BLOCK_ROWS, CELL_ROWS, SLACK, Space, build_cells, knn, matrix, probe, sortable, sql_type
 from topicloom.operators.ranking import top_in_group
 from topicloom.session import materialize
 
@@ -30,21 +32,24 @@ def members(df: DataFrame, groups: DataFrame, uid: str, vec: str, by: list[str]
     return df.select(*(by or []), uid, vec).join(groups.select(*(by or []), vec, "rep"), [*(by or []), vec]).select("rep", uid)
 
 
-def _space(metric: str) -> str:
+def _space(metric: Space) -> Space:
+    if callable(metric):
+        return metric
     if metric not in SPACES:
         raise ValueError(f"unknown metric {metric!r}")
     return SPACES[metric]
 
 
 def nearest(
-    x: DataFrame, y: DataFrame, uid: str, vec: str, top_k: int, metric: str = "cosine", include_self: bool = True,
+    x: DataFrame, y: DataFrame, uid: str, vec: str, top_k: int, metric: Space = "cosine", include_self: bool = True,
     probes: int | None = None, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``top_k`` y rows nearest to every x row: (uid, neighbor, rank, distance).
 
     ``cosine`` is ``1 - x.y`` and ``angular`` is ``acos(x.y)/pi``; both expect unit vectors. The full
     distance matrix of the all-pairs form is never made: ask for the neighbors needed. ``probes``
-    searches only that many cells per row, which is approximate.
+    searches only that many cells per row, which is approximate. ``metric`` may be a symmetric function
+    (matrix, matrix) -> matrix of distances; every row then meets every block of rows.
     """
     space = _space(metric)
     wanted = top_k if include_self else top_k + 1
@@ -52,6 +57,13 @@ def nearest(
     y_groups = x_groups if y is x else materialize(collapse(y, uid, vec), "y-groups")
     cells = build_cells(y_groups.select(F.col("rep").alias("_y"), vec), "_y", vec, space=space, cell_rows=cell_rows, block_rows=block_rows)
     found = knn(x_groups.select("rep", vec), cells, "rep", vec, wanted, metric, probes=probes).drop("rank")
+    return with_copies(found, x, x_groups, y, y_groups, uid, vec, wanted, top_k, include_self)
+
+
+def with_copies(
+    found: DataFrame, x: DataFrame, x_groups: DataFrame, y: DataFrame, y_groups: DataFrame, uid: str, vec: str, wanted: int, top_k: int, include_self: bool,
+) -> DataFrame:
+    """(uid, neighbor, rank, distance) of all rows, from (rep, neighbor, distance, value) between distinct vectors."""
     some = top_in_group(members(y, y_groups, uid, vec), ["rep"], [F.col(uid)], wanted, "_n").drop("_n")
     some = some.select(F.col("rep").alias("neighbor"), F.col(uid).alias("_member"))
     spread = found.join(some, "neighbor").select("rep", F.col("_member").alias("neighbor"), "distance", "value")
@@ -100,6 +112,40 @@ def similar_pairs(
     return pairs if limit is None else pairs.orderBy(F.col("score").desc(), "a", "b").limit(limit)
 
 
+def pairs_above(
+    df: DataFrame, uid: str, vec: str, at_least: float, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """All pairs of distinct unit vectors with a cosine of ``at_least``: (a, b, score, copies_a, copies_b), a < b.
+
+    A vector stands for all rows that hold it, under the smallest of their ids: ``copies_*`` are their numbers and ``classes`` names them, so copies
+    are never expanded into pairs. The radius that a row searches follows from the score, so only cells within it are visited. No cap: the
+    result is as large as there are pairs. Null vectors have no pairs.
+    """
+    groups = materialize(collapse(df.where(F.col(vec).isNotNull()), uid, vec), "groups")
+    kind = sql_type(groups, "rep")
+    cells = build_cells(groups.select(F.col("rep").alias("_y"), vec, "copies"), "_y", vec, cell_rows=cell_rows, block_rows=block_rows)
+    reach = max(2.0 - 2.0 * at_least, 0.0) ** 0.5
+
+    def above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = matrix(left[vec]), matrix(right[vec])
+        x, y = sortable(left["rep"]), sortable(right["_y"])
+        near = (a @ b.T >= at_least - SLACK) & (x[:, None] < y[None, :])
+        i, j = np.nonzero(near)
+        score = (a[i] * b[j]).sum(1)
+        i, j, score = i[score >= at_least], j[score >= at_least], score[score >= at_least]
+        return pd.DataFrame({
+            "a": left["rep"].to_numpy()[i], "b": right["_y"].to_numpy()[j], "score": score,
+            "copies_a": left["copies"].to_numpy()[i], "copies_b": right["copies"].to_numpy()[j]})
+
+    schema = f"a {kind}, b {kind}, score double, copies_a long, copies_b long"
+    return probe(groups.select("rep", vec, "copies"), cells, "rep", vec, F.lit(reach), above, schema)
+
+
+def classes(df: DataFrame, uid: str, vec: str) -> DataFrame:
+    """(uid, rep): the smallest id that holds the same vector, for every row."""
+    return members(df, collapse(df, uid, vec), uid, vec).select(uid, "rep")
+
+
 def search(df: DataFrame, uid: str, vec: str, ids: list, top_k: int) -> DataFrame:
     """Rows most similar to the stored rows ``ids``: (query, uid, score, rank). The ids are taken in blocks, each one scan."""
 

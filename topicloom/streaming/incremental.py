@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from topicloom.operators.cells import build_cells, knn
-from topicloom.operators.density import PIPE_DEFAULTS, condense, label_points, tree_from_edges
+from topicloom.operators.density import PIPE_DEFAULTS, condense, label_points, tree_from_edges, weighted_points
+from topicloom.operators.ranking import top_in_group
 from topicloom.operators.relational import unseen
-from topicloom.session import materialize, work_path
+from topicloom.session import materialize, step_scope, work_path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,55 +40,92 @@ def ingest(stream: DataFrame, uid: str, embed: Callable[[DataFrame], DataFrame],
 
 
 class GrowingClusters:
-    """Density clusters over batches of new vectors.
+    """Density clusters over batches of new vectors, with all state in tables by batch.
 
-    Kept between batches: the vectors, each vector's ``min_samples`` best distances, and a candidate
-    edge list. A batch searches its neighbors among old and new vectors; the tree of the old
-    candidates and the new edges follows from the old tree's edges and the new ones alone. Core
-    distances can only shrink as neighbors arrive, and edges are weighed again with the current ones;
-    an edge once dropped stays dropped, so labels between full rebuilds are an approximation.
+    A batch searches its neighbors among old and new vectors; the tree of the old candidates and the new edges follows from the
+    old tree's edges and the new ones alone. Core distances can only shrink as neighbors arrive, and edges are weighed again with
+    the current ones; an edge once dropped stays dropped, so labels between full rebuilds are an approximation. Equal vectors are one
+    weighted point, whichever batch they come in.
+
+    ``path`` (a folder all executors reach) holds one version per batch: its new ``members`` (id, rep) and ``vectors`` (rep, vector), and the
+    whole of ``near`` (the best distances of every point), ``edges`` (candidates) and ``labels``. A version counts once its mark is written,
+    after everything else. A batch starts from the last complete version before its own number and overwrites its own. So a process that is
+    started again goes on where the last one stopped, and a batch that is replayed changes nothing.
     """
 
-    def __init__(self, uid: str, vec: str, neighbors: int = 8, **params):
-        self.uid, self.vec = uid, vec
+    def __init__(self, uid: str, vec: str, neighbors: int = 8, path: str | None = None, **params):
+        self.uid, self.vec, self.path = uid, vec, path
         self.params = {**PIPE_DEFAULTS, **params}
         self.k = max(neighbors, self.params["min_samples"])
-        self.points: DataFrame | None = None
-        self.edges: DataFrame | None = None
-        self.near: DataFrame | None = None
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch and return (uid, label) of everything seen so far."""
-        uid, vec = self.uid, self.vec
-        new = batch.select(uid, vec)
-        if self.points is not None:
-            new = unseen(new, self.points, uid)
-        new = materialize(new, "batch")
-        self.points = new if self.points is None else materialize(self.points.unionByName(new), "seen")
-        cells = build_cells(self.points.select(F.col(uid).alias("_y"), vec), "_y", vec)
-        found = materialize(knn(new, cells, uid, vec, self.k, same=True).select(F.col(uid).alias("a"), F.col("neighbor").alias("b"), "distance"), "found")
-        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-        known = both if self.near is None else both.unionByName(self.near)
-        order = Window.partitionBy("a").orderBy("distance", "b")
-        need = self.params["min_samples"]
-        self.near = materialize(known.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= need).drop("_n"), "near")
-        core = self.near.groupBy("a").agg(F.max("distance").alias("core"))
-        points = materialize(self.points.select(F.col(uid).alias("_y")).join(core, F.col("_y") == F.col("a"), "left").select(
-            "_y", F.lit(1).cast("long").alias("copies"), F.coalesce("core", F.lit(0.0)).alias("core")), "points")
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """Numbers of the complete versions, in order."""
+        if self.path is None or not _exists(spark, f"{self.path}/complete"):
+            return []
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete")
+        marks = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+        return sorted(int(m.getPath().getName()) for m in marks)
+
+    def _part(self, version: int, name: str) -> str:
+        return f"{self.path}/{name}/batch={version}"
+
+    def _read(self, spark: SparkSession, versions: list[int], name: str, like: DataFrame) -> DataFrame:
+        """Rows of some versions of a table, none if there is no version."""
+        if not versions:
+            return spark.createDataFrame([], like.schema)
+        return spark.read.schema(like.schema).parquet(*[self._part(v, name) for v in versions])
+
+    def _write(self, df: DataFrame, version: int, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._part(version, name))
+        return df.sparkSession.read.schema(df.schema).parquet(self._part(version, name))
+
+    def _mark(self, spark: SparkSession, version: int) -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete/{version}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True).close()
+
+    def add(self, batch: DataFrame, batch_id: int | None = None) -> DataFrame:
+        """Take in a batch (by default the one after the last) and return (uid, label) of everything seen so far."""
+        spark = batch.sparkSession
+        self.path = self.path or work_path(spark, "growing")
+        complete = self.versions(spark)
+        batch_id = (complete[-1] + 1 if complete else 0) if batch_id is None else batch_id
+        with step_scope(spark):
+            labels = self._write(self._labels(batch, batch_id, [v for v in complete if v < batch_id]), batch_id, "labels")
+        self._mark(spark, batch_id)
+        return labels
+
+    def _labels(self, batch: DataFrame, batch_id: int, before: list[int]) -> DataFrame:
+        spark, uid, vec, need = batch.sparkSession, self.uid, self.vec, self.params["min_samples"]
+        rows = batch.groupBy(uid).agg(F.min(vec).alias(vec))
+        like = rows.select(F.col(uid), F.col(uid).alias("rep"))
+        old_members = self._read(spark, before, "members", like)
+        old_vectors = self._read(spark, before, "vectors", rows.select(F.col(uid).alias("rep"), vec))
+        rows = materialize(unseen(rows, old_members, uid), "batch")
+        distinct = rows.groupBy(vec).agg(F.min(uid).alias("_first"))
+        placed = materialize(distinct.join(old_vectors.withColumnRenamed("rep", "_old"), vec, "left"), "placed")
+        new_members = rows.join(placed.select(vec, F.coalesce("_old", "_first").alias("rep")), vec).select(uid, "rep")
+        members = old_members.unionByName(self._write(new_members, batch_id, "members"))
+        new_vectors = self._write(placed.where(F.col("_old").isNull()).select(F.col("_first").alias("rep"), vec), batch_id, "vectors")
+        cells = build_cells(old_vectors.unionByName(new_vectors).select(F.col("rep").alias("_y"), vec), "_y", vec)
+        found = materialize(knn(new_vectors, cells, "rep", vec, self.k, same=True).select(F.col("rep").alias("a"), F.col("neighbor").alias("b"), "distance"), "found")
+        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).distinct()
+        known = both.unionByName(self._read(spark, before[-1:], "near", both))
+        near = self._write(top_in_group(known, ["a"], [F.col("distance"), F.col("b")], need).drop("rank"), batch_id, "near")
+        groups = materialize(members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "groups")
+        lists = top_in_group(near, ["a"], [F.col("distance"), F.col("b")], need).select(F.col("a").alias("rep"), F.col("b").alias("neighbor"), "distance", "rank")
+        points = materialize(weighted_points(groups, lists, need), "points")
         fresh = found.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "distance").distinct()
-        edges = fresh if self.edges is None else self.edges.unionByName(fresh).distinct()
-        members = self.points.select(F.col(uid).alias("rep"), uid)
-        tree = tree_from_edges(points, edges, members, uid, self.params["alpha"])
-        kept = tree.edges.select("lo", "hi").join(edges, ["lo", "hi"])
-        self.edges = materialize(kept.select("lo", "hi", "distance"), "kept")
+        edges = materialize(fresh.unionByName(self._read(spark, before[-1:], "edges", fresh)).distinct(), "edges")
+        tree = tree_from_edges(points, edges, members.select("rep", uid), uid, self.params["alpha"])
+        self._write(tree.edges.select("lo", "hi").join(edges, ["lo", "hi"]).select("lo", "hi", "distance"), batch_id, "edges")
         return label_points(tree, condense(tree, [self.params])).drop("run")
 
 
 def cluster_stream(stream: DataFrame, model: GrowingClusters, target: str, checkpoint: str) -> None:
-    """Append (batch_id, uid, label) of all vectors seen so far after every micro-batch."""
+    """Write (batch_id, uid, label) of all vectors seen so far after every micro-batch; a batch overwrites its own rows only."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        model.add(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target)
+        model.add(batch, batch_id).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     run_to_end(stream, each, checkpoint)
 
