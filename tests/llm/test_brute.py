@@ -374,3 +374,30 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert sorted(r["doc_id"] for r in single.collect()) == [r["doc_id"] for i, r in enumerate(rows) if groups[i] == i]
     clean = corpus_pipeline.redact(spark, single, SF).collect()
     assert len(clean) == single.count() and not any('token = "0' in r["text"] and "[SECRET]" not in r["text"] for r in clean)
+
+
+def test_long_texts_with_one_footer_stay_apart(spark):
+    """Unrelated sets of any size that share a passage give next to no pairs; long near copies are still found."""
+    rng = np.random.default_rng(12)
+    footer = " ".join(f"foot{i}" for i in range(60))
+    sizes = (900, 1100, 1500, 2000, 2600)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, sizes[i % 5])) + " " + footer for i in range(150)]
+    texts += near_copies(rng, texts[3].split(), 4, 0.01) + near_copies(rng, texts[1].split(), 4, 0.01)
+    # sizes at both sides of a border between widths of maps
+    texts += [" ".join(texts[3].split()[: 1030 + 8]), " ".join(texts[3].split()[:1010])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, real = [], jaccard.scan_lists
+
+    def counted(rows, classes, percent, nearest):
+        out = materialize(real(rows, classes, percent, nearest), "counted")
+        found.append(out.count())
+        return out
+
+    jaccard.scan_lists = counted
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    finally:
+        jaccard.scan_lists = real
+    want, _ = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) < len(texts) - 8 and max(found) <= len(texts)  # of 12,000 pairs in the footer's lists

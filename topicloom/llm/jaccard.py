@@ -11,7 +11,8 @@ A document's set holds the hashes (64 bits) of its distinct word n-grams. Docume
 * **Lists.** Round 1 compares every member of a list with one member. Members already linked, directly or not, count as one
   from then on. Round 2 looks inside the lists that still hold several such groups and compares each member with its
   nearest one of another group; round 3 compares all members of different groups. Inside a list, pairs are tested where
-  they lie, by size and by a parity map that bounds the difference from below; only pairs that may link leave it.
+  they lie, by size and by a parity map that bounds the difference from below; only pairs that may link leave it. Maps have at
+  least half as many bits as the sets have elements, so unrelated sets of any size differ in more bits than linked ones can.
   Long lists are cut into blocks. So groups of near copies give links in proportion to their size, not to its square.
 * **Exact check.** Every pair that leaves a list is decided on its two whole texts.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from topicloom.session import materialize
 FREQUENT, MAX_FREQUENT = 16, 1 << 20
 #: Copies of an element in one task's buffer below which it is not counted, and elements per buffer.
 LEAST_LOCAL, BUFFER = 3, 4 << 20
-#: Bits of the parity map that goes into lists, and members of a block of a list.
+#: Bits of the parity map that sets of up to twice as many elements have in lists, and members of a block of a list.
 FOLD_BITS, BLOCK = 512, 2048
 #: So many ids of texts to fetch are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -120,12 +121,37 @@ def folded(parity: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
 
 
-def as_words(maps: pa.Array) -> np.ndarray:
-    """Maps of one size as rows of 64-bit words."""
-    raw = maps.to_pylist()
+def as_words(maps: pa.Array, size: int) -> np.ndarray:
+    """Maps, folded to ``size`` bytes, as rows of 64-bit words."""
+    raw = [m if len(m) == size else folded(np.frombuffer(m, np.uint8), size).tobytes() for m in maps.to_pylist()]
     return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
 
 
+def map_widths(n: Column, percent: int) -> Column:
+    """Bytes of the maps in which a set of ``n`` elements is compared inside lists.
+
+    Sets of up to 2 * FOLD_BITS elements use FOLD_BITS bits, those of 2^c + 1 to 2^(c + 1) use 2^c. A set that may link with one of the next
+    class is compared there, too; its whole map has enough bits for that if linked sizes are at most doubles, else all use FOLD_BITS.
+    """
+    if percent < 50:
+        return F.array(F.lit(FOLD_BITS // 8))
+
+    def width(size: Column) -> Column:
+        return F.when(size <= 2 * FOLD_BITS, F.lit(FOLD_BITS // 8)).otherwise(F.pow(F.lit(2.0), F.length(F.bin(size - 1)) - 4).cast("int"))
+
+    return F.array_distinct(F.array(width(n), width(F.floor(100 * n / F.lit(percent)))))
+
+
+def of_one_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Runs of rows of one width, which stand together, with the width."""
+    for batch in batches:
+        widths = batch.column("width").to_numpy()
+        cuts = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), len(widths)]
+        for low, high in itertools.pairwise(cuts):
+            if high > low:
+                yield batch.slice(low, high - low), int(widths[low])
+
+
 SKETCH = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("fold", pa.binary()), ("element", pa.int64()), ("copies", pa.int64())])
 
 
@@ -282,20 +308,22 @@ def open_pairs(segment, block, cross, group, size, maps, percent: int, nearest:
 def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b), a < b, of members of different groups that may link, out of lists cut into blocks.
 
-    ``rows``: (list, cid, group, members), ``classes``: (cid, n, fold). With ``nearest``, each member of a list gives its nearest such partner only.
+    ``rows``: (list, cid, group, members), ``classes``: (cid, n, fold, map). With ``nearest``, each member of a list gives its nearest such partner only.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "group")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.join(classes.select("cid", "n", "fold"), "cid").repartition(parts, "list", "low", "high").sortWithinPartitions("list", "low", "high")
-    cut = cut.select("list", "low", "high", "block", "cid", "group", "n", "fold")
-    names = ("list", "low", "high", "block", "cid", "group", "n")
+    cut = cut.join(classes.select("cid", "n", "fold", "map"), "cid").withColumn("width", F.explode(map_widths(F.col("n"), percent)))
+    cut = cut.withColumn("map", F.when(F.col("width") == FOLD_BITS // 8, F.col("fold")).otherwise(F.col("map")))
+    cut = cut.repartition(parts, "width", "list", "low", "high").sortWithinPartitions("width", "list", "low", "high")
+    names = ("width", "list", "low", "high", "block", "cid", "group", "n")
+    key = names[:4]
 
     def pairs(columns: dict[str, np.ndarray], maps: np.ndarray) -> pa.RecordBatch:
         new = np.zeros(len(maps), bool)
-        for c in ("list", "low", "high"):
+        for c in key:
             new[1:] |= columns[c][1:] != columns[c][:-1]
         i, j = open_pairs(np.cumsum(new), columns["block"], columns["low"] != columns["high"], columns["group"], columns["n"], maps, percent, nearest)
         found = np.sort(np.stack((columns["cid"][i], columns["cid"][j]), axis=1), axis=1)
@@ -303,15 +331,19 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
-        held, held_maps = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, FOLD_BITS // 64), np.uint64)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            maps = as_words(batch.column("fold"))
+        held, held_maps = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, 0), np.uint64)
+        for batch, width in of_one_width(batches):
+            maps = as_words(batch.column("map"), width)
+            if held_maps.shape[1] != maps.shape[1]:
+                if len(held_maps):
+                    yield pairs(held, held_maps)
+                held, held_maps = {c: np.zeros(0, np.int64) for c in names}, maps[:0]
             held = {c: np.concatenate((held[c], batch.column(c).to_numpy())) for c in names}
             held_maps = np.concatenate((held_maps, maps))
             # The last list may go on in the next batch.
-            last = (held["list"] == held["list"][-1]) & (held["low"] == held["low"][-1]) & (held["high"] == held["high"][-1])
+            last = np.ones(len(held_maps), bool)
+            for c in key:
+                last &= held[c] == held[c][-1]
             whole = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
             if whole:
                 yield pairs({c: x[:whole] for c, x in held.items()}, held_maps[:whole])
@@ -319,6 +351,7 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
         if len(held_maps):
             yield pairs(held, held_maps)
 
+    cut = cut.select(*names, "map")
     return cut.mapInArrow(run, "a long, b long").distinct()
 
 
