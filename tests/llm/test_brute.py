@@ -401,3 +401,13 @@ def test_long_texts_with_one_footer_stay_apart(spark):
     want, _ = brute_components(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert len(set(want)) < len(texts) - 8 and max(found) <= len(texts)  # of 12,000 pairs in the footer's lists
+
+
+def test_packed_keys_and_counts():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 300, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        keys = np.unique(np.concatenate((keys, keys[:3] + np.uint64(1), np.array([0, 2**64 - 1] if n == 2 else [], np.uint64))))
+        assert backoff.unpacked_keys(backoff.packed_keys(keys)).tolist() == keys.tolist()
+        counts = rng.integers(0, 600, len(keys))
+        assert backoff.unpacked_counts(backoff.packed_counts(counts), len(counts)).tolist() == counts.tolist()

@@ -61,6 +61,36 @@ def grams_of(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndar
     return out
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys: the first, and the differences to the next in as few bytes each as the largest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    narrow = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + narrow.tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    width = raw[8]
+    steps = np.zeros(((len(raw) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate((np.frombuffer(raw, "<u8", 1), steps.reshape(-1).view("<u8"))), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in one byte each; those of 255 and more follow in eight bytes, in order."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return out
+
+
 class Chunk:
     """The distinct n-grams of one chunk, in the order of their hashes, and where each is used."""
 
@@ -128,35 +158,30 @@ def score(
         c = Chunk(table.column("text"), table.column("train").to_numpy(zero_copy_only=False), order, parts)
         chunk = table.column("chunk")[0].as_py()
         spans = [slice(a, b) for a, b in zip(c.at[:-1], c.at[1:], strict=True)]
-        small = [c.times[s].astype(np.min_scalar_type(int(c.times[s].max(initial=0)))) for s in spans]
         return pa.table({
             "part": pa.array(range(parts), pa.int64()), "chunk": pa.array([chunk] * parts, pa.int64()),
-            "keys": pa.array([c.keys[s].tobytes() for s in spans], pa.binary()), "times": pa.array([x.tobytes() for x in small], pa.binary()),
-            "width": pa.array([x.dtype.itemsize for x in small], pa.int64())})
+            "keys": pa.array([packed_keys(c.keys[s]) for s in spans], pa.binary()), "times": pa.array([packed_counts(c.times[s]) for s in spans], pa.binary())})
 
     def answered(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        widths = table.column("width").to_pylist()
-        times = [np.frombuffer(t, f"u{w}").astype(np.int64) for t, w in zip(table.column("times").to_pylist(), widths, strict=True)]
+        keys = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
+        times = [unpacked_counts(t, len(k)) for t, k in zip(table.column("times").to_pylist(), keys, strict=True)]
         _, slot = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(slot, weights=np.concatenate(times)).astype(np.int64)  # exact up to 2^53
-        out = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in np.split(sums[slot], np.cumsum([len(k) for k in keys])[:-1])]
-        return pa.table({
-            "chunk": table.column("chunk"), "part": table.column("part"), "seen": pa.array([x.tobytes() for x in out], pa.binary()),
-            "seen_width": pa.array([x.dtype.itemsize for x in out], pa.int64())})
+        out = np.split(sums[slot], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "seen": pa.array([packed_counts(x) for x in out], pa.binary())})
 
     def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         train = texts.column("train").to_numpy(zero_copy_only=False)
         c = Chunk(texts.column("text"), train, order, parts)
         answers = answers.sort_by("part")
-        seen = [np.frombuffer(s, f"u{w}").astype(np.int64) for s, w in zip(answers.column("seen").to_pylist(), answers.column("seen_width").to_pylist(), strict=True)]
+        seen = [unpacked_counts(s, n) for s, n in zip(answers.column("seen").to_pylist(), np.diff(c.at).tolist(), strict=True)]
         n_known, base_score, own_score = c.walk(np.concatenate(seen), total, kinds, list(smoothing))
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(c.counts), "n_known": pa.array(n_known),
             "train_tokens": pa.array(np.full(len(train), total)), "base_score": pa.array(base_score), "score": pa.array(own_score)})
 
-    questions = dealt.groupBy("chunk").applyInArrow(asked, "part long, chunk long, keys binary, times binary, width long")
-    answers = questions.groupBy("part").applyInArrow(answered, "chunk long, part long, seen binary, seen_width long")
+    questions = dealt.groupBy("chunk").applyInArrow(asked, "part long, chunk long, keys binary, times binary")
+    answers = questions.groupBy("part").applyInArrow(answered, "chunk long, part long, seen binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
