@@ -121,9 +121,9 @@ def folded(parity: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
 
 
-def as_words(maps: pa.Array, size: int) -> np.ndarray:
-    """Maps, folded to ``size`` bytes, as rows of 64-bit words."""
-    raw = [m if len(m) == size else folded(np.frombuffer(m, np.uint8), size).tobytes() for m in maps.to_pylist()]
+def as_words(maps: pa.Array) -> np.ndarray:
+    """Maps of one size as rows of 64-bit words."""
+    raw = maps.to_pylist()
     return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
 
 
@@ -142,14 +142,21 @@ def map_widths(n: Column, percent: int) -> Column:
     return F.array_distinct(F.array(width(n), width(F.floor(100 * n / F.lit(percent)))))
 
 
-def of_one_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Runs of rows of one width, which stand together, with the width."""
+def at_width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their maps folded to their widths."""
+    for batch in batches:
+        maps = [folded(np.frombuffer(m, np.uint8), w).tobytes() for m, w in zip(batch.column("map").to_pylist(), batch.column("width").to_pylist(), strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("map"), "map", pa.array(maps, pa.binary()))
+
+
+def of_one_width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of one width, which stand together."""
     for batch in batches:
         widths = batch.column("width").to_numpy()
         cuts = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), len(widths)]
         for low, high in itertools.pairwise(cuts):
             if high > low:
-                yield batch.slice(low, high - low), int(widths[low])
+                yield batch.slice(low, high - low)
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("fold", pa.binary()), ("element", pa.int64()), ("copies", pa.int64())])
@@ -315,8 +322,14 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "group")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.join(classes.select("cid", "n", "fold", "map"), "cid").withColumn("width", F.explode(map_widths(F.col("n"), percent)))
-    cut = cut.withColumn("map", F.when(F.col("width") == FOLD_BITS // 8, F.col("fold")).otherwise(F.col("map")))
+    # The nearest partners are few however coarse the maps are.
+    widths = F.array(F.lit(FOLD_BITS // 8)) if nearest else map_widths(F.col("n"), percent)
+    cut = cut.join(classes.select("cid", "n", "fold", *([] if nearest else ["map"])), "cid").withColumn("width", F.explode(widths))
+    if nearest:
+        cut = cut.withColumnRenamed("fold", "map")
+    else:
+        wide = cut.where(F.col("width") > FOLD_BITS // 8).drop("fold")
+        cut = cut.where(F.col("width") == FOLD_BITS // 8).drop("map").withColumnRenamed("fold", "map").unionByName(wide.mapInArrow(at_width, wide.schema))
     cut = cut.repartition(parts, "width", "list", "low", "high").sortWithinPartitions("width", "list", "low", "high")
     names = ("width", "list", "low", "high", "block", "cid", "group", "n")
     key = names[:4]
@@ -332,8 +345,8 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
 
     def run(batches):
         held, held_maps = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, 0), np.uint64)
-        for batch, width in of_one_width(batches):
-            maps = as_words(batch.column("map"), width)
+        for batch in of_one_width(batches):
+            maps = as_words(batch.column("map"))
             if held_maps.shape[1] != maps.shape[1]:
                 if len(held_maps):
                     yield pairs(held, held_maps)
