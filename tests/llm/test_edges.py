@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, rulefit, secrets, urlmarkov, warc
+from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, langid, mixing, phrases, queries, rulefit, runs, secrets, urlmarkov, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ["cid", "size", "score", "words", "doc", "row_id", "chunk", "train", "list", "found", "component", "host", "copies", "of", "rest"]
@@ -42,6 +42,11 @@ OVER_DOCS = {
     "accepted": (lambda s, d: rulefit.accepted(d, rulefit.fit(d, no_labels(s))), 12),
     "hostrules": (lambda s, d: hostrules.judge(d), 12),
     "secrets": (lambda s, d: secrets.scan(d), 2),
+    "runs": (lambda s, d: runs.detect(d), 12),
+    "planted runs": (lambda s, d: runs.digests(runs.detect(queries.planted(d))), 12),
+    "language": (lambda s, d: langid.predict(d, langid.fit(d, RANKS())), 12),
+    "language without labels": (lambda s, d: langid.predict(d, langid.fit(d.where("lang is null"), RANKS())), 12),
+    "phrases": (lambda s, d: phrases.mine(d, least=2), None),
     "redacted": (lambda s, d: secrets.redacted(d, chars_col="n_chars"), 12),
 }
 
@@ -61,7 +66,7 @@ def test_all_null(spark):
     docs = spark.createDataFrame([(None,) * 5] * 3, DOCS)
     for name, (run, _) in OVER_DOCS.items():
         got = run(spark, docs).collect()
-        assert len(got) == {"secrets": 0, "mixture": 0}.get(name, 3), name
+        assert len(got) == {"secrets": 0, "mixture": 0, "phrases": 0}.get(name, 3), name
 
 
 def test_pages(spark):
