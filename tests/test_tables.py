@@ -167,3 +167,17 @@ def test_plot_tables(spark):
     assert got == {1: ("3", 2), 2: ("-1", 1)}
     tree = spark.createDataFrame([("r", "a", 1.0, 4), ("r", "p1", 1.0, 1)], "parent string, child string, lambda_val double, child_size long")
     assert [tuple(r) for r in tree_edges(tree).collect()] == [("a", "r", 4)]
+
+
+def test_entry_survives_a_missing_package(monkeypatch):
+    """Without what the training-data operators need, all other queries are still there."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("topicloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "topicloom.llm", None)  # importing it is an ImportError
+    found = entry.queries()
+    assert "pairs_above_score" in found and "op1_url_markov" not in found and "pipeline" not in found
+    assert set(entry.oracle_sql()) <= set(found)
