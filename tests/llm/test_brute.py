@@ -1,6 +1,8 @@
 """Operators against brute force: what SQL can't say, and what it can at small sizes."""
 
 import collections
+import gzip
+import hashlib
 import itertools
 import math
 import zlib
@@ -411,3 +413,72 @@ def test_packed_keys_and_counts():
         assert backoff.unpacked_keys(backoff.packed_keys(keys)).tolist() == keys.tolist()
         counts = rng.integers(0, 600, len(keys))
         assert backoff.unpacked_counts(backoff.packed_counts(counts), len(counts)).tolist() == counts.tolist()
+
+
+def archive_record(kind, block, *headers):
+    head = ["WARC/1.1", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+ANSWER = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A member per record, one member for all, and no compression give the same records; several headers of one name all count."""
+    records = [
+        archive_record("warcinfo", b"software: other\r\n", "WARC-Record-ID: <w>"),
+        archive_record("response", ANSWER + b"first\r\n\r\nWARC/1.1\r\n", "WARC-Record-ID: <a>"),
+        archive_record("response", ANSWER + b"second", "WARC-Record-ID: <b>", "WARC-Concurrent-To: <q>", "warc-concurrent-to: <m>"),
+        archive_record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Record-ID: <p>", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"),
+        archive_record("request", b"GET /q HTTP/1.1\r\n\r\n", "WARC-Record-ID: <q>"),
+        archive_record("metadata", b"via: x\r\nvia: y\r\nlong: one\r\n two\r\n", "WARC-Record-ID: <m>", "WARC-Concurrent-To: <b>"),
+        archive_record("metadata", b"k: v\r\n", "WARC-Record-ID: <n>", "WARC-Concurrent-To: <b>", "WARC-Concurrent-To: <nowhere>"),
+        archive_record("response", b"plain answer", "WARC-Record-ID: <c>"),
+    ]
+    forms = {"members": b"".join(gzip.compress(r) for r in records), "whole": gzip.compress(b"".join(records)), "plain": b"\r\n" + b"".join(records) + b"\0" * 99}
+    for name, raw in forms.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(raw)
+        read = warc.read_records(spark, str(tmp_path / name), blocks=True)
+        rows = {r["record_id"]: r for r in read.collect()}
+        assert len(rows) == read.count() == 8 and all(r["damage"] is None for r in rows.values())
+        assert rows["<b>"]["concurrent_to"] == ["<q>", "<m>"] and rows["<m>"]["fields"] == {"via": "x\ny", "long": "one two"}
+        assert rows["<a>"]["payload_bytes"] == 19 and rows["<c>"]["payload_sha256"] == hashlib.sha256(b"plain answer").hexdigest()
+        nested = {r["record_id"]: r for r in warc.captures(read).collect()}
+        ids = lambda r: [x and x["record_id"] for x in (r["request"], r["metadata"], *r["further"])]
+        assert {k: ids(r) for k, r in nested.items()} == {"<a>": ["<p>", None], "<b>": ["<p>", "<m>", "<q>", "<n>"], "<c>": [None, None]}
+
+
+def test_damaged_archives():
+    a, b, c = (archive_record("response", ANSWER + bytes([65 + i]) * 5000, f"WARC-Record-ID: <{i}>") for i in range(3))
+    got = lambda raw: [(r["record_id"], r["damage"], r["payload_bytes"]) for r in warc.records_of(raw, True)]
+    good = lambda i: (f"<{i}>", None, 5000)
+    assert got(b"") == got(b"\r\n\r\n") == got(gzip.compress(b"")) == []
+    assert got(a + b[:-2000]) == [good(0), ("<1>", "block cut off", None)]
+    assert got(a + b[:30]) == [good(0), (None, "header cut off", None)]
+    assert got(b"junk\r\n" + a) == [(None, "no header", None), good(0)] and got(a + b"junk" + b) == [good(0), (None, "no header", None)]
+    assert got(a + b"junk\r\n" + b) == [good(0), (None, "no header", None), good(1)]
+    assert got(a + b.replace(b"Content-Length: ", b"Content-Length: x") + c) == [good(0), ("<1>", "no length", None), good(2)]
+    assert got(a + b.replace(b"WARC-Type", b"Type") + c) == [good(0), ("<1>", "no type", None), good(2)]
+    members = [gzip.compress(x, mtime=0) for x in (a, b, c)]
+    assert got(b"".join(members)) == [good(0), good(1), good(2)] and got(b"".join(members) + bytes(64)) == [good(0), good(1), good(2)]
+    for broken in (members[1][:60], members[1][:20], members[1][:-8] + b"\xff" * 8, b"\x1f\x8b\x08" + b"\xff" * 50):  # the third has a wrong checksum
+        found = got(members[0] + broken + members[2])
+        assert found[0] == good(0) and found[-1] == good(2) and (None, "bytes lost", None) in found and good(1) not in found[:1] + found[2:]
+    assert got(members[0] + members[1][:40])[-1] == (None, "bytes lost", None)
+    long = b"".join(archive_record("response", ANSWER + bytes(3 << 20), f"WARC-Record-ID: <{i}>") for i in range(3))
+    assert got(gzip.compress(long)) == got(long) == [(f"<{i}>", None, 3 << 20) for i in range(3)]
+
+
+def test_members_of_our_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"<p>{i}" * i) for i in range(40)], "page_id long, url string, html string")
+    warc.write(pages, f"{tmp_path}/w")
+    parts = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    texts = []
+    for raw in parts:
+        while raw:
+            member = zlib.decompressobj(31)
+            texts.append(member.decompress(raw))
+            raw = member.unused_data
+    full = [t for t in texts if t]
+    assert len(full) == 120 and all(t.startswith(b"WARC/1.1\r\n") and t.endswith(b"\r\n\r\n") for t in full)

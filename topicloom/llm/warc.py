@@ -2,14 +2,19 @@
 
 A page becomes three records of one archive file: its response (or a revisit, if an earlier record holds the same payload), the
 request and a metadata record; the last two name the first in WARC-Concurrent-To. Spark's text writer makes the files,
-gzipped, of at most about ``file_bytes`` before compression; Spark's binary reader brings them back, and records are cut
-out by their Content-Length, so payloads may hold any bytes. Captures are put together by joins on record identifiers.
+a gzip member per record, of at most about ``file_bytes`` before compression. Spark's binary reader brings archives back, ours and
+others: members are inflated one after the other, records cut out by their Content-Length, so payloads may hold any bytes. What is
+damaged gives a row that says so. Captures are put together by joins on record identifiers.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import itertools
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +27,9 @@ from topicloom.session import materialize, work_path
 VERSION = "WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Fixed by the gzip format: a member with nothing in it. The text writer puts it between two records.
+EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
+
 #: Smaller payloads are always stored.
 LEAST_SHARED = 100
 
@@ -94,74 +102,203 @@ def write(
         record("metadata", fields, {
             "WARC-Record-ID": record_id(F.col("row_id"), "metadata"), **shared, "WARC-Concurrent-To": own, "Content-Type": F.lit("application/warc-fields")}),
     )
-    dealt.select(F.explode(records).alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+    packed = dealt.select(F.explode(records).alias("value")).mapInArrow(members, "member binary")
+    # The writer passes bytes on as they are; in this encoding, the separator too.
+    as_bytes = {"compression": "none", "encoding": "ISO-8859-1", "lineSep": EMPTY_MEMBER.decode("latin-1")}
+    packed.select(F.col("member").cast("string").alias("value")).write.options(**as_bytes).text(path)
+
+
+def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record, closed by its blank lines, as a gzip member."""
+    for batch in batches:
+        packed = (gzip.compress(value.as_py().encode() + b"\r\n\r\n", 6, mtime=0) for value in batch.column("value"))
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
 
 
 RECORDS = pa.schema([
-    ("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
+    ("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("target_uri", pa.string()),
     ("date", pa.string()), ("payload_digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload_bytes", pa.int64()),
-    ("payload_sha256", pa.string()), ("block", pa.binary()),
+    ("payload_sha256", pa.string()), ("block", pa.binary()), ("damage", pa.string()),
 ])
 RECORDS_DDL = (
-    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, "
-    "fields map<string, string>, payload_bytes long, payload_sha256 string, block binary")
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, payload_digest string, "
+    "fields map<string, string>, payload_bytes long, payload_sha256 string, block binary, damage string")
+#: Rows and bytes of blocks in one batch of records.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def named_lines(head: bytes) -> dict[str, str]:
-    """``Name: value`` lines, names in lower case."""
-    pairs = (line.partition(b":") for line in head.split(b"\r\n"))
-    return {name.strip().lower().decode(): value.strip().decode(errors="replace") for name, colon, value in pairs if colon}
+def named_lines(head: bytes) -> dict[str, list[str]]:
+    """Values of ``Name: value`` lines, names in lower case. A line that begins with a blank goes on with the one before."""
+    named: dict[str, list[str]] = {}
+    for line in re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines():
+        name, colon, value = line.partition(b":")
+        if colon:
+            named.setdefault(name.strip().lower().decode(errors="replace"), []).append(value.strip().decode(errors="replace"))
+    return named
 
 
-def cut_records(data: bytes, blocks: bool) -> Iterator[dict]:
-    """Records of one archive, as rows of RECORDS; ``blocks`` says whether their blocks are kept."""
-    import hashlib
+def inflated(raw: bytes, most: int = 1 << 20) -> Iterator[bytes | None]:
+    """Bytes of an archive in pieces of at most ``most``, of all its gzip members if it is gzipped; None where bytes are lost.
 
+    Of a damaged or cut-off member come the pieces before the damage; reading goes on with the next member.
+    """
+    if raw[:2] != b"\x1f\x8b":
+        yield from (raw[i : i + most] for i in range(0, len(raw), most))
+        return
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = named_lines(data[at:end])
-        block = data[end + 4 : end + 4 + int(head["content-length"])]
-        at = end + 8 + len(block)
-        kind = head["warc-type"]
-        row = {
-            "record_id": head.get("warc-record-id"), "type": kind, "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"),
-            "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"),
-            "fields": None, "payload_bytes": None, "payload_sha256": None, "block": block if blocks else None}
-        if kind == "response":
-            payload = block[block.index(b"\r\n\r\n") + 4 :]
-            row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest()}
-        elif kind == "metadata":
-            row["fields"] = list(named_lines(block).items())
-        yield row
+    while at < len(raw):
+        member, fed, step, todo = zlib.decompressobj(31), at, 1 << 13, b""
+        try:
+            while not member.eof:
+                if not todo:
+                    todo = raw[fed : fed + step]
+                    fed, step = fed + len(todo), min(2 * step, most)
+                had = bool(todo)
+                piece = member.decompress(todo, most)
+                todo = member.unconsumed_tail
+                if piece:
+                    yield piece
+                elif not had:
+                    break
+        except zlib.error:
+            pass
+        if member.eof:
+            at = re.compile(rb"\0*").match(raw, fed - len(member.unused_data)).end()
+        else:
+            yield None
+            following = raw.find(b"\x1f\x8b\x08", at + 1)
+            at = len(raw) if following < 0 else following
+
+
+def cut_records(pieces: Iterable[bytes], blocks: bool) -> Iterator[dict]:
+    """Records of one run of bytes, as rows of RECORDS; ``blocks`` says whether their blocks are kept."""
+    pieces, held = iter(pieces), bytearray()
+
+    def find(mark: bytes, at: int) -> int:
+        """Where the mark stands next, or -1; reads on until it is met."""
+        while (found := held.find(mark, at)) < 0:
+            at = max(at, len(held) - len(mark) + 1)
+            piece = next(pieces, None)
+            if piece is None:
+                return -1
+            held.extend(piece)
+        return found
+
+    def filled(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    def skip_damaged(at: int, damage: str, head: dict) -> dict:
+        """A row for the bytes up to the next record after ``at``."""
+        end = find(b"\r\nWARC/", at)
+        end = len(held) if end < 0 else end
+        row = as_row(head, bytes(held[:end]), blocks, damage)
+        del held[:end]
+        return row
+
+    while filled(1):
+        if blank := re.match(rb"[\r\n\t \0]+", held):
+            blank = blank.end()
+            del held[:blank]
+            continue
+        filled(5)
+        if not held.startswith(b"WARC/"):
+            yield skip_damaged(0, "no header", {})
+            continue
+        end = find(b"\r\n\r\n", 0)
+        head = named_lines(bytes(held[:end])) if end >= 0 else {}
+        length = head.get("content-length", [""])[0]
+        if end < 0:
+            yield skip_damaged(1, "header cut off", {})
+        elif not re.fullmatch("[0-9]{1,18}", length) or "warc-type" not in head:
+            yield skip_damaged(end, "no length" if "warc-type" in head else "no type", head)
+        elif filled(end + 4 + int(length)):
+            yield as_row(head, bytes(held[end + 4 : end + 4 + int(length)]), blocks)
+            del held[: end + 4 + int(length)]
+        else:
+            yield as_row(head, bytes(held[end + 4 :]), blocks, "block cut off")
+            held.clear()
+
+
+def as_row(head: dict[str, list[str]], block: bytes, blocks: bool, damage: str | None = None) -> dict:
+    """A row of RECORDS. Payloads and fields are read from whole records only."""
+    value = lambda name: head.get(name, [None])[0]
+    row = {
+        "record_id": value("warc-record-id"), "type": value("warc-type"), "concurrent_to": head.get("warc-concurrent-to"), "refers_to": value("warc-refers-to"),
+        "target_uri": value("warc-target-uri"), "date": value("warc-date"), "payload_digest": value("warc-payload-digest"),
+        "fields": None, "payload_bytes": None, "payload_sha256": None, "block": block if blocks else None, "damage": damage}
+    if damage is None and row["type"] == "response":
+        # A response of another protocol has no header of its own.
+        payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+        row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest()}
+    elif damage is None and row["type"] == "metadata":
+        row["fields"] = [(name, "\n".join(values)) for name, values in named_lines(block).items()]
+    return row
+
+
+def records_of(raw: bytes, blocks: bool) -> Iterator[dict]:
+    """Records of one archive. None goes on behind a place where bytes are lost, which has a row of its own."""
+    for lost, pieces in itertools.groupby(inflated(raw), lambda piece: piece is None):
+        yield from (as_row({}, b"", blocks, "bytes lost") for _ in pieces) if lost else cut_records(pieces, blocks)
 
 
 def read_records(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
-    """One row per record of the archives below ``path`` (RECORDS_DDL). One task holds one file at a time besides Spark's batch."""
+    """One row per record of the archives below ``path`` (RECORDS_DDL), gzipped by record or as a whole, or plain.
+
+    A task holds one file as it is stored (below 2 GB, the limit of Spark's binary reader), one record and one batch of rows; never a whole
+    file inflated. ``concurrent_to`` has every identifier named there; of other headers given twice the first counts. Values of one name in
+    a metadata record are joined by line breaks.
+
+    ``damage`` is null for whole records. Else it says what is wrong, and columns hold what could be read: ``block cut off`` and
+    ``header cut off`` (by the end of the archive or of a damaged member), ``no header`` (bytes between records that begin none),
+    ``no length``, ``no type``, and ``bytes lost`` for each gzip member that is damaged or cut off. Reading goes on at the next line that begins a record, or in the next member. Blank lines and zero bytes between
+    records and empty archives give no row.
+    """
 
     def cut(batches):
         for batch in batches:
             for content in batch.column("content"):
-                raw = content.as_py()
-                data = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
-                rows = list(cut_records(data, blocks))
-                for i in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pylist(rows[i : i + 2000], RECORDS)
+                rows, size = [], 0
+                for row in records_of(content.as_py(), blocks):
+                    rows.append(row)
+                    size += len(row["block"] or b"")
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, RECORDS)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, RECORDS)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(cut, RECORDS_DDL)
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (record_id, capture, request, metadata), structs of RECORDS columns.
+    """One nested row per capture: (record_id, capture, request, metadata, further), structs of RECORDS columns.
 
-    A capture is a response or revisit. Request and metadata are null where none names it in WARC-Concurrent-To; if several do,
-    there is a row for each. Records that name no known capture are left out.
+    A capture is a whole response or revisit. Its request and metadata are the whole records that name it in WARC-Concurrent-To, or that it names
+    there; null where there is none. Of several, those of the smallest identifier stand in ``request`` and ``metadata``, the others, in that
+    order, in the array ``further``. Records that name no known capture, and damaged ones, are left out. A capture that is there twice gives two
+    rows. An empty table gives none.
     """
-    row = F.struct(*[c for c in records.columns])
-    main = records.where("type in ('response', 'revisit')").select("record_id", row.alias("capture"))
-    side = lambda kind: records.where(F.col("type") == kind).select(F.col("concurrent_to").alias("record_id"), row.alias(kind))
-    return main.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
+    row = F.struct(*records.columns)
+    whole = records.where("damage is null")
+    main = whole.where("type in ('response', 'revisit')").select("record_id", "concurrent_to", row.alias("capture"))
+    side = whole.where("type in ('request', 'metadata')").select(F.col("record_id").alias("side_id"), "concurrent_to", row.alias("side"))
+    names = side.select(F.explode(F.array_distinct("concurrent_to")).alias("record_id"), "side")
+    named = main.select("record_id", F.explode(F.array_distinct("concurrent_to")).alias("side_id")).distinct().join(side, "side_id")
+    named = named.where(~F.coalesce(F.array_contains("concurrent_to", F.col("record_id")), F.lit(False))).select("record_id", "side")
+    # What names no capture goes before anything is collected.
+    told = names.unionByName(named).join(main.select("record_id"), "record_id", "left_semi")
+    by_id = lambda x, y: F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)
+    sides = told.groupBy("record_id").agg(F.array_sort(F.collect_list("side"), by_id).alias("sides"))
+    of = lambda kind: F.filter("sides", lambda x: x["type"] == kind)
+    return main.join(sides, "record_id", "left").select(
+        "record_id", "capture", F.get(of("request"), F.lit(0)).alias("request"), F.get(of("metadata"), F.lit(0)).alias("metadata"),
+        F.coalesce(F.concat(F.slice(of("request"), 2, 1 << 30), F.slice(of("metadata"), 2, 1 << 30)), F.slice(F.array("capture"), 2, 1)).alias("further"))
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
