@@ -306,7 +306,7 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write(pages, path, **columns)
-    nested = captures(materialize(read_records(spark, path), "records"))
+    nested = captures(materialize(read_records(spark, path).drop("target_uri", "date", "block"), "records"))
     flat = nested.select(
         "record_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
         F.coalesce("capture.payload_bytes", F.col("metadata.fields")["payload-bytes"].cast("long")).alias("payload_bytes"),
