@@ -11,6 +11,7 @@ from topicloom.functions import stopwords as sw
 from topicloom.functions import text as tx
 from topicloom.operators import density as dn
 from topicloom.operators import features as ft
+from topicloom.operators import identity as idn
 from topicloom.operators import summaries as sm
 from topicloom.plans import jobs
 from topicloom.plans.pipe import Pipe
@@ -277,6 +278,49 @@ def incremental_clusters(spark, sf):
     return spark.read.parquet(target)
 
 
+_MOVING_SQL = """l AS (
+    SELECT vec_id, CAST(b AS INTEGER) AS batch_id, CAST(CASE WHEN vec_id % 11 = b THEN -1 ELSE (CASE WHEN b = 3 AND w = 9 AND vec_id % 3 = 0 THEN 10 WHEN b >= 2 AND w = 1 THEN 0 ELSE w END * (b + 1)) % 11 END AS INTEGER) AS label
+    FROM (SELECT vec_id, b, (label + CASE WHEN vec_id % 7 = b THEN 1 ELSE 0 END) % 10 AS w FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS b) WHERE vec_id % 4 <= b))"""
+
+
+def _identities_sql(rounds: int) -> str:
+    steps = "".join(f""",
+  m{i} AS MATERIALIZED (SELECT * FROM (SELECT *, min(o) OVER (PARTITION BY frame, before) AS x, min(o) OVER (PARTITION BY frame, after) AS y FROM p{i}) WHERE o = x AND o = y),
+  p{i + 1} AS MATERIALIZED (SELECT p.* FROM p{i} p ANTI JOIN m{i} USING (frame, before) ANTI JOIN m{i} n ON n.frame = p.frame AND n.after = p.after)""" for i in range(rounds))
+    matched = " UNION ALL ".join(f"SELECT frame, before, after, shared FROM m{i}" for i in range(rounds))
+    return f"""WITH RECURSIVE {_MOVING_SQL},
+  f AS (SELECT *, CAST(dense_rank() OVER (ORDER BY batch_id) AS INTEGER) AS frame FROM l),
+  sizes AS (SELECT frame, label, count(*) AS size FROM f WHERE label <> -1 GROUP BY ALL),
+  c AS (SELECT y.frame, x.label AS before, y.label AS after, count(*) AS shared FROM f x JOIN f y ON x.vec_id = y.vec_id AND y.frame = x.frame + 1 WHERE x.label <> -1 AND y.label <> -1 GROUP BY ALL),
+  p0 AS MATERIALIZED (SELECT c.*, row_number() OVER (PARTITION BY c.frame ORDER BY shared DESC, s.size + t.size, before, after) AS o
+    FROM c JOIN sizes s ON s.frame = c.frame - 1 AND s.label = before JOIN sizes t ON t.frame = c.frame AND t.label = after WHERE 100 * shared >= 30 * s.size){steps},
+  m AS MATERIALIZED ({matched}),
+  t AS (SELECT frame, label, frame || ':' || label AS identity FROM sizes ANTI JOIN (SELECT frame, after AS label FROM m) USING (frame, label)
+    UNION ALL SELECT m.frame, m.after, t.identity FROM t JOIN m ON m.frame = t.frame + 1 AND m.before = t.label)"""
+
+
+def moving_labels(spark, sf):
+    """Labels of four growing batches: new numbers every time, rows that move, noise, two clusters that merge and one that splits."""
+    rows = table(spark, sf, "embeddings", "vec_id", "label").withColumn("b", F.explode(F.array(*[F.lit(i) for i in range(4)]))).where("vec_id % 4 <= b")
+    rows = rows.withColumn("w", F.expr("(label + CASE WHEN vec_id % 7 = b THEN 1 ELSE 0 END) % 10"))
+    cluster = F.expr("(CASE WHEN b = 3 AND w = 9 AND vec_id % 3 = 0 THEN 10 WHEN b >= 2 AND w = 1 THEN 0 ELSE w END * (b + 1)) % 11")
+    return rows.select("vec_id", F.col("b").alias("batch_id"), F.when(F.expr("vec_id % 11 = b"), -1).otherwise(cluster).cast("int").alias("label"))
+
+
+@query("cluster_identities", f"""{_identities_sql(8)}
+SELECT t.frame, t.label, identity, size, before, shared FROM t JOIN sizes USING (frame, label) LEFT JOIN (SELECT frame, after AS label, before, shared FROM m) USING (frame, label)""")
+def cluster_identities(spark, sf):
+    """Clusters of every batch under the name they were first seen by."""
+    return idn.identities(moving_labels(spark, sf), "vec_id")
+
+
+@query("identity_frames", f"""{_identities_sql(8)}
+SELECT f.frame, f.batch_id, f.vec_id, f.label, t.identity FROM f LEFT JOIN t USING (frame, label)""")
+def identity_frames(spark, sf):
+    """Frames of an animated plot: every row of every batch with its cluster's lasting name."""
+    return idn.identity_frames(moving_labels(spark, sf), "vec_id")
+
+
 @query("incremental_ingest", "SELECT doc_id AS article_uid FROM documents")
 def incremental_ingest(spark, sf):
     """A stream in which every article arrives twice; the table holds it once."""
