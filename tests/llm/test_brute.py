@@ -482,3 +482,11 @@ def test_members_of_our_archives(spark, tmp_path):
             raw = member.unused_data
     full = [t for t in texts if t]
     assert len(full) == 120 and all(t.startswith(b"WARC/1.1\r\n") and t.endswith(b"\r\n\r\n") for t in full)
+
+
+def test_rows_without_id_keep_their_own_secrets(spark):
+    texts = ['a password = "Tr0ub4dor&3" here', 'said Tr0ub4dor&3 and api_key=kQzXwVbNmLpRtYsD, done', "nothing", None, 'a password = "Tr0ub4dor&3" here']
+    for ids in ([None] * 5, [7] * 5, [1, 2, 3, 4, 5]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        got = sorted(str(r["text"]) for r in secrets.redacted(docs).collect())
+        assert got == sorted(['a password = "[SECRET]" here'] * 2 + ["said Tr0ub4dor&3 and api_key=[SECRET], done", "nothing", "None"])

@@ -179,14 +179,20 @@ def scan(
 
 
 def redacted(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """``docs`` with every secret replaced by MARK wherever it stands in its text; ``chars_col`` is kept at the text's length."""
-    secrets = scan(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("is_secret")
-    # One row per document: secrets of one id, longest first, so that none is cut by a shorter one inside it.
-    per_doc = secrets.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias("found"))
+    """``docs`` with every secret replaced by MARK wherever it stands in its text; ``chars_col`` is kept at the text's length.
+
+    A text loses the secrets found in it, not those of other texts with its id: rows are told apart by id and text, so rows without id, or with
+    one id, are no group. Repeated rows are redacted each. A null text stays null (with a null length). An empty table gives no rows. Other columns
+    are kept as they are.
+    """
     rows = with_row(docs, doc_id=id_col, text=text_col)
+    rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")))
+    secrets = scan(rows.select("key", "text"), threshold=threshold, id_col="key", text_col="text").where("is_secret")
+    # One row per text: its secrets, longest first, so that none is cut by a shorter one inside it.
+    per_doc = secrets.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias("found"))
     # Only texts with a candidate meet the findings; the others stay where they are.
     holds = F.coalesce(may_hold(F.col("text")), F.lit(False))
-    met = rows.where(holds).join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    met = rows.where(holds).join(per_doc, F.col("key") == F.col("of"), "left")
 
     def without(text: Column, secret: Column) -> Column:
         # A short one is no part of longer words.
