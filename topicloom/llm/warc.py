@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from topicloom.llm.common import pick, salted_join
 from topicloom.session import materialize, work_path
@@ -48,12 +49,30 @@ def record(kind: str | Column, block: Column, headers: dict[str, Column]) -> Col
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
-def stored_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, html, payload_bytes, digest, row_id), written so that a row keeps its number."""
+STATUS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+
+
+def capture(kind: str, date: str, html: Column | None = None, **headers: Column) -> Column:
+    """The record of a response (with its payload) or of a revisit (without)."""
+    status = F.concat(F.lit(STATUS), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    return record(kind, status if html is None else F.concat(status, html), {
+        "WARC-Record-ID": record_id(F.col("row_id"), "capture"), "WARC-Date": F.lit(date), "WARC-Target-URI": F.col("target"),
+        "WARC-Payload-Digest": F.concat(F.lit("sha256:"), F.col("digest")), **headers, "Content-Type": F.lit("application/http; msgtype=response")})
+
+
+def stored_pages(pages: DataFrame, date: str, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, target, payload_bytes, digest, row_id, member), written so that a row keeps its number.
+
+    ``member`` is the page's response as it stands in the archive, compressed: from here on no page moves as plain text.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    return materialize(pick(pages, page_id=id_col, url=url_col, html=html_col).select(
-        "page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"),
-        F.sha2(html.cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row_id")), "pages")
+    target = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).select(
+        "page_id", target.alias("target"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"),
+        F.sha2(html.cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
+    rows = rows.select("page_id", "target", "payload_bytes", "digest", "row_id", capture("response", date, F.col("html")).alias("value"))
+    schema = StructType([*rows.drop("value").schema.fields, StructField("member", BinaryType())])
+    return materialize(rows.mapInArrow(members, schema), "pages")
 
 
 def revisits(stored: DataFrame) -> DataFrame:
@@ -74,19 +93,17 @@ def write(
     revisits; among repeated page_ids the first row is. Null page_ids come after all others. A null html is an empty payload,
     a null url leaves the target header out. An empty table writes no record. Other columns are ignored.
     """
-    stored = stored_pages(pages, id_col, url_col, html_col)
+    stored = stored_pages(pages, date, id_col, url_col, html_col)
     total = stored.agg(F.sum("payload_bytes")).first()[0] or 0
     # The pages move once: dealt to files by row, and the narrow table of revisits comes to them. With fewer parts than a
     # shuffle has by default, Spark would deal both sides anew.
     files = max(-(-total // file_bytes), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = stored.repartition(files, "row_id").join(revisits(stored), "row_id", "left")
     revisit = F.col("first_row").isNotNull()
-    kind = F.when(revisit, "revisit").otherwise("response")
     own = record_id(F.col("row_id"), "capture")
-    target = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    target = F.col("target")
     rest = F.regexp_extract(target, r"://[^/?#]*([^#]*)", 1)
     host = F.regexp_extract(target, r"://([^/?#]*)", 1)
-    status = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     asked = F.concat(F.lit("GET "), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest)), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     fields = F.concat(
         F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
@@ -95,24 +112,28 @@ def write(
     records = F.array(
         record("request", F.coalesce(asked, F.lit("GET / HTTP/1.1\r\n\r\n")), {
             "WARC-Record-ID": record_id(F.col("row_id"), "request"), **shared, "WARC-Concurrent-To": own, "Content-Type": F.lit("application/http; msgtype=request")}),
-        record(kind, F.when(revisit, status).otherwise(F.concat(status, F.col("html"))), {
-            "WARC-Record-ID": own, **shared, "WARC-Payload-Digest": F.concat(F.lit("sha256:"), F.col("digest")),
-            "WARC-Profile": F.when(revisit, F.lit(SAME_PAYLOAD)),
-            "WARC-Refers-To": F.when(revisit, record_id(F.col("first_row"), "capture")), "Content-Type": F.lit("application/http; msgtype=response")}),
+        F.when(revisit, capture("revisit", date, **{
+            "WARC-Profile": F.lit(SAME_PAYLOAD), "WARC-Refers-To": record_id(F.col("first_row"), "capture")})),
         record("metadata", fields, {
             "WARC-Record-ID": record_id(F.col("row_id"), "metadata"), **shared, "WARC-Concurrent-To": own, "Content-Type": F.lit("application/warc-fields")}),
     )
-    packed = dealt.select(F.explode(records).alias("value")).mapInArrow(members, "member binary")
+    # A null record is the response, whose member is at hand.
+    each = dealt.select(F.explode(records).alias("value"), "member").withColumn("member", F.when(F.col("value").isNull(), F.col("member")))
+    packed = each.mapInArrow(members, "member binary")
     # The writer passes bytes on as they are; in this encoding, the separator too.
     as_bytes = {"compression": "none", "encoding": "ISO-8859-1", "lineSep": EMPTY_MEMBER.decode("latin-1")}
     packed.select(F.col("member").cast("string").alias("value")).write.options(**as_bytes).text(path)
 
 
 def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record, closed by its blank lines, as a gzip member."""
+    """Each record in ``value``, closed by its blank lines, as a gzip member; a null one keeps its ``member``. Other columns are passed on."""
     for batch in batches:
-        packed = (gzip.compress(value.as_py().encode() + b"\r\n\r\n", 6, mtime=0) for value in batch.column("value"))
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
+        names = [c for c in batch.schema.names if c not in ("value", "member")]
+        ready = batch.column("member") if "member" in batch.schema.names else [None] * batch.num_rows
+        packed = [
+            there.as_py() if value is None else gzip.compress(value.encode() + b"\r\n\r\n", 6, mtime=0)
+            for value, there in zip(batch.column("value").to_pylist(), ready, strict=True)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(packed, pa.binary())], [*names, "member"])
 
 
 RECORDS = pa.schema([
