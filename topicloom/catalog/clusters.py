@@ -16,8 +16,9 @@ from topicloom.operators import summaries as sm
 from topicloom.plans import jobs
 from topicloom.plans.pipe import Pipe
 from topicloom.plans.plots import tree_edges
-from topicloom.session import work_path
+from topicloom.session import materialize, work_path
 from topicloom.sources import tables as src
+from topicloom.streaming import clusterfeatures as cf
 from topicloom.streaming import incremental as inc
 from topicloom.streaming import microclusters as mc
 
@@ -264,6 +265,62 @@ def event_stream_labels(spark, sf):
     return mc.offline_labels(samples(table(spark, sf, "events")), "event_id", "x", snaps, "event_type", eps=10.0, min_samples=5)
 
 
+SPEC = cf.Cells(side=8.0, half_life=10 * 86400.0, threshold=2.0, pane="1 day", late="1 day")
+CELL_EPS, CELL_MIN = 10.0, 12
+
+_PLACED = """e AS (SELECT event_id, event_type, ts, value AS x, CAST(hour(ts) AS DOUBLE) AS y, CAST(floor(value / 8) AS BIGINT) AS i, CAST(floor(hour(ts) / 8.0) AS BIGINT) AS j,
+    date_trunc('day', ts) + INTERVAL 1 DAY AS pane FROM events),
+  o AS (SELECT *, x - 8 * i AS dx, y - 8 * j AS dy, pow(2.0, (epoch_us(ts) - epoch_us(CAST(pane AS TIMESTAMP))) / 864e9) AS w FROM e)"""
+_MERGED = f"""{_PLACED}, f AS (SELECT event_type, i, j, dx, dy, pow(2.0, (epoch_us(ts) - epoch_us((SELECT max(ts) FROM events))) / 864e9) AS w FROM o),
+  m AS (SELECT event_type, i, j, count(*) AS n, sum(w) AS weight, sum(w * dx) / sum(w) AS mx, sum(w * dy) / sum(w) AS my, sum(w * (dx * dx + dy * dy)) / sum(w) AS q FROM f GROUP BY event_type, i, j)"""
+
+
+def event_features(spark, sf):
+    """Additive features of the events, read as a stream; (value, hour) samples per event type."""
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(256 << 20)).parquet(sf)
+    target = work_path(spark, "features")
+    cf.keep_features(cf.cell_features(samples(stream), "event_type", "x", "ts", 2, SPEC), target, work_path(spark, "stream")).awaitTermination()
+    return cf.newest_features(spark, target)
+
+
+@query("event_cell_features", f"""WITH {_PLACED}
+SELECT event_type, CAST(pane AS DATE) AS pane, i, j, count(*) AS n, round(sum(w), 6) AS weight, round(sum(w * dx), 6) AS dx, round(sum(w * dy), 6) AS dy, round(sum(w * (dx * dx + dy * dy)), 6) AS square
+FROM o GROUP BY event_type, pane, i, j""")
+def event_cell_features(spark, sf):
+    """Streaming state of the additive micro-clusters: one entry per event type, day and cell."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    return event_features(spark, sf).select(
+        F.col("key").alias("event_type"), F.to_date("pane").alias("pane"), at("cell", 0).alias("i"), at("cell", 1).alias("j"), "n", F.round("weight", 6).alias("weight"),
+        F.round(at("offset", 0), 6).alias("dx"), F.round(at("offset", 1), 6).alias("dy"), F.round("square", 6).alias("square"))
+
+
+@query("event_merged_clusters", f"""WITH {_MERGED}
+SELECT event_type, i, j, n, round(weight, 6) AS weight, round(8 * i + mx, 6) AS x, round(8 * j + my, 6) AS y, round(sqrt(greatest(q - mx * mx - my * my, 0)), 5) AS radius,
+  CASE WHEN weight >= 2 THEN 'potential' ELSE 'outlier' END AS kind FROM m""")
+def event_merged_clusters(spark, sf):
+    """Days faded on to the newest event and added up: micro-clusters with center, radius and kind."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    return cf.merged(event_features(spark, sf), 2, SPEC).select(
+        F.col("key").alias("event_type"), at("cell", 0).alias("i"), at("cell", 1).alias("j"), "n", F.round("weight", 6).alias("weight"),
+        F.round(at("center", 0), 6).alias("x"), F.round(at("center", 1), 6).alias("y"), F.round("radius", 5).alias("radius"), "kind")
+
+
+@query("event_cell_labels", f"""WITH RECURSIVE {_MERGED},
+  p AS MATERIALIZED (SELECT event_type || '/' || i || '/' || j AS id, event_type, i, j, weight, 8 * i + mx AS x, 8 * j + my AS y FROM m WHERE weight >= 2),
+  n AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.weight AS w FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {CELL_EPS}),
+  c AS MATERIALIZED (SELECT a AS id FROM n GROUP BY a HAVING sum(w) >= {CELL_MIN}),
+  r AS (SELECT id, id AS low FROM c UNION SELECT n.b, r.low FROM r JOIN n ON n.a = r.id WHERE n.b IN (SELECT id FROM c)),
+  comp AS (SELECT id, min(low) AS comp FROM r GROUP BY id), num AS (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM (SELECT DISTINCT comp FROM comp)),
+  adopted AS (SELECT n.a AS id, min(comp) AS comp FROM n JOIN comp ON comp.id = n.b WHERE n.a NOT IN (SELECT id FROM c) GROUP BY n.a),
+  every AS (SELECT id, comp FROM comp UNION ALL SELECT id, comp FROM adopted)
+SELECT event_id, CAST(coalesce(num.label, -1) AS INTEGER) AS label FROM e LEFT JOIN p USING (event_type, i, j) LEFT JOIN every USING (id) LEFT JOIN num USING (comp)""")
+def event_cell_labels(spark, sf):
+    """Each event with the density cluster of its merged micro-cluster."""
+    clusters = materialize(cf.merged(event_features(spark, sf), 2, SPEC), "merged")
+    labels = materialize(cf.cluster_labels(clusters, CELL_EPS, CELL_MIN), "labels")
+    return cf.sample_labels(samples(table(spark, sf, "events")), "event_id", "event_type", "x", labels, SPEC)
+
+
 @query("sample_weights", "SELECT event_id, value AS weight FROM events")
 def sample_weights(spark, sf):
     return mc.checked_weight(table(spark, sf, "events"), "value").select("event_id", "weight")
