@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions import vectors as vx
+from topicloom.operators.hotjoin import above, frequent_keys, join_apart
 from topicloom.session import materialize
 
 
 def tf_idf(counts: DataFrame, uid: str, documents: int) -> DataFrame:
     """L2-normalized ``n * (ln((1+N)/(1+df)) + 1)`` of (uid, term, n), in long form."""
     counts = materialize(counts, "counts")
-    df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Written once: its rows give both the lengths and the weights.
-    weighted = materialize(counts.join(df_, "term").select(
+    df_ = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    # Written once: its rows give both the lengths and the weights. A term of every document fills no task.
+    weighted = materialize(join_apart(counts, df_, ["term"], above(df_, "df")).select(
         uid, "term", (F.col("n") * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)).alias("w")), "weighted")
     length = weighted.groupBy(uid).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return weighted.join(length, uid).select(uid, "term", (F.col("w") / F.col("length")).alias("weight"))
@@ -63,8 +64,8 @@ def pool_tokens(df: DataFrame, uid: str, tokens: Column, words: DataFrame, dim:
     """Pool the vectors of a document's tokens by ``mean`` or ``max``. Tokens without a vector are skipped."""
     if how not in ("mean", "max"):
         raise ValueError("how must be mean or max")
-    known = df.select(uid, F.explode(tokens).alias("word")).groupBy(uid, "word").agg(F.count(F.lit(1)).alias("n"))
-    joined = known.join(words, "word")
+    known = materialize(df.select(uid, F.explode(tokens).alias("word")).groupBy(uid, "word").agg(F.count(F.lit(1)).alias("n")), "known")
+    joined = join_apart(known, words, ["word"], frequent_keys(known, ["word"]))
     if how == "max":
         return joined.groupBy(uid).agg(vx.max_vectors(F.col("vector"), dim).alias("embedding"))
     total = F.sum("n")
@@ -144,7 +145,8 @@ def sif_vectors(counts: DataFrame, uid: list[str], words: DataFrame, dim: int, a
     ``frequency`` (keys, term, total) gives the counts to use when they reach beyond one text, as
     for a pair of texts; otherwise the counts of the text itself are used.
     """
-    known = counts.join(words.withColumnRenamed("word", "term"), "term")
+    counts = materialize(counts, "counts")
+    known = join_apart(counts, words.withColumnRenamed("word", "term"), ["term"], frequent_keys(counts, ["term"]))
     if frequency is None:
         known = known.withColumn("total", F.col("n"))
     else:
