@@ -11,6 +11,7 @@ from topicloom.functions import stopwords as sw
 from topicloom.functions import text as tx
 from topicloom.operators import density as dn
 from topicloom.operators import features as ft
+from topicloom.operators import graph as gr
 from topicloom.operators import identity as idn
 from topicloom.operators import summaries as sm
 from topicloom.plans import jobs
@@ -162,6 +163,37 @@ def hierarchy_members(spark, sf):
     return dn.cluster_members(tree).select("c", F.col("rep").alias("vec_id"))
 
 
+_TRADE = """n AS (SELECT 'w' AS node, CAST(NULL AS VARCHAR) AS parent, 'w' AS path, 0 AS depth
+    UNION ALL SELECT 'r' || r_regionkey, 'w', 'w/r' || r_regionkey, 1 FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'w/r' || n_regionkey || '/n' || n_nationkey, 2 FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'w/r' || n_regionkey || '/n' || n_nationkey || '/c' || c_custkey, 3 FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  o AS (SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS pre, count(*) OVER () AS total FROM n),
+  z AS (SELECT a.node, count(*) AS size FROM n a JOIN n b ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.node)"""
+
+
+def trade_tree(spark, sf):
+    """World, regions, nations and customers as (node, parent)."""
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    world = spark.range(1).select(F.lit("w").alias("node"), F.lit(None).cast("string").alias("parent"))
+    regions = table(spark, sf, "region").select(name("r", "r_regionkey").alias("node"), F.lit("w").alias("parent"))
+    nations = table(spark, sf, "nation").select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent"))
+    customers = table(spark, sf, "customer").select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("parent"))
+    return world.unionByName(regions).unionByName(nations).unionByName(customers)
+
+
+@query("tree_intervals", f"""WITH {_TRADE} SELECT node, 'w' AS root, CAST(2 * total - 2 * pre + depth - 2 * size AS BIGINT) AS low, CAST(2 * total - 1 - 2 * pre + depth AS BIGINT) AS high
+FROM o JOIN z USING (node)""")
+def tree_intervals(spark, sf):
+    """Nested intervals of a tree by list ranking."""
+    return gr.tour(trade_tree(spark, sf), [], "node", "parent")
+
+
+@query("tree_members", f"""WITH {_TRADE} SELECT a.node AS ancestor, b.node FROM n a JOIN n b ON b.path = a.path OR starts_with(b.path, a.path || '/')""")
+def tree_members(spark, sf):
+    """Every node of the tree with each of its ancestors, from a range join over the intervals."""
+    return gr.ancestor_pairs(trade_tree(spark, sf), [], "node", "parent")
+
+
 @query("plot_tree")
 def plot_tree(spark, sf):
     tree = dn.condense(dn.build_tree(raw(spark, sf), "vec_id", "embedding", 3), [{"min_cluster_size": 3}])

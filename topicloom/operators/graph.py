@@ -1,4 +1,4 @@
-"""Graph steps as rounds of joins: pointer jumping, ancestors, connected components, ranks of nodes."""
+"""Graph steps as rounds of joins: pointer jumping, tours of trees, ancestors, connected components, ranks of nodes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.operators.ranking import next_in_group
 from topicloom.session import materialize
 
 
@@ -61,16 +62,74 @@ def sum_below(df: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     return state.drop("_ptr")
 
 
+def tour(df: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
+    """(keys, node, root, low, high): nested intervals of the trees of a forest; roots have a null parent.
+
+    A walk around a tree enters and leaves every node. The walk is a linked list, which pointer doubling
+    ranks in as many rounds as the logarithm of its length, however deep the tree is. ``high`` and ``low``
+    are the steps left when a node is entered and left: b stands at or below a if both have the same root and
+    low(a) <= low(b) < high(a). Children follow in the order of ``node``. A cycle, a repeated node or an unknown parent is a ``ValueError``.
+    """
+    tree = materialize(df.select(*keys, node, parent), "tree")
+    below = tree.where(F.col(parent).isNotNull())
+    kids = next_in_group(below, [*keys, parent], [F.col(node)], F.col(node), "_sibling").select(*keys, node, "_sibling")
+    first = below.groupBy(*keys, F.col(parent).alias(node)).agg(F.min(node).alias("_first"))
+    at = lambda n, left: F.struct(F.col(n).alias("n"), F.lit(left).alias("left"))
+    entered = tree.join(first, [*keys, node], "left").select(
+        *keys, at(node, False).alias("_e"), F.when(F.col("_first").isNotNull(), at("_first", False)).otherwise(at(node, True)).alias("_next"))
+    left = tree.join(kids, [*keys, node], "left").select(
+        *keys, at(node, True).alias("_e"),
+        F.when(F.col("_sibling").isNotNull(), at("_sibling", False)).when(F.col(parent).isNotNull(), at(parent, True)).otherwise(at(node, True)).alias("_next"))
+    steps = entered.unionByName(left).withColumn("_d", F.when(F.col("_e") == F.col("_next"), 0).otherwise(1).cast("long"))
+
+    def double(now: DataFrame) -> DataFrame:
+        ahead = now.select(*keys, F.col("_e").alias("_next"), F.col("_next").alias("_far"), F.col("_d").alias("_more"))
+        return now.join(ahead, [*keys, "_next"]).select(
+            *keys, "_e", F.col("_far").alias("_next"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_far") != F.col("_next")).alias("_moved"))
+
+    state = materialize(steps, "tour")
+    length = state.count()
+    for _ in range(length.bit_length() + 1):
+        state = materialize(double(state), "tour")
+        if state.count() != length:
+            raise ValueError("a node is repeated, or its parent is unknown")
+        if state.where("_moved").isEmpty():
+            break
+        state = state.drop("_moved")
+    if not state.where("_moved or (_e = _next and _d > 0)").isEmpty():
+        raise ValueError("the parents form a cycle")
+    left = F.col("_e.left")
+    return state.groupBy(*keys, F.col("_e.n").alias(node)).agg(
+        F.max(F.col("_next.n")).alias("root"), F.max(F.when(left, F.col("_d"))).alias("low"), F.max(F.when(~left, F.col("_d"))).alias("high"))
+
+
+def inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
+    """Pairs of a point and each span with low <= at < high, of the same ``keys``; whole numbers from 0 on.
+
+    A span is cut into blocks of lengths 2^k at multiples of 2^k, at most two of a length, and a point lies in
+    one block of every length. So each pair meets once in an equal join, and nothing else is compared.
+    """
+    top = spans.agg(F.max(high).alias("top")).first()["top"] or 0
+    lengths = F.sequence(F.lit(0), F.lit(int(top).bit_length()))
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+
+    def blocks(k: Column) -> Column:
+        lo = shift(F.col(low) + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        hi = shift(F.col(high), k)
+        odd = lambda x: (lo < hi) & (x % 2 == 1)
+        return F.array(F.struct(k.alias("k"), F.when(odd(lo), lo).alias("b")), F.struct(k.alias("k"), F.when(odd(hi), hi - 1).alias("b")))
+
+    cut = spans.withColumn("_block", F.explode(F.filter(F.flatten(F.transform(lengths, blocks)), lambda s: s["b"].isNotNull())))
+    held = points.withColumn("_block", F.explode(F.transform(lengths, lambda k: F.struct(k.alias("k"), shift(F.col(at), k).alias("b")))))
+    return held.join(cut, [*keys, "_block"]).drop("_block")
+
+
 def ancestor_pairs(df: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
     """(keys, node, ancestor) for every node and each of its ancestors, itself included."""
-    step = materialize(df.where(F.col(parent).isNotNull()).select(*keys, node, F.col(parent).alias("ancestor")), "closure")
-    pairs = df.select(*keys, node, F.col(node).alias("ancestor"))
-    level = step
-    while not level.isEmpty():
-        pairs = pairs.unionByName(level)
-        up = step.select(*keys, F.col(node).alias("ancestor"), F.col("ancestor").alias("_next"))
-        level = materialize(level.join(up, [*keys, "ancestor"]).select(*keys, node, F.col("_next").alias("ancestor")), "closure")
-    return pairs
+    walked = materialize(tour(df, keys, node, parent), "intervals")
+    spans = walked.select(*keys, "root", F.col(node).alias("ancestor"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    found = inside(walked.select(*keys, "root", node, F.col("low").alias("_at")), spans, [*keys, "root"], "_at", "_low", "_high")
+    return found.select(*keys, node, "ancestor")
 
 
 def components(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
