@@ -14,6 +14,7 @@ from topicloom.operators import features as ft
 from topicloom.operators import graph as gr
 from topicloom.operators import identity as idn
 from topicloom.operators import summaries as sm
+from topicloom.operators import wordspace as ws
 from topicloom.plans import jobs
 from topicloom.plans.pipe import Pipe
 from topicloom.plans.plots import tree_edges
@@ -243,6 +244,32 @@ def trained_word_vectors(spark, sf):
     return ft.word_vectors(docs, "tokens", dim=16, epochs=2).select("word", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 
+def _cooccurrences(spark, sf):
+    docs = table(spark, sf, "documents", "text").select(tx.words(F.col("text")).alias("tokens"))
+    return ws.cooccurrences(docs, "tokens")
+
+
+@query("word_cooccurrence", r"""WITH t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents)),
+  k AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 5),
+  d AS (SELECT doc_id, pos, word, unnest(range(1, 6)) AS d FROM t),
+  o AS (SELECT d.word AS a, t.word AS b, count(*) AS n FROM d JOIN t ON t.doc_id = d.doc_id AND t.pos = d.pos + d.d GROUP BY ALL),
+  c AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM o UNION ALL SELECT b, a, n FROM o) WHERE a IN (FROM k) AND b IN (FROM k) GROUP BY a, b),
+  m AS (SELECT a, sum(n) AS na, pow(sum(n), 0.75) AS qa FROM c GROUP BY a), q AS (SELECT sum(qa) AS q FROM m),
+  p AS (SELECT c.a, c.b, c.n, ln(c.n * q / (x.na * y.qa)) AS v FROM c JOIN m x ON x.a = c.a JOIN m y ON y.a = c.b, q)
+SELECT a, b, CAST(n AS BIGINT) AS n, round(v, 6) AS pmi FROM p WHERE v > 1e-9""")
+def word_cooccurrence(spark, sf):
+    """How often words stand near each other, with their positive pointwise mutual information."""
+    found = ws.positive_pmi(_cooccurrences(spark, sf)).where("v > 1e-9")
+    return found.select("a", "b", "n", F.round("v", 6).alias("pmi"))
+
+
+@query("cooccurrence_word_vectors")
+def cooccurrence_word_vectors(spark, sf):
+    """Word vectors from co-occurrence, 16 numbers each."""
+    docs = table(spark, sf, "documents", "text").select(tx.words(F.col("text")).alias("tokens"))
+    return ws.pmi_vectors(docs, "tokens", dim=16).select("word", F.transform("vector", lambda v: F.round(v, 4)).alias("vector"))
+
+
 @query("topic_model")
 def topic_model(spark, sf):
     docs = table(spark, sf, "documents", "text").select(sw.drop_stopwords(tx.words(F.col("text")), STOP).alias("tokens"))
