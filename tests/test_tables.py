@@ -13,6 +13,7 @@ from topicloom.operators import metrics as mt
 from topicloom.operators import relational as rel
 from topicloom.operators import topics as tp
 from topicloom.operators.ranking import next_in_group, rank_in_group, top_in_group
+from topicloom.plans import jobs
 from topicloom.plans.pipe import Pipe
 from topicloom.plans.plots import points, tree_edges
 from topicloom.sources import tables as src
@@ -161,6 +162,40 @@ def test_pipe_is_immutable_and_splits(spark):
         done.nearest_to_clusters(2)
 
 
+def test_pipe_recalls_what_it_stored(spark):
+    x = spark.createDataFrame([(1, "a"), (2, "b")], "article_uid int, text string")
+    y = spark.createDataFrame([(7, "c"), (8, None)], "article_uid int, text string")
+    pipe = Pipe(x, y).store("before", "text").together(lambda d: d.withColumn("text", F.upper("text")))
+    found = Pipe(spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "article_uid int, neighbor int"), None, pipe.kept)
+    rows = found.recall("before").recall("before", "neighbor", "y", "near_").value().orderBy("article_uid").collect()
+    assert [tuple(r) for r in rows] == [(1, 7, "a", "c"), (2, 8, "b", None), (3, 9, None, None)]
+    with pytest.raises(ValueError):
+        found.recall("other")
+    with pytest.raises(ValueError):
+        Pipe(x).store("one", "text").recall("one", side="y")
+
+
+def test_score_of_reduced_clusters(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.3, (25, 4)) for c in (0, 6)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    rows, score = jobs.reduce_cluster_score(df, "id", "v", 2, 2, min_cluster_size=10, min_samples=3)
+    kept = rows.orderBy("id").collect()
+    z, label = np.array([r["reduced"] for r in kept]), np.array([r["label"] for r in kept])
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    wanted = []
+    for i in range(len(z)):
+        own = label == label[i]
+        if own.sum() == 1:
+            wanted.append(0.0)
+            continue
+        a, b = d[i, own].sum() / (own.sum() - 1), min(d[i, label == c].mean() for c in set(label) - {label[i]})
+        wanted.append((b - a) / max(a, b))
+    r = score.first()
+    assert (r["rows"], r["clusters"], r["outliers"]) == (50, len(set(label) - {-1}), int((label < 0).sum())) and r["clusters"] >= 2
+    assert r["silhouette"] == pytest.approx(np.mean(wanted))
+
+
 def test_plot_tables(spark):
     linked = spark.createDataFrame([(1, 0.0, 3, "2020-01-02"), (2, 0.5, -1, "2020-01-01")], "article_uid int, x double, topic_number int, created_at string")
     got = {r["article_uid"]: (r["labels"], r["frame"]) for r in points(linked, "topic_number").collect()}

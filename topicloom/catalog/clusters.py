@@ -219,6 +219,13 @@ def reused_reducers(spark, sf):
     return out.select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "label")
 
 
+@query("reduced_silhouette")
+def reduced_silhouette(spark, sf):
+    """Reduce, cluster, and score the clusters in the reduced space."""
+    _, score = jobs.reduce_cluster_score(raw(spark, sf), "vec_id", "embedding", 2, 16, **dn.LEAF_DEFAULTS)
+    return score.withColumn("silhouette", F.round("silhouette", 6))
+
+
 @query("pca_coordinates")
 def pca_coordinates(spark, sf):
     base = raw(spark, sf)
@@ -479,3 +486,16 @@ def fluent_chain(spark, sf):
     found = Pipe(*[d.where(F.col("embedding").isNotNull()) for d in pipe.value()]).nearest(3).value()
     return found.withColumn("distance", F.abs(F.round("distance", 6)))
 
+
+
+@query("kept_steps", _chain_sql().replace("SELECT article_uid, neighbor", """SELECT article_uid, neighbor, split_part(b.text, chr(10), 1) AS headline, split_part(d.text, chr(10), 1) AS near_headline,
+  md5(""" + rules_sql("d.text", tx.cleaning_rules()) + """) AS near_clean""").replace("FROM r WHERE", "FROM r JOIN benchmark b ON b.item_id = article_uid JOIN documents d ON d.doc_id = neighbor WHERE"))
+def kept_steps(spark, sf):
+    """The chain with headlines stored before and cleaned texts after cleaning, recalled behind the search."""
+    headline = F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline")
+    x = table(spark, sf, "benchmark").select(F.col("item_id").alias("article_uid"), "text", headline)
+    y = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("article_uid"), "text", headline)
+    pipe = Pipe(x, y).store("headlines", "headline").clean("text").store("clean", "text").embed("text").normalize()
+    pipe = pipe.together(lambda d: d.where(F.col("embedding").isNotNull())).nearest(3)
+    found = pipe.recall("headlines").recall("headlines", "neighbor", "y", "near_").recall("clean", "neighbor", "y", "near_").value()
+    return found.select("article_uid", "neighbor", "rank", "headline", "near_headline", F.md5("near_text").alias("near_clean"), F.abs(F.round("distance", 6)).alias("distance"))

@@ -96,9 +96,9 @@ def reduce_pca(df: DataFrame, vector: str, fitted, out: str = "reduced") -> Data
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(loadings.shape[1])]
     centered = F.zip_with(F.col(vector), F.array(*[F.lit(x) for x in mean]), lambda v, m: v.cast("double") - m)
-    reduced = model.setInputCol("v").setOutputCol("_r").transform(df.withColumn("v", array_to_vector(centered)))
-    signed = F.zip_with(vector_to_array("_r"), F.array(*[F.lit(s) for s in signs]), lambda v, s: v * s)
-    return reduced.withColumn(out, signed).drop("v", "_r")
+    reduced = model.setInputCol("_pca_in").setOutputCol("_pca_out").transform(df.withColumn("_pca_in", array_to_vector(centered)))
+    signed = F.zip_with(vector_to_array("_pca_out"), F.array(*[F.lit(s) for s in signs]), lambda v, s: v * s)
+    return reduced.withColumn(out, signed).drop("_pca_in", "_pca_out")
 
 
 def save_reducer(fitted, path: str) -> None:
