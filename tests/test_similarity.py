@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.operators import cells as cl
 from topicloom.operators import similarity as sm
 from topicloom.operators import summaries as su
 from topicloom.operators.graph import ancestor_pairs, components, rank_nodes
@@ -135,3 +136,30 @@ def test_ancestor_pairs(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "b", "a"), (1, "c", "b")], "run int, c string, p string")
     got = {(r["c"], r["ancestor"]) for r in ancestor_pairs(df, ["run"], "c", "p").collect()}
     assert got == {("a", "a"), ("b", "b"), ("c", "c"), ("b", "a"), ("c", "b"), ("c", "a")}
+
+
+@pytest.mark.parametrize("rows", [1500, 6000])
+def test_blocks_grow_with_the_table(spark, rows):
+    """A vector is copied once per block or chunk it meets: their number stays the same however small the cells are."""
+    df = spark.range(rows).select("id", F.array(*[F.rand(i) for i in range(3)]).alias("v"))
+    found = cl.build_cells(df, "id", "v", cell_rows=4, block_rows=8)
+    assert len(found.pivots) > 300
+    assert found.sizes.agg(F.sum(F.ceil(F.col("rows") / found.block_rows))).first()[0] <= 3 * cl.GRID
+
+
+def test_tiles_hold_every_asked_pair_once():
+    rnd = np.random.default_rng(1)
+    keep, own, cell = rnd.random((50, 6)) < 0.4, rnd.integers(0, 6, 50), rnd.choice([0, 2, 3, 5], 70)
+    seen = np.zeros((50, 70), int)
+    for rows, parts in cl.tiles(keep, own, cell, 8):
+        for i, j in parts:
+            assert len(i) <= 8 and len(j) <= 8
+            seen[np.ix_(rows[i], j)] += 1
+    assert (seen == keep[:, cell]).all()
+
+
+def test_cityblock_bound_holds():
+    rnd = np.random.default_rng(2)
+    a, b = rnd.normal(0, 100, (40, 64)), rnd.normal(0, 100, (300, 64))
+    d, error = cl.rough_l1(a, b)
+    assert (np.abs(d - np.abs(a[:, None] - b[None]).sum(2)) <= error[:, None]).all()
