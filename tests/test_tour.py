@@ -88,3 +88,11 @@ def test_empty_and_single(spark):
 def test_what_is_no_tree_is_refused(spark, rows):
     with pytest.raises(ValueError):
         gr.tour(spark.createDataFrame(rows, "c int, parent int"), [], "c", "parent")
+
+
+def test_joins_of_trees_are_not_broadcast(spark):
+    """Both sides have a row per node; a broadcast would pass them through the driver."""
+    rows = forest(3)
+    df = spark.createDataFrame(rows, "run int, node int, parent int")
+    found = gr.ancestor_pairs(df, ["run"], "node", "parent")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
