@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.session import work_path
+from topicloom.session import materialize, work_path
 from topicloom.streaming import incremental as inc
 from topicloom.streaming import microclusters as mc
 
@@ -188,3 +188,18 @@ def test_growing_clusters_survive_a_restart_and_a_replay(spark):
     spark.createDataFrame([(99, 99)], "id long, rep long").write.parquet(f"{path}/members/batch=2")
     assert again.versions(spark) == [0, 1]
     assert rows(again.add(parts[0], 2)) == second  # nothing new
+
+
+def test_batches_of_a_replay_are_not_sorted_whole(spark, monkeypatch):
+    """Batches follow the order column, nulls first; only that column is shuffled into the ranges, not whole rows."""
+    steps = []
+    monkeypatch.setattr(inc, "materialize", lambda d, name: steps.append(d._jdf.queryExecution().executedPlan().toString()) or materialize(d, name))
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id")).alias("n"), F.lit("x").alias("text")).repartition(5)
+    stream = inc.file_stream(spark, df, 2, "n", "replayed", files=3)
+    got = {}
+    inc.run_to_end(stream, lambda b, i: got.update({i: [r["n"] for r in b.collect()]}), work_path(spark, "ck"))
+    assert sorted(got) == [0, 1]
+    first, second = got[0], got[1]
+    assert len(first) + len(second) == 1000 and None in first and None not in second
+    assert max(n for n in first if n is not None) < min(second)
+    assert len(steps) == 1 and "rangepartitioning" not in steps[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators.cells import build_cells, knn
@@ -135,7 +136,11 @@ def file_stream(spark: SparkSession, df: DataFrame, batches: int, order: str, na
     each, and read back one range per micro-batch."""
     path = work_path(spark, name)
     files = files or spark.sparkContext.defaultParallelism
-    ranged = materialize(df.repartitionByRange(batches, order).withColumn("_batch", F.spark_partition_id()), "replay")
+    # Only the order column is sorted into the ranges; a range of whole rows would be one task.
+    ranges = df.select(order).repartitionByRange(batches, order).groupBy(F.spark_partition_id().alias("range")).agg(F.min(order).alias("start"))
+    later = ranges.orderBy("range").collect()[1:]
+    passed = [F.coalesce(F.col(order) >= F.lit(r["start"]), F.lit(False)).cast("int") for r in later]
+    ranged = materialize(df.withColumn("_batch", functools.reduce(Column.__add__, passed, F.lit(0))), "replay")
     for i in range(batches):
         ranged.where(F.col("_batch") == i).drop("_batch").repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
