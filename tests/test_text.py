@@ -1,6 +1,7 @@
 """Cleaning rules one by one, titles, tokens."""
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,18 @@ def test_stopword_file(spark, tmp_path):
 
 def test_space_class_is_unicode():
     assert re.match(r"[\t-\r]", "\v")
+
+
+def test_long_ngrams_shuffle_a_token_once(spark, capsys):
+    texts = ["a b c d e f g", "a b c", "a b", "", None, "x x x x x x x", "a b c d e f g"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sizes, tokens = [2, 3, 4, 6], F.when(F.col("text") != "", F.split("text", " ")).when(F.col("text") == "", F.array().cast("array<string>"))
+    want = Counter((n, " ".join(w[i : i + n])) for t in texts if t for w in [t.split(" ")] for n in sizes for i in range(len(w) - n + 1))
+    found = tk.top_ngrams(df, tokens, sizes, None)
+    assert {(r["size"], r["ngram"]): r["n"] for r in found.collect()} == want and found.count() == len(want)
+    best = tk.top_ngrams(df, tokens, [6, 3], 2).collect()
+    assert {(r["size"], r["rank"], r["ngram"], r["n"]) for r in best} == {
+        (3, 1, "x x x", 5), (3, 2, "a b c", 3), (6, 1, "a b c d e f", 2), (6, 2, "b c d e f g", 2)}
+    tk.top_ngrams(df, tokens, [3, 4, 5, 6], None).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(lead" in plan
