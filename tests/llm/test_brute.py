@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import pathlib
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from topicloom.llm import annscan, backoff, bpe, hostrules, jaccard, mixing, queries, rulefit, secrets, textbytes, urlmarkov, warc
-from topicloom.session import materialize
+from topicloom.session import materialize, shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -484,6 +485,14 @@ def test_members_of_our_archives(spark, tmp_path):
     assert len(full) == 120 and all(t.startswith(b"WARC/1.1\r\n") and t.endswith(b"\r\n\r\n") for t in full)
 
 
+def test_archives_keep_no_stored_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.org", "<p>" * 50), (2, "http://b.org", "<p>" * 50)], "page_id long, url string, html string")
+    folders = lambda: set(pathlib.Path(shared_dir(spark).removeprefix("file:")).glob("pages-*"))
+    before = folders()
+    warc.write(pages, f"{tmp_path}/w")
+    assert folders() == before and warc.read_records(spark, f"{tmp_path}/w").count() == 6
+
+
 def test_rows_without_id_keep_their_own_secrets(spark):
     texts = ['a password = "Tr0ub4dor&3" here', 'said Tr0ub4dor&3 and api_key=kQzXwVbNmLpRtYsD, done', "nothing", None, 'a password = "Tr0ub4dor&3" here']
     for ids in ([None] * 5, [7] * 5, [1, 2, 3, 4, 5]):

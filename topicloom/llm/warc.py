@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import pick, salted_join
-from topicloom.session import materialize, work_path
+from topicloom.session import materialize, step_scope, work_path
 
 #: Fixed by the WARC 1.1 standard.
 VERSION = "WARC/1.1"
@@ -53,7 +53,7 @@ def stored_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     html = F.coalesce(F.col("html"), F.lit(""))
     return materialize(pick(pages, page_id=id_col, url=url_col, html=html_col).select(
         "page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"),
-        F.sha2(html.cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row_id")), "pages")
+        F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id")), "pages")
 
 
 def revisits(stored: DataFrame) -> DataFrame:
@@ -74,7 +74,12 @@ def write(
     revisits; among repeated page_ids the first row is. Null page_ids come after all others. A null html is an empty payload,
     a null url leaves the target header out. An empty table writes no record. Other columns are ignored.
     """
-    stored = stored_pages(pages, id_col, url_col, html_col)
+    with step_scope(pages.sparkSession):  # the stored pages go when the archives stand
+        write_stored(stored_pages(pages, id_col, url_col, html_col), path, file_bytes, date)
+
+
+def write_stored(stored: DataFrame, path: str, file_bytes: int, date: str) -> None:
+    """Archives of ``stored_pages``."""
     total = stored.agg(F.sum("payload_bytes")).first()[0] or 0
     # The pages move once: dealt to files by row, and the narrow table of revisits comes to them. With fewer parts than a
     # shuffle has by default, Spark would deal both sides anew.
@@ -96,7 +101,7 @@ def write(
         record("request", F.coalesce(asked, F.lit("GET / HTTP/1.1\r\n\r\n")), {
             "WARC-Record-ID": record_id(F.col("row_id"), "request"), **shared, "WARC-Concurrent-To": own, "Content-Type": F.lit("application/http; msgtype=request")}),
         record(kind, F.when(revisit, status).otherwise(F.concat(status, F.col("html"))), {
-            "WARC-Record-ID": own, **shared, "WARC-Payload-Digest": F.concat(F.lit("sha256:"), F.col("digest")),
+            "WARC-Record-ID": own, **shared, "WARC-Payload-Digest": F.concat(F.lit("sha256:"), F.lower(F.hex("digest"))),
             "WARC-Profile": F.when(revisit, F.lit(SAME_PAYLOAD)),
             "WARC-Refers-To": F.when(revisit, record_id(F.col("first_row"), "capture")), "Content-Type": F.lit("application/http; msgtype=response")}),
         record("metadata", fields, {
@@ -306,7 +311,9 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write(pages, path, **columns)
-    nested = captures(materialize(read_records(spark, path).drop("target_uri", "date", "block"), "records"))
+    # The digest of a response is that of its payload; the one it was written with is needed for revisits only.
+    told = F.when(F.col("type") == "revisit", F.col("payload_digest"))
+    nested = captures(materialize(read_records(spark, path).drop("target_uri", "date", "block").withColumn("payload_digest", told), "records"))
     flat = nested.select(
         "record_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
         F.coalesce("capture.payload_bytes", F.col("metadata.fields")["payload-bytes"].cast("long")).alias("payload_bytes"),
