@@ -1,5 +1,7 @@
 """Similarity search against numpy."""
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from topicloom.operators import cells as cl
 from topicloom.operators import similarity as sm
 from topicloom.operators import summaries as su
 from topicloom.operators.graph import ancestor_pairs, components, rank_nodes
+from topicloom.session import materialize, shared_dir, step_scope
 
 RNG = np.random.default_rng(5)
 X = RNG.normal(size=(150, 6))
@@ -147,6 +150,29 @@ def test_blocks_grow_with_the_table(spark, rows):
     assert found.sizes.agg(F.sum(F.ceil(F.col("rows") / found.block_rows))).first()[0] <= 3 * cl.GRID
 
 
+def test_few_copies_of_rows_all_alike(spark, monkeypatch):
+    """Where every row meets every cell, it is copied for about ``GRID`` blocks of the others, on each side; some rows are asked at a time."""
+    df = spark.range(3000).select("id", F.array(*[F.randn(i) for i in range(24)]).alias("v"))
+    found = cl.build_cells(df, "id", "v", cell_rows=64, block_rows=8)
+    assert found.sizes.agg(F.sum(F.ceil(F.col("rows") / found.block_rows))).first()[0] <= 12
+    monkeypatch.setattr(cl, "VISIT_ROWS", 7)
+    got = sm.nearest(df.limit(90), df.limit(90), "id", "v", 3, "euclidean", cell_rows=16, block_rows=8).collect()
+    x = np.array([r["v"] for r in df.orderBy("id").limit(90).collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == {(i, k + 1): j for i in range(90) for k, j in enumerate(d[i].argsort()[:3])}
+
+
+def test_steps_of_a_scope(spark):
+    with step_scope(spark):
+        with step_scope(spark):
+            gone, stays = materialize(spark.range(3), "inner-scope"), materialize(spark.range(4), "outer-scope", kept=True)
+            assert gone.count() == 3
+        assert stays.count() == 4
+        folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+        assert not [*folder.glob("inner-scope-*")] and len([*folder.glob("outer-scope-*")]) == 1
+    assert not [*folder.glob("outer-scope-*")]
+
+
 def test_tiles_hold_every_asked_pair_once():
     rnd = np.random.default_rng(1)
     keep, own, cell = rnd.random((50, 6)) < 0.4, rnd.integers(0, 6, 50), rnd.choice([0, 2, 3, 5], 70)
