@@ -493,6 +493,28 @@ def test_archives_keep_no_stored_pages(spark, tmp_path):
     assert folders() == before and warc.read_records(spark, f"{tmp_path}/w").count() == 6
 
 
+def test_pages_with_their_own_payload_stay_in_place(spark, monkeypatch):
+    rows = [(i, f"<p>{i % 90}</p>" * 40) for i in range(100)] + [(200, "short"), (201, "short"), (202, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "'http://a.org' AS url", "html")
+    stored = warc.stored_pages(pages, "page_id", "url", "html")
+    shared = warc.shared_payloads(stored)
+    tagged = warc.with_maybe_shared(stored, shared)
+    assert sorted(r["page_id"] for r in tagged.where("maybe_shared").collect()) == sorted([*range(10), *range(90, 100)])
+    assert warc.revisits(tagged.where("maybe_shared"), shared).count() == 10
+    want = sorted((i, "revisit", i - 90) if 90 <= i < 100 else (i, "response", None) for i, _ in rows)
+    for bits, large in ((warc.MAP_BITS, 8), (64, 8), (64, 0)):  # a full map only moves more pages
+        monkeypatch.setattr(warc, "MAP_BITS", bits)
+        monkeypatch.setattr(warc, "LARGE", large)
+        assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()) == want
+
+
+def test_archives_of_pages_in_place_are_small(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a.org", f"<p>{i}" * (2000 if i >= 90 else 100)) for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"{tmp_path}/w", file_bytes=20_000)
+    sizes = [sum(len(x) for x in warc.inflated(p.read_bytes()) if x) for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 100_000 and warc.read_records(spark, f"{tmp_path}/w").count() == 300
+
+
 def test_rows_without_id_keep_their_own_secrets(spark):
     texts = ['a password = "Tr0ub4dor&3" here', 'said Tr0ub4dor&3 and api_key=kQzXwVbNmLpRtYsD, done', "nothing", None, 'a password = "Tr0ub4dor&3" here']
     for ids in ([None] * 5, [7] * 5, [1, 2, 3, 4, 5]):

@@ -33,6 +33,15 @@ EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
 #: Smaller payloads are always stored.
 LEAST_SHARED = 100
 
+#: Request, response or revisit, and metadata.
+RECORDS_OF_PAGE = 3
+
+#: Pages of more than so many mean payloads are dealt out among the archives.
+LARGE = 8
+
+#: Bits of the map of shared payloads that comes to the pages; it is broadcast in words of 64, so a task holds at most 262,144 of them.
+MAP_BITS = 1 << 24
+
 
 def record_id(row: Column, kind: str) -> Column:
     """A URN from the row number and the kind of record; the same on every attempt of a task."""
@@ -56,11 +65,26 @@ def stored_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
         F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id")), "pages")
 
 
-def revisits(stored: DataFrame) -> DataFrame:
-    """(row_id, first_row): rows whose payload another row holds. Only digests are shuffled; the first row has the smallest page_id."""
+def shared_payloads(stored: DataFrame) -> DataFrame:
+    """(digest, first_row): payloads that several rows hold, and that of them with the smallest page_id. Only digests are shuffled."""
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_id")
     narrow = stored.where(F.col("payload_bytes") >= LEAST_SHARED).select("row_id", "page_id", "digest")
-    shared = narrow.groupBy("digest").agg(F.min(order)["row_id"].alias("first_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return narrow.groupBy("digest").agg(F.min(order)["row_id"].alias("first_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+def with_maybe_shared(stored: DataFrame, shared: DataFrame) -> DataFrame:
+    """Adds ``maybe_shared``: false says that no other row holds the payload, true may be chance. Nothing is shuffled."""
+    place = F.xxhash64("digest").bitwiseAND(MAP_BITS - 1)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    words = shared.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    met = stored.withColumn("_at", word).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    held = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)) & (F.col("payload_bytes") >= LEAST_SHARED)
+    return met.withColumn("maybe_shared", held).drop("_at", "_word", "_bits")
+
+
+def revisits(maybe: DataFrame, shared: DataFrame) -> DataFrame:
+    """(row_id, first_row) of the rows whose payload an earlier row holds."""
+    narrow = maybe.select("row_id", "digest")
     return salted_join(narrow, shared, "digest", F.col("row_id"), how="inner").where("row_id <> first_row").select("row_id", "first_row")
 
 
@@ -80,11 +104,17 @@ def write(
 
 def write_stored(stored: DataFrame, path: str, file_bytes: int, date: str) -> None:
     """Archives of ``stored_pages``."""
-    total = stored.agg(F.sum("payload_bytes")).first()[0] or 0
-    # The pages move once: dealt to files by row, and the narrow table of revisits comes to them. With fewer parts than a
-    # shuffle has by default, Spark would deal both sides anew.
-    files = max(-(-total // file_bytes), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = stored.repartition(files, "row_id").join(revisits(stored), "row_id", "left")
+    size = stored.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("pages")).first()
+    shared = materialize(shared_payloads(stored), "shared")
+    # Pages whose payload is surely their own are written where they lie. The others move once, dealt to files by row, and the narrow
+    # table of revisits comes to them; so do pages so large that neighbours like them would make an archive too large.
+    moves = F.col("maybe_shared") | (F.col("payload_bytes") * size["pages"] > LARGE * size["bytes"])
+    tagged = with_maybe_shared(stored, shared).withColumn("moves", moves)
+    moved_bytes = tagged.where("moves").agg(F.sum("payload_bytes")).first()[0] or 0
+    # With fewer parts than a shuffle has by default, Spark would deal both sides anew.
+    files = max(-(-moved_bytes // file_bytes), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    moved = tagged.where("moves").repartition(files, "row_id").join(revisits(tagged.where("maybe_shared"), shared), "row_id", "left")
+    dealt = tagged.where("not moves").withColumn("first_row", F.lit(None).cast("long")).unionByName(moved)
     revisit = F.col("first_row").isNotNull()
     kind = F.when(revisit, "revisit").otherwise("response")
     own = record_id(F.col("row_id"), "capture")
@@ -110,6 +140,7 @@ def write_stored(stored: DataFrame, path: str, file_bytes: int, date: str) -> No
     packed = dealt.select(F.explode(records).alias("value")).mapInArrow(members, "member binary")
     # The writer passes bytes on as they are; in this encoding, the separator too.
     as_bytes = {"compression": "none", "encoding": "ISO-8859-1", "lineSep": EMPTY_MEMBER.decode("latin-1")}
+    as_bytes["maxRecordsPerFile"] = RECORDS_OF_PAGE * max(1, size["pages"] * file_bytes // (size["bytes"] or 1))
     packed.select(F.col("member").cast("string").alias("value")).write.options(**as_bytes).text(path)
 
 
