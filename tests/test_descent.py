@@ -107,3 +107,14 @@ def test_pairs_above_a_score(spark, cell_rows, block_rows):
     assert set(got) == {(a, b) for a in range(150) for b in range(a + 1, 150) if s[a, b] >= 0.5}
     assert all(r["copies_a"] == (41 if a == 0 else 1) and r["copies_b"] == 1 and abs(r["score"] - s[a, b]) < 1e-12 for (a, b), r in got.items())
     assert {r["id"]: r["rep"] for r in sm.classes(df, "id", "v").collect()} == {i: i if i < 150 else 0 for i in range(190)}
+
+
+def test_a_full_list_hears_of_nearer_rows_only():
+    x = cloud(40)
+    ids, group, fresh = np.arange(40), np.repeat([0, 1], 20), np.ones(40, bool)
+    every = ds._best_in_groups(ids, x, group, fresh, 5, "euclidean")
+    limit = np.where(ids % 2 == 0, every.groupby("a")["d"].nth(2).to_numpy(), np.nan)  # lists of odd rows aren't full
+    found = ds._best_in_groups(ids, x, group, fresh, 5, "euclidean", limit)
+    assert found.groupby("a").size().tolist() == [3, 5] * 20
+    kept = every[~(every["d"] > limit[every["a"]])]
+    assert sorted(zip(kept["a"], kept["b"], kept["d"])) == sorted(zip(found["a"], found["b"], found["d"]))
