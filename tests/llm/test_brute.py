@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import pathlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -515,6 +516,31 @@ def test_archives_of_pages_in_place_are_small(spark, tmp_path):
     assert max(sizes) < 100_000 and warc.read_records(spark, f"{tmp_path}/w").count() == 300
 
 
+def test_pairs_of_long_lists_are_not_held_at_once(monkeypatch):
+    rng, n = np.random.default_rng(1), 1500
+    bits = rng.integers(0, 4, (n, 8)).astype(np.uint64)
+    at = (np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.arange(n) // 3, np.full(n, 80), bits, 80)
+    differ = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2).astype(int)
+    differ[np.arange(n)[:, None] // 3 == np.arange(n)[None] // 3] = 1000
+    limit = 160 - 2 * (-(-80 * 160 // 180))
+    assert (differ <= limit).sum() > 1_000_000  # pairs, both ways
+    tracemalloc.start()
+    try:
+        ((left, right),) = jaccard.open_pairs(*at, nearest=True)
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20
+        # every row stands in a pair with a partner that is nearest to it
+        least = np.full(n, 1000)
+        np.minimum.at(least, left, differ[left, right])
+        np.minimum.at(least, right, differ[left, right])
+        assert (least == differ.min(axis=1)).all() and (left < right).all() and len(left) <= n
+        tracemalloc.reset_peak()
+        monkeypatch.setattr(jaccard, "MOST_PAIRS", 1 << 14)
+        found = sum(len(i) for i, _ in jaccard.open_pairs(*at, nearest=False))
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20 and found == (differ <= limit).sum() // 2
+    finally:
+        tracemalloc.stop()
+
+
 def test_rows_without_id_keep_their_own_secrets(spark):
     texts = ['a password = "Tr0ub4dor&3" here', 'said Tr0ub4dor&3 and api_key=kQzXwVbNmLpRtYsD, done', "nothing", None, 'a password = "Tr0ub4dor&3" here']
     for ids in ([None] * 5, [7] * 5, [1, 2, 3, 4, 5]):

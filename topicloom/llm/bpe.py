@@ -32,7 +32,7 @@ MAX_TOKENS = 1 << BITS
 
 #: Bytes of text per block, and bytes of encodings kept by a task before it starts anew: both bound a worker's memory only.
 BLOCK_BYTES = 3 << 20
-KEPT_BYTES = 120 << 20
+KEPT_BYTES = 80 << 20
 #: Bytes that an encoding takes besides its characters: a string, bytes, and an entry of two dictionaries.
 EACH_BYTES = 320
 

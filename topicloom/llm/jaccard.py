@@ -43,6 +43,8 @@ FREQUENT, MAX_FREQUENT = 16, 1 << 20
 LEAST_LOCAL, BUFFER = 3, 4 << 20
 #: Bits of the parity map that sets of up to twice as many elements have in lists, and members of a block of a list.
 FOLD_BITS, BLOCK = 512, 2048
+#: Pairs that a task holds before it gives them on.
+MOST_PAIRS = 1 << 18
 #: So many ids of texts to fetch are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Sizes up to which subsets are thought of at all: sets of 16 already have thousands.
@@ -271,18 +273,21 @@ def may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "n_b", "map", "map_b").mapInArrow(run, "a long, b long")
 
 
-def open_pairs(segment, block, cross, group, size, maps, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(segment, block, cross, group, size, maps, percent: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of pairs that may link, within segments of rows that stand together, all pairs at a distance d at a time.
 
     ``cross`` marks segments of which only rows of different blocks are compared. With ``nearest``, of each row the pair whose
-    maps differ least.
+    maps differ least: only the best so far is held, be there ever so many pairs. Else they come in pieces of about MOST_PAIRS.
     """
-    left, right, differ = [], [], []
-    places = np.arange(len(segment))
+    left, right, held = [], [], 0
+    rows = len(segment)
+    #: of each row, among partners behind and before it, the fewest bits apart and the first such partner
+    least, partner = np.full((2, rows), np.iinfo(np.int64).max), np.full((2, rows), -1)
+    places = np.arange(rows)
     d = 0
     while True:
         d += 1
-        places = places[: np.searchsorted(places, len(segment) - d)]
+        places = places[: np.searchsorted(places, rows - d)]
         places = places[segment[places] == segment[places + d]]
         if len(places) == 0:
             break
@@ -297,19 +302,25 @@ def open_pairs(segment, block, cross, group, size, maps, percent: int, nearest:
         apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
         total = size[i] + size[j]
         near = apart <= total - 2 * (-(-percent * total // (100 + percent)))
-        left.append(i[near])
-        right.append(j[near])
-        differ.append(apart[near])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right, differ = np.concatenate(left), np.concatenate(right), np.concatenate(differ)
+        i, j, apart = i[near], j[near], apart[near]
+        if nearest:
+            for side, row, other in ((0, i, j), (1, j, i)):
+                closer = apart < least[side, row]
+                least[side, row[closer]], partner[side, row[closer]] = apart[closer], other[closer]
+        else:
+            left.append(i)
+            right.append(j)
+            held += len(i)
+            if held >= MOST_PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
     if nearest:
-        row, pair = np.concatenate((left, right)), np.tile(np.arange(len(left)), 2)
-        order = np.lexsort((differ[pair], row))
-        first = np.concatenate(([True], row[order][1:] != row[order][:-1])) if len(order) else np.zeros(0, bool)
-        chosen = np.unique(pair[order][first])
-        left, right = left[chosen], right[chosen]
-    return left, right
+        best = np.where(least[1] < least[0], partner[1], partner[0])
+        row = np.flatnonzero(best >= 0)
+        pair = np.unique(np.minimum(row, best[row]) * rows + np.maximum(row, best[row]))
+        yield pair // max(rows, 1), pair % max(rows, 1)
+    elif held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -334,14 +345,14 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
     names = ("width", "list", "low", "high", "block", "cid", "group", "n")
     key = names[:4]
 
-    def pairs(columns: dict[str, np.ndarray], maps: np.ndarray) -> pa.RecordBatch:
+    def pairs(columns: dict[str, np.ndarray], maps: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.zeros(len(maps), bool)
         for c in key:
             new[1:] |= columns[c][1:] != columns[c][:-1]
-        i, j = open_pairs(np.cumsum(new), columns["block"], columns["low"] != columns["high"], columns["group"], columns["n"], maps, percent, nearest)
-        found = np.sort(np.stack((columns["cid"][i], columns["cid"][j]), axis=1), axis=1)
-        found = np.unique(found, axis=0) if len(found) else found
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        for i, j in open_pairs(np.cumsum(new), columns["block"], columns["low"] != columns["high"], columns["group"], columns["n"], maps, percent, nearest):
+            found = np.sort(np.stack((columns["cid"][i], columns["cid"][j]), axis=1), axis=1)
+            found = np.unique(found, axis=0) if len(found) else found
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
         held, held_maps = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, 0), np.uint64)
@@ -349,7 +360,7 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
             maps = as_words(batch.column("map"))
             if held_maps.shape[1] != maps.shape[1]:
                 if len(held_maps):
-                    yield pairs(held, held_maps)
+                    yield from pairs(held, held_maps)
                 held, held_maps = {c: np.zeros(0, np.int64) for c in names}, maps[:0]
             held = {c: np.concatenate((held[c], batch.column(c).to_numpy())) for c in names}
             held_maps = np.concatenate((held_maps, maps))
@@ -359,10 +370,10 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
                 last &= held[c] == held[c][-1]
             whole = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
             if whole:
-                yield pairs({c: x[:whole] for c, x in held.items()}, held_maps[:whole])
+                yield from pairs({c: x[:whole] for c, x in held.items()}, held_maps[:whole])
                 held, held_maps = {c: x[whole:] for c, x in held.items()}, held_maps[whole:]
         if len(held_maps):
-            yield pairs(held, held_maps)
+            yield from pairs(held, held_maps)
 
     cut = cut.select(*names, "map")
     return cut.mapInArrow(run, "a long, b long").distinct()
