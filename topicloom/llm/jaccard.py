@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import pick, unpacked, with_row
 from topicloom.llm.textbytes import hashed_blocks, mix
 from topicloom.operators.graph import components
-from topicloom.session import materialize
+from topicloom.session import few, materialize
 
 #: An element is frequent from FREQUENT counted copies on; if more than MAX_FREQUENT would be, from so many on that no more are.
 FREQUENT, MAX_FREQUENT = 16, 1 << 20
@@ -47,6 +47,8 @@ FOLD_BITS, BLOCK = 512, 2048
 MOST_PAIRS = 1 << 18
 #: So many ids of texts to fetch are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 1_000_000
+#: Rows of small steps that share a task and a file, where rows hold maps and where they hold texts.
+MAPS_AT_ONCE, TEXTS_AT_ONCE = 20_000, 2_000
 #: Sizes up to which subsets are thought of at all: sets of 16 already have thousands.
 LARGEST_SMALL = 16
 #: What scanning one list entry costs, in enumerated subsets.
@@ -381,11 +383,15 @@ def scan_lists(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool)
 
 def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of stored pairs, those that do link, decided on whole texts, which are fetched by the id of one document of each class."""
+    tested = pairs.count()
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    ids = materialize(classes.select("cid", F.col("doc_id").alias("rep")).join(ids, "cid", "left_semi"), "wanted")
-    wanted = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+    ids = classes.select("cid", F.col("doc_id").alias("rep")).join(ids, "cid", "left_semi")
+    ids = materialize(few(ids, classes.count() + 2 * tested), "wanted")
+    fetched = ids.count()
+    wanted = F.broadcast(ids) if fetched <= MOST_SENT else ids
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
-    texts = materialize(of_class(texts, n).dropDuplicates(["cid"]), "texts")
+    # Equal ids may stand at several texts, but only those of the class are left.
+    texts = materialize(few(of_class(texts, n).dropDuplicates(["cid"]), fetched, TEXTS_AT_ONCE), "texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -399,7 +405,7 @@ def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, n: int, perc
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return few(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), tested, TEXTS_AT_ONCE)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,7 +421,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     rows = materialize(sketches(base, n), "sketches")
     own = rows.where("cid is not null")
     classes = own.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("fold").alias("fold"))
-    classes = materialize(classes, "classes")
+    classes = materialize(few(classes, rows.count(), MAPS_AT_ONCE), "classes")
     by_size = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
     small = choose_boundary(by_size, percent)
     often = rows.where("element is not null").groupBy("element").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= FREQUENT)
@@ -426,12 +432,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     # Round 1: every member of a list against one of them.
     pairs = met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    tested = materialize(may_link(pairs, classes, percent), "pairs")
+    most = met.count() + classes.count()
+    tested = materialize(few(may_link(pairs, classes, percent), most, MAPS_AT_ONCE), "pairs")
     links = materialize(verified(tested, base, classes, n, percent), "links")
 
     # Rounds 2 and 3: only lists that still hold several groups, and pairs not tested yet.
-    nodes = materialize(met.select("cid").distinct(), "nodes")
-    group = materialize(components(links, nodes, "cid"), "groups")
+    nodes = materialize(few(met.select("cid").distinct(), most), "nodes")
+    grouped = lambda: materialize(few(components(links, nodes, "cid", links.count()), most), "groups")
+    group = grouped()
     for nearest in (True, False):
         open_lists = met.select("list", "cid").join(group, "cid").withColumnRenamed("component", "group")
         open_lists = open_lists.withColumn("first", F.min("group").over(inside)).withColumn("last", F.max("group").over(inside))
@@ -442,7 +450,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         more = materialize(verified(pairs, base, classes, n, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            group = materialize(components(links, nodes, "cid"), "groups")
+            group = grouped()
 
     smallest = classes.join(group, "cid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = group.join(smallest, "component").select("cid", "component_id", F.col("component").alias("cluster"))
@@ -462,7 +470,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")
     rows_of = joined.groupBy("cluster", "doc_id", "cid").agg(F.count(F.lit(1)).alias("times"))
     stays = rows_of.groupBy("cluster").agg(F.min_by(F.struct("doc_id", "cid", "times"), order).alias("row"))
-    stays = materialize(stays.select(F.col("row.doc_id").alias("kept_id"), F.col("row.cid").alias("kept_cid"), F.col("row.times").alias("times")), "stays")
+    stays = stays.select(F.col("row.doc_id").alias("kept_id"), F.col("row.cid").alias("kept_cid"), F.col("row.times").alias("times"))
+    stays = materialize(few(stays, docs.count()), "stays")
     sent = F.broadcast(stays) if stays.count() <= MOST_SENT else stays
     rows = with_set_id(with_row(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), n)
     found = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("cid").eqNullSafe(F.col("kept_cid")), "left").where("kept_cid is not null or cid is null")
