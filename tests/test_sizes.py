@@ -1,10 +1,12 @@
-"""Steps of few rows are few files, whatever the number of shuffle partitions."""
+"""Steps of few rows are few files, whatever the number of shuffle partitions; a distance given as a function stays in the cache."""
 
 import pathlib
 
+import numpy as np
 import pytest
 
 from topicloom import session
+from topicloom.catalog.similarity import fractional
 from topicloom.llm import jaccard
 from topicloom.operators.graph import components
 
@@ -55,3 +57,23 @@ def test_jaccard_steps_of_few_rows_write_few_files(wide):
     small = {"classes", "nodes", "groups", "links", "wanted", "texts", "edges", "paths", "stays"}
     assert small <= set(files)
     assert max(files[name] for name in small) <= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("rows", [(0, 3), (1, 1), (7, 40_000), (300, 129)])
+def test_fractional_is_the_same_number_in_strips(rows, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = (np.round(rng.normal(size=(n, 9)), 1) for n in rows)
+    total = np.zeros(rows)
+    for x, y in zip(a.T, b.T, strict=True):
+        total = total + abs(x[:, None] - y[None, :]) ** 0.5
+    largest = [0]
+    subtract = np.subtract
+
+    def watched(x, y, out):
+        largest[0] = max(largest[0], out.size)
+        return subtract(x, y, out=out)
+
+    monkeypatch.setattr(np, "subtract", watched)
+    assert np.array_equal(fractional(a, b), total**2)
+    if len(a):
+        assert 0 < largest[0] <= max(1 << 14, len(b))
