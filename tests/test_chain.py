@@ -54,3 +54,23 @@ def test_a_chain_embeds_every_row_once(spark, tmp_path):
     found = Pipe(*[d.where(F.col("embedding").isNotNull()) for d in pipe.value()]).nearest(2).value()
     assert found.count() == 6 and len(found.collect()) == 6
     assert len((tmp_path / "seen").read_text()) == 33
+
+
+def test_recall_computes_only_rows_asked_for(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    @F.pandas_udf("string")
+    def marked(texts):
+        with open(seen, "a") as f:
+            f.write("x" * len(texts))
+        return texts + "!"
+
+    x = spark.createDataFrame([(1, "aab"), (2, "abb")], "article_uid long, text string")
+    y = spark.createDataFrame([(i, "a" * (i % 9) + "b" * i) for i in range(1, 41)], "article_uid long, text string")
+    pipe = Pipe(x, y).together(lambda d: d.withColumn("text", marked("text"))).store("marked", "text")
+    pipe = Pipe(*pipe.embed("text").value(), kept=pipe.kept).normalize().nearest(1)
+    before = len(open(seen).read())
+    assert before == 42
+    rows = pipe.recall("marked", "neighbor", "y", "near_").value().collect()
+    assert len(rows) == 2 and all(r["near_text"].endswith("!") for r in rows)
+    assert len(open(seen).read()) - before <= 2
