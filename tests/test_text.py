@@ -142,3 +142,11 @@ def test_long_ngrams_shuffle_a_token_once(spark, capsys):
     tk.top_ngrams(df, tokens, [3, 4, 5, 6], None).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(lead" in plan
+
+
+def test_run_travels_with_few_bytes_of_its_hash(spark):
+    df = spark.createDataFrame([(" ".join(f"w{(i * j) % 97}" for j in range(60)),) for i in range(200)], "text string")
+    plan = tk.top_ngrams(df, F.split("text", " "), [3, 6], None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [lead" in plan and "pmod(xxhash64(" in plan
+    spread = df.select(F.pmod(F.xxhash64("text"), F.lit(tk.LEADS)).alias("lead"))
+    assert spread.where((F.col("lead") < 0) | (F.col("lead") >= 1 << 24)).isEmpty() and spread.distinct().count() > 90
