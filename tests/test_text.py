@@ -1,5 +1,6 @@
 """Cleaning rules one by one, titles, tokens."""
 
+import random
 import re
 from collections import Counter
 
@@ -150,3 +151,21 @@ def test_run_travels_with_few_bytes_of_its_hash(spark):
     assert "RepartitionByExpression [lead" in plan and "pmod(xxhash64(" in plan
     spread = df.select(F.pmod(F.xxhash64("text"), F.lit(tk.LEADS)).alias("lead"))
     assert spread.where((F.col("lead") < 0) | (F.col("lead") >= 1 << 24)).isEmpty() and spread.distinct().count() > 90
+
+
+def test_top_ngrams_of_frequent_words_are_those_of_all(spark, monkeypatch):
+    pick = random.Random(2)
+    line = "the quick brown fox jumps over the lazy dog".split()
+    texts = [[f"w{int(pick.paretovariate(0.7))}" for _ in range(pick.randint(0, 40))] + line * (i % 3 == 0) for i in range(300)] + [None, [], ["the"]]
+    df = spark.createDataFrame([(t,) for t in texts], "t array<string>").repartition(3)
+    every = Counter((n, " ".join(t[i : i + n])) for t in texts if t for n in (1, 2, 3, 4) for i in range(len(t) - n + 1))
+    want = {(n, r + 1, g, c) for n in (1, 2, 3, 4) for r, (g, c) in enumerate(
+        sorted(((g, c) for (m, g), c in every.items() if m == n), key=lambda x: (-x[1], x[0]))[:9])}
+    counted = []
+    monkeypatch.setattr(tk, "_all_ngrams", lambda df, t, sizes, real=tk._all_ngrams: counted.append(sizes) or real(df, t, sizes))
+    for most, left in [((1 << 15, 1 << 18), []), ((150, 400), []), ((40, 60), None), ((2,), [[1, 2, 3, 4]])]:
+        monkeypatch.setattr(tk, "CANDIDATES", most)
+        counted.clear()
+        found = tk.top_ngrams(df, F.col("t"), [4, 1, 2, 3], 9)
+        assert {(r["size"], r["rank"], r["ngram"], r["n"]) for r in found.collect()} == want
+        assert left is None or counted == left
