@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from topicloom.functions import vectors as vx
 from topicloom.operators.hotjoin import above, frequent_keys, join_apart
+from topicloom.operators.tokens import JOINT
 from topicloom.session import materialize
 
+BLOCK_TEXTS = 1 << 13  # texts that meet their vectors in one block
+TEXTS_AT_ONCE, LINES_AT_ONCE = 1 << 11, 1 << 16
+
 
 def tf_idf(counts: DataFrame, uid: str, documents: int) -> DataFrame:
     """L2-normalized ``n * (ln((1+N)/(1+df)) + 1)`` of (uid, term, n), in long form."""
@@ -60,17 +67,101 @@ def encode(df: DataFrame, text: str, make_model: Callable[[], Callable], out: st
     return df.withColumn(out, fn(F.col(text)))
 
 
+def _escaped(token: Column) -> Column:
+    return F.replace(F.replace(token, F.lit("\x1e"), F.lit("\x1eA")), F.lit(JOINT), F.lit("\x1eB"))
+
+
+def _meet_in_blocks(rows: DataFrame, uid: list[str], terms: Column, lines: Callable, words: DataFrame, dim: int, how: str, rows_at_once: int) -> DataFrame:
+    """(uid, embedding) of ``rows`` (_block, uid, ...), by mean or max over the vectors of their words.
+
+    A vector goes once to every block of rows that holds its word, and the rows go there once; what is shuffled of vectors grows with the words of a
+    block, not with the words of every document. ``lines`` takes a table of some rows and gives the row, word, weight and count of every line in it.
+    """
+    fold = F.max if how == "max" else F.sum
+    # A word with several vectors counts with each of them. Vectors may hold nulls, which are skipped.
+    known = words.where(F.col("word").isNotNull()).groupBy(_escaped(F.col("word")).alias("_word")).agg(
+        F.array(*[fold(F.col("vector")[i].cast("double")) for i in range(dim)]).alias("_v"), F.count(F.lit(1)).cast("double").alias("_c"))
+    asked = rows.select("_block", F.explode(terms).alias("_word")).distinct()
+    # Both sides read the same table; new column identities keep them apart in the co-group.
+    vectors = asked.join(known, "_word").select(*[F.col(c).alias(c) for c in ("_block", "_word", "_v", "_c")])
+    ids = rows.select(*uid).schema
+    schema = T.StructType([*ids.fields, T.StructField("_sum", T.ArrayType(T.DoubleType())), T.StructField("_n", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    merge = np.maximum if how == "max" else np.add
+    none = -np.inf if how == "max" else 0.0
+
+    def pooled(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [arrow.empty_table()]
+        held = right["_word"].combine_chunks()
+        flat = right["_v"].combine_chunks().flatten()
+        matrix = pc.fill_null(flat, none).to_numpy(zero_copy_only=False).reshape(-1, dim)
+        given = pc.is_valid(flat).to_numpy(zero_copy_only=False).reshape(-1, dim)
+        whole, times = bool(given.all()), right["_c"].to_numpy()
+        for at in range(0, left.num_rows if right.num_rows else 0, rows_at_once):
+            some = left.slice(at, rows_at_once).combine_chunks()
+            row, term, weight, n = lines(some)
+            place = pc.fill_null(pc.index_in(term, held), -1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(place >= 0)
+            if not len(hit):
+                continue
+            # Rows of the same id are one; ids are compared as Arrow compares them, nulls included.
+            code = np.zeros(some.num_rows, np.int64)
+            for c in uid:
+                part = some[c].combine_chunks().dictionary_encode(null_encoding="encode")
+                code = np.unique(code * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            group = code[row[hit]]
+            order = hit[np.argsort(group, kind="stable")]
+            group = code[row[order]]
+            start = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
+            place = place[order]
+            sums, seen = np.empty((len(start), dim)), np.ones((len(start), dim), bool)
+            ends, first = np.r_[start[1:], len(order)], 0
+            while first < len(start):  # some groups at a time
+                last = max(first + 1, int(np.searchsorted(ends, start[first] + LINES_AT_ONCE)))
+                lot, cut = slice(start[first], ends[last - 1]), start[first:last] - start[first]
+                values = matrix[place[lot]] if how == "max" else matrix[place[lot]] * weight[order[lot], None]
+                sums[first:last] = merge.reduceat(values, cut, axis=0)
+                if not whole:
+                    seen[first:last] = np.logical_or.reduceat(given[place[lot]], cut, axis=0)
+                first = last
+            found = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(start) + 1) * dim, pa.int32()), pa.array(sums.ravel(), pa.float64(), mask=None if whole else ~seen.ravel()))
+            counted = pa.array(np.add.reduceat(n[order] * times[place], start))
+            of = pa.array(row[order[start]])
+            out.append(pa.Table.from_arrays([*[some[c].combine_chunks().take(of) for c in uid], found, counted], names=arrow.names).cast(arrow))
+        return pa.concat_tables(out)
+
+    parts = rows.groupBy("_block").cogroup(vectors.groupBy("_block")).applyInArrow(pooled, schema)
+    folded = [fold(F.col("_sum")[i]) for i in range(dim)]
+    total = F.sum("_n")
+    return parts.groupBy(*uid).agg(F.array(*(folded if how == "max" else [x / total for x in folded])).alias("embedding"))
+
+
+def _blocks(rows: int, spark: SparkSession, size: int) -> int:
+    """How many blocks rows are dealt to: of at most ``size`` rows on average, smaller if cores else had none."""
+    return max(1, -(-rows // size), min(spark.sparkContext.defaultParallelism, -(-rows * 8 // size)))
+
+
 def pool_tokens(df: DataFrame, uid: str, tokens: Column, words: DataFrame, dim: int, how: str = "mean") -> DataFrame:
     """Pool the vectors of a document's tokens by ``mean`` or ``max``. Tokens without a vector are skipped."""
     if how not in ("mean", "max"):
         raise ValueError("how must be mean or max")
-    known = materialize(df.select(uid, F.explode(tokens).alias("word")).groupBy(uid, "word").agg(F.count(F.lit(1)).alias("n")), "known")
-    joined = join_apart(known, words, ["word"], frequent_keys(known, ["word"]))
-    if how == "max":
-        return joined.groupBy(uid).agg(vx.max_vectors(F.col("vector"), dim).alias("embedding"))
-    total = F.sum("n")
-    pooled = [F.sum(F.col("n") * F.col("vector")[i]) / total for i in range(dim)]
-    return joined.groupBy(uid).agg(F.array(*pooled).alias("embedding"))
+
+    def joined(t: Column) -> Column:
+        odd = F.array_join(t, "").rlike("[\x1e\x1f]")
+        return F.when(F.size(t) > 0, F.array_join(F.when(odd, F.transform(t, _escaped)).otherwise(t), JOINT))
+
+    blocks = _blocks(df.select(uid).count(), df.sparkSession, BLOCK_TEXTS)
+    rows = df.select(F.col(uid), vx.let(F.array_compact(tokens), joined).alias("_text")).where(F.col("_text").isNotNull())
+    rows = materialize(rows.withColumn("_block", F.pmod(F.xxhash64(uid, "_text"), F.lit(blocks)).cast("int")).repartition("_block"), "dealt")
+
+    def lines(some: pa.Table) -> tuple:
+        split = pc.split_pattern(some["_text"].combine_chunks(), JOINT)
+        row = np.repeat(np.arange(some.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        one = np.ones(len(row))
+        return row, split.flatten(), one, one
+
+    return _meet_in_blocks(rows, [uid], F.split("_text", JOINT), lines, words, dim, how, TEXTS_AT_ONCE)
 
 
 def standardize(df: DataFrame, vector: str, dim: int) -> DataFrame:
