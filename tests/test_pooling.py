@@ -53,6 +53,20 @@ def test_pooled_by_blocks(spark, monkeypatch, how, block):
     same(found, expected([(u, w, 1, 1) for u, t in texts for w in t or []], vectors, how))
 
 
+@pytest.mark.parametrize("lines", [1 << 21, 20])
+def test_sif_by_blocks(spark, monkeypatch, lines):
+    monkeypatch.setattr(ft, "BLOCK_LINES", lines)
+    texts, vectors = corpus()
+    counts = {}
+    for i, (u, t) in enumerate(texts):
+        for w in t or []:
+            counts[u, i % 2, w] = counts.get((u, i % 2, w), 0) + 1
+    df = spark.createDataFrame([(*k, n) for k, n in counts.items()], "id long, side int, term string, n long").repartition(3)
+    words = spark.createDataFrame(vectors, "word string, vector array<float>")
+    found = {(r["id"], r["side"]): r["sif"] for r in ft.sif_vectors(df, ["id", "side"], words, DIM, 0.5).collect()}
+    same(found, expected([((u, s), w, n * 0.5 / (0.5 + n), n) for (u, s, w), n in counts.items()], vectors, "mean"))
+
+
 def test_vectors_are_not_shuffled_for_every_word_of_a_text(spark):
     texts = spark.createDataFrame([(i, [f"w{(i + j) % 50}" for j in range(40)]) for i in range(400)], "id long, t array<string>")
     words = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(50)], "word string, vector array<float>")
