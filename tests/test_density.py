@@ -232,3 +232,24 @@ def test_dbscan_equals_twin(spark, cell_rows, block_rows):
     df = spark.createDataFrame(rows, "id long, v array<double>, w double")
     got = {r["id"]: r["label"] for r in dn.dbscan(df, "id", "v", 0.5, 5, "w", cell_rows, block_rows).collect()}
     assert [got[i] for i in range(len(x))] == dbscan_twin(x, w, 0.5, 5)
+
+
+def test_steps_of_a_sweep_are_not_broadcast(spark, monkeypatch):
+    """Their rows are points times runs: small on disk, but all of them would go through the driver."""
+    plans = []
+    real = dn.materialize
+
+    def noted(df, *a, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *a, **kw)
+
+    rows = [(i, [float(i % 7) + i / 1000.0, float(i % 5)], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    tree = dn.build_tree(df, "id", "v", 3)
+    monkeypatch.setattr(dn, "materialize", noted)
+    runs = [{**dn.PIPE_DEFAULTS, "min_cluster_size": 3}, {**dn.LEAF_DEFAULTS, "min_cluster_size": 5}]
+    labels = dn.label_points(tree, dn.condense(tree, runs))
+    plans.append(labels._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and labels.count() == 120
+    joins = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "_range" not in line]  # offsets of ranges are few
